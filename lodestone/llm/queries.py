@@ -23,8 +23,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(_documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import decontaminate
+
+    return decontaminate.report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {fn.__name__: fn for fn in (op3_substring_dedup,)}
+    return {fn.__name__: fn for fn in (op3_substring_dedup, op5_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
