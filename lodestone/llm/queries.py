@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -29,8 +36,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pieces
+
+    return pieces.digest(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {fn.__name__: fn for fn in (op3_substring_dedup, op5_decontamination)}
+    return {fn.__name__: fn for fn in (op2_sentencepiece, op3_substring_dedup, op5_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
