@@ -145,22 +145,28 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hash of each word, of the lower-cased word if ``lower`` (A-Z only)."""
-        values = _VALUES[lower]
-        out = np.empty(len(self), U64)
-        i, n = 0, len(self)
-        while i < n:
-            base = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.start, base + SEGMENT)))
-            top = int(self.end[j - 1])
-            size = top - int(base)
-            up, down = _BYTES.get(size + 1)
-            sums = np.empty(size + 1, U64)
-            sums[0] = 0
-            np.cumsum(values[self.buf[base:top]] * up[:size], out=sums[1:])
-            a, b = self.start[i:j] - base, self.end[i:j] - base
-            out[i:j] = (sums[b] - sums[a]) * down[a]
-            i = j
-        return mix(out)
+        return span_hashes(self.buf, self.start, self.end, lower)
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hash of each span of bytes; spans are in order and do not overlap."""
+    values = _VALUES[lower]
+    n = len(start)
+    out = np.empty(n, U64)
+    i = 0
+    while i < n:
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, base + SEGMENT)))
+        top = int(end[j - 1])
+        size = top - base
+        up, down = _BYTES.get(size + 1)
+        sums = np.empty(size + 1, U64)
+        sums[0] = 0
+        np.cumsum(values[buf[base:top]] * up[:size], out=sums[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = (sums[b] - sums[a]) * down[a]
+        i = j
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarray:

@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _chunks as C
+from lodestone.llm import _text as T
+from lodestone.llm._units import UnitMemo, encode_spans
 
 MARK = "▁"
 #: Units kept by a worker in each of two generations.
-MEMO_UNITS = 500_000
-#: Longest unit kept, in characters; longer ones are encoded each time.
-MEMO_CHARS = 64
+MEMO_UNITS = 400_000
 #: Symbols in a merge batch.
 BATCH_SYMBOLS = 1 << 19
 
@@ -255,26 +256,24 @@ class PieceModel:
         return data[1:] if len(ids) and self.starts_blank[ids[0]] else data
 
 
-def split_units(text: str) -> list[str]:
-    """Units of a text after the dummy prefix, each without one leading mark.
+def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte buffer of the texts after the dummy prefix, and the units in it.
 
-    Most texts are words parted by single blanks: those are their units.
+    Marks are still blanks. A unit starts at a blank that follows no blank.
+    Returns buffer, starts, ends, and the first unit of each document.
     """
-    words = text.replace(MARK, " ").split(" ")
-    if "" not in words:
-        return words
-    units, lead = [], ""
-    for w in words[:-1]:
-        if w:
-            units.append(lead + w)
-            lead = ""
-        else:
-            lead += MARK
-    if words[-1] or lead or not units:
-        units.append(lead + words[-1])
-    else:
-        units.append("")
-    return units
+    texts = texts.fill_null("").cast(pa.large_string())
+    filled = pc.greater(pc.binary_length(texts), 0)
+    texts = pc.if_else(filled, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
+    texts = pc.replace_substring(texts, MARK, " ")
+    buf, offsets = T.flat(texts)
+    blank = buf == 32
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    cuts = offsets[:-1][np.diff(offsets) > 0]
+    begins[cuts] = True
+    start = np.flatnonzero(begins)
+    return buf, start, np.append(start[1:], len(buf)), np.searchsorted(start, offsets)
 
 
 class Encoder:
@@ -282,34 +281,21 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.end = np.array([self.model.end_id], np.uint16).tobytes()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = UnitMemo(self._encode, MEMO_UNITS)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _encode(self, found: list[bytes]) -> list[bytes]:
+        return self.model.encode_units([u.decode().replace(" ", MARK) for u in found])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text, the end id included."""
-        split = [split_units(t) if t else [] for t in texts]
-        new, old = self.new, self.old
-        here: set[str] = set()
-        for units in split:
-            here.update(units)
-        here.difference_update(new)
-        missing = []
-        for u in here:
-            v = old.get(u)
-            if v is None:
-                missing.append(u)
-            else:
-                new[u] = v
-        new.update(zip(missing, self.model.encode_units([MARK + u for u in missing])))
-        get = new.__getitem__
-        out = [np.frombuffer(b"".join(map(get, units)) + self.end, np.uint16) for units in split]
-        for u in missing:
-            if len(u) > MEMO_CHARS:
-                del new[u]
-        if len(new) > MEMO_UNITS:
-            self.old, self.new = new, {}
-        return out
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        elif isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        buf, start, end, first = units(texts)
+        ids, edges = encode_spans(buf, start, end, first, self.memo, np.uint16)
+        tail = np.array([self.model.end_id], np.uint16)
+        return [np.concatenate((ids[a:b], tail)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -332,7 +318,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
         for table in C.bounded(batches):
-            ids = coder.encode(table.column("text").to_pylist())
+            ids = coder.encode(table.column("text"))
             yield from pa.table({"doc_id": table.column("doc_id"), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))}).to_batches()
 
     return _texts(docs).mapInArrow(work, ENCODED)
@@ -357,7 +343,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
         coder = encoder(model_path)
         names = [str(i) for i in range(len(coder.model.pieces))]
         for table in C.bounded(batches):
-            encoded = coder.encode(table.column("text").to_pylist())
+            encoded = coder.encode(table.column("text"))
             yield from pa.table(
                 {
                     "doc_id": table.column("doc_id"),

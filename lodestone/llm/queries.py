@@ -42,8 +42,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import token_files
+
+    return token_files.round_trip(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {fn.__name__: fn for fn in (op2_sentencepiece, op3_substring_dedup, op5_decontamination)}
+    return {fn.__name__: fn for fn in (op2_sentencepiece, op3_substring_dedup, op5_decontamination, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
