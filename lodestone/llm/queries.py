@@ -36,12 +36,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import shard_tree
+
+    return shard_tree.shard(_documents(spark, sf_dir), 24)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pieces
 
     return pieces.digest(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quality
+
+    return quality.judge(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import token_files
 
@@ -49,7 +61,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {fn.__name__: fn for fn in (op2_sentencepiece, op3_substring_dedup, op5_decontamination, op9_token_files)}
+    return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
