@@ -60,6 +60,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import license_scan
+
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
