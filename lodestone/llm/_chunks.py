@@ -66,8 +66,8 @@ def bounded(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
         yield pa.Table.from_batches(kept)
 
 
-def pack(docs: DataFrame, partitions: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, text), dealt by chunk number.
+def pack(docs: DataFrame, partitions: int, chunk_bytes: int = CHUNK_BYTES, whole: bool = False) -> DataFrame:
+    """Chunks of ``docs`` (doc_id and text, or ``whole`` rows), dealt by chunk number.
 
     The number is made of the task's partition and a counter, so a repeated
     task makes the same chunks again.
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, partitions: int, chunk_bytes: int = CHUNK_BYTES) -> Da
                 [pa.array([base + k], pa.int64()), pa.array([dump(table)], pa.binary())], names=["chunk", "payload"]
             )
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cols = docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cols.mapInArrow(make, CHUNK_SCHEMA).repartition(partitions, "chunk")
 
 
@@ -101,6 +101,7 @@ def doc_ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = table.column("doc_id").combine_chunks()
     if isinstance(ids, pa.ChunkedArray):
         ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.int64())
+    ids = ids.cast(pa.int64())
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     return ids.fill_null(0).to_numpy(zero_copy_only=False), known
 
@@ -199,12 +200,13 @@ def answer(asked: DataFrame, parts: int, fn: Callable[[int, list[dict]], Iterato
     return dealt.mapInArrow(work, schema)
 
 
-def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, pa.Table, dict[int, tuple[int, bytes]]], pa.Table | None], schema: str) -> DataFrame:
+def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, pa.Table, dict[int, tuple[int, bytes]]], pa.Table | None], schema) -> DataFrame:
     """Bring each chunk together with its replies: ``fn(chunk, docs, replies)``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    fields = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    empty = to_arrow_schema(fields).empty_table()
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

@@ -336,21 +336,22 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.mapInArrow(work, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode each document; return the number of ids and digests of both."""
+def digest(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode each document; return the number of ids, digests of both, and the ids if asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
         names = [str(i) for i in range(len(coder.model.pieces))]
         for table in C.bounded(batches):
             encoded = coder.encode(table.column("text"))
-            yield from pa.table(
-                {
-                    "doc_id": table.column("doc_id"),
-                    "n_tokens": pa.array([len(x) for x in encoded], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(" ".join(map(names.__getitem__, x.tolist())).encode()).hexdigest() for x in encoded], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(coder.model.decode(x)).hexdigest() for x in encoded], pa.string()),
-                }
-            ).to_batches()
-
-    return _texts(docs).mapInArrow(work, DIGEST)
+            columns = {
+                "doc_id": table.column("doc_id"),
+                "n_tokens": pa.array([len(x) for x in encoded], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(" ".join(map(names.__getitem__, x.tolist())).encode()).hexdigest() for x in encoded], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(coder.model.decode(x)).hexdigest() for x in encoded], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array([x.astype(np.int32) for x in encoded], pa.list_(pa.int32()))
+            yield from pa.table(columns).to_batches()
+
+    return _texts(docs).mapInArrow(work, DIGEST + ", ids array<int>" * with_ids)

@@ -60,6 +60,12 @@ def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import jaccard
+
+    return jaccard.join(_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import toxicity
 

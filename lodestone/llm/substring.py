@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,11 +160,11 @@ def _unpack_ids(data: bytes, n: int) -> np.ndarray:
     return values[np.frombuffer(data, width, n, 4 + 8 * count)]
 
 
-def covered_words(docs: DataFrame, finish, schema: str, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def covered_words(docs: DataFrame, finish, schema, chunk_bytes: int = C.CHUNK_BYTES, whole: bool = False) -> DataFrame:
     """Run ``finish(table, words, covered)`` on each chunk, with a mask of its repeated words."""
     spark = docs.sparkSession
     parts, bits = C.partitions(spark), C.bucket_bits(spark)
-    chunks = C.pack(docs, parts, chunk_bytes)
+    chunks = C.pack(docs, parts, chunk_bytes, whole)
 
     def ask(batches):
         for batch in batches:
@@ -235,6 +236,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     return covered_words(docs, _texts, CUT)
 
 
+def rewrite(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated words, all columns kept; ``n_chars``, where there, is the new text's.
+
+    Texts that lose no word stay as they are.
+    """
+    names = docs.columns
+
+    def finish(table: pa.Table, words: T.Words, covered: np.ndarray) -> pa.Table:
+        cut = _texts(table, words, covered)
+        changed = pc.greater(cut.column("n_removed"), 0)
+        for name, new in (("text", cut.column("kept_text")), ("n_chars", pc.utf8_length(cut.column("kept_text")))):
+            if name in names:
+                k = names.index(name)
+                table = table.set_column(k, table.schema.field(k), pc.if_else(changed, new.cast(table.schema.field(k).type), table.column(k)))
+        return table
+
+    return covered_words(docs, finish, docs.schema, whole=True)
+
+
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """As ``dedup`` with the SHA-256 of the kept words joined by one space in place of the text."""
     return covered_words(docs, _digests, RESULT)
