@@ -1,30 +1,3 @@
-"""All registered queries, one entry per operator of the inventory."""
+"""Importing this module registers every query of the library."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.plans.registry import register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register(
-    "q01_summary",
-    """SELECT r_name AS config_name, n_name AS category_name, count(*) AS objects
-       FROM customer JOIN nation ON c_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
-)
-def q01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").select("c_nationkey")
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
-    return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("r_name").alias("config_name"), F.col("n_name").alias("category_name"))
-        .agg(F.count("*").alias("objects"))
-    )
+from lodestone.plans import core, texts, tools, upkeep  # noqa: F401
