@@ -83,20 +83,14 @@ def rules() -> list[Rule]:
     ]
 
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_stops")
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts that the rules read; a projection of each row.
+def features(rows: DataFrame) -> DataFrame:
+    """The columns ``row`` and the counts that the rules read, of (row, text); a projection of each row.
 
     Words of 3-word windows that stand twice in a text: window hashes are
     compared as a set first; only a text in which a hash repeats is sorted.
     """
-    clash = [c for c in docs.columns if c in FEATURES]
-    if clash:
-        raise ValueError(f"columns {clash} would be overwritten; rename them first")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("__words", F.array_remove(F.split(text, SPACE), "")).withColumn(
+    out = rows.withColumn("__words", F.array_remove(F.split(text, SPACE), "")).withColumn(
         "__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     )
     words, n = F.col("__words"), F.size("__words")
@@ -114,7 +108,7 @@ def features(docs: DataFrame) -> DataFrame:
     cover = F.array_distinct(F.concat(t, F.transform(t, lambda i: i + 1), F.transform(t, lambda i: i + 2)))
     joined = F.array_join(words, "")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "row",
         n.cast("long").alias("n_words"),
         F.length(joined).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(joined, SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -168,16 +162,21 @@ def posterior(model: VoteModel, votes: list[Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """(row, text): the named columns, or all, as one struct, whatever their names."""
+    names = columns or tuple(docs.columns)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the posterior; texts are read once and not written again."""
-    slim = features(docs.select("doc_id", "text")).drop("text")
-    table = materialise(slim, "quality")
-    return _verdicts(table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    table = _verdicts(materialise(features(_rows(docs, "doc_id")), "quality"))
+    return table.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that the rules keep."""
-    return _verdicts(materialise(features(docs), "quality")).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _verdicts(materialise(features(_rows(docs)), "quality")).where("kept").select("row.*")
 
 
 def _verdicts(table: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Format. A data set is a folder of parts in ascending doc_id order. Part k has
 * ``part-KKKKK.off``: little-endian unsigned 64-bit integers, one more than it
   has documents: the id index, within the part, at which each document starts,
   and the number of ids;
-* ``part-KKKKK.doc``: the doc_ids, signed 64-bit.
+* ``part-KKKKK.doc``: the doc_ids, signed 64-bit; the smallest such integer stands for null.
 
 A part's place in the whole, its *base*, is the sum of the ids of the parts
 before it: a prefix sum over one count for each part, the only thing that is
@@ -56,6 +56,8 @@ from lodestone.session import scratch_path
 PART_BYTES = 64 << 20
 MEMO_PIECES = 400_000
 
+NO_ID = np.iinfo(np.int64).min
+
 MANIFEST = "part int, docs long, tokens long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -196,7 +198,8 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0, part_
         bpe = coder(tokenizer_path)
         out = _PartWriter(uri, TaskContext.get().partitionId(), bpe.dtype)
         for table in C.bounded(batches):
-            ids, _ = C.doc_ids(table)
+            ids, known = C.doc_ids(table)
+            ids = np.where(known, ids, NO_ID)
             tokens, edges = bpe.encode(table.column("text"))
             tokens = np.insert(tokens, edges[1:], end_id)
             out.add(tokens, edges + np.arange(len(edges)), ids)
@@ -249,7 +252,7 @@ def read(spark: SparkSession, manifest: DataFrame, uri: str, dtype: np.dtype, ba
                     b = min(len(part), a + batch)
                     sums = [zlib.crc32(part[k].astype("<u4").tobytes()) for k in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part.doc_ids[a:b]), pa.array(row["base"] + starts[a:b]), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())],
+                        [pa.array(part.doc_ids[a:b], mask=part.doc_ids[a:b] == NO_ID), pa.array(row["base"] + starts[a:b]), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
