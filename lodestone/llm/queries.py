@@ -89,4 +89,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the tests hold the others against brute force."""
+    from lodestone.llm.oracles import ORACLES
+
+    return dict(ORACLES)
