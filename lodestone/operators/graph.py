@@ -2,8 +2,8 @@
 
 Everything is a declared plan: one hop is an equi-join, optional hops are outer
 joins, existence is a semi- or anti-join. Variable-length expansions iterate a
-frontier join with a depth bound; each step's frontier is checkpointed where
-depth would otherwise make the plan grow.
+frontier join with a depth bound; the steps, which every level joins, are
+written to shared storage once, and so is each level of a closure.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialise
+
 ELEMENT = ("qn", "name", "label", "config_name", "category_name")
 
 
@@ -65,11 +67,11 @@ def closure(edges: DataFrame, rels: list[str], seeds: DataFrame, depth: int = 16
     ``seeds`` has the column qn. A tree has one path to a node, so no visited
     set is needed; the loop ends as soon as a level is empty.
     """
-    hop = edges.where(F.col("rel").isin(rels)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    level = seeds.select(F.col("qn").alias("root"), F.col("qn").alias("node"), F.lit(0).alias("depth"))
+    hop = materialise(edges.where(F.col("rel").isin(rels)).select(F.col("src").alias("node"), F.col("dst").alias("next")), "steps")
+    level = materialise(seeds.select(F.col("qn").alias("root"), F.col("qn").alias("node"), F.lit(0).alias("depth")), "level")
     out = level
     for d in range(1, depth + 1):
-        level = level.join(hop, "node").select("root", F.col("next").alias("node"), F.lit(d).alias("depth"))
+        level = materialise(level.join(hop, "node").select("root", F.col("next").alias("node"), F.lit(d).alias("depth")), "level")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -79,7 +81,7 @@ def closure(edges: DataFrame, rels: list[str], seeds: DataFrame, depth: int = 16
 def trails(edges: DataFrame, rel: str, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """Trails (no edge twice) of 1 to ``depth`` hops: root, path of nodes, hops."""
     src, dst = ("dst", "src") if reverse else ("src", "dst")
-    hop = edges.where(F.col("rel") == rel).select(F.col(src).alias("last"), F.col(dst).alias("next"))
+    hop = materialise(edges.where(F.col("rel") == rel).select(F.col(src).alias("last"), F.col(dst).alias("next")), "steps")
     level = seeds.select(F.col("qn").alias("root"), F.array("qn").alias("path"), F.array().cast("array<string>").alias("used"), F.col("qn").alias("last"))
     out = None
     for d in range(1, depth + 1):
@@ -96,7 +98,8 @@ def simple_paths(steps: DataFrame, seeds: DataFrame, depth: int, bridges: DataFr
 
     ``bridges`` (src, dst) move on from a reached node to its owner at no cost in depth.
     """
-    hop = steps.select(F.col("src").alias("last"), F.col("rel").alias("via"), F.col("dst").alias("next"))
+    hop = materialise(steps.select(F.col("src").alias("last"), F.col("rel").alias("via"), F.col("dst").alias("next")), "steps")
+    over = None if bridges is None else materialise(bridges.select(F.col("src").alias("last"), F.col("dst").alias("owner")), "bridges")
     level = seeds.select(F.col("qn").alias("root"), F.array("qn").alias("path"), F.array().cast("array<string>").alias("rels"), F.col("qn").alias("last"))
     out = None
     for d in range(1, depth + 1):
@@ -104,8 +107,7 @@ def simple_paths(steps: DataFrame, seeds: DataFrame, depth: int, bridges: DataFr
         level = level.select("root", F.concat("path", F.array("next")).alias("path"), F.concat("rels", F.array("via")).alias("rels"), F.col("next").alias("last"))
         found = level.select("root", "path", "rels", F.lit(d).alias("depth"))
         out = found if out is None else out.unionByName(found)
-        if bridges is not None:
-            over = bridges.select(F.col("src").alias("last"), F.col("dst").alias("owner"))
+        if over is not None:
             stepped = level.join(over, "last", "left")
             free = F.col("owner").isNotNull() & ~F.array_contains("path", F.col("owner"))
             level = stepped.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
 from lodestone.plans.registry import register
+from lodestone.session import materialise
 from lodestone.sources.projection import Graph, duck
 
 
@@ -114,7 +115,7 @@ def _recursive(sql: str) -> str:
 
 def _controls(g: Graph) -> DataFrame:
     """(form, node, depth) of every control below its form."""
-    roots = g.edges.where("rel = 'HAS_CONTROL'").select(F.col("src").alias("form"), F.col("dst").alias("root"))
+    roots = materialise(g.edges.where("rel = 'HAS_CONTROL'").select(F.col("src").alias("form"), F.col("dst").alias("root")), "roots")
     tree = G.closure(g.edges, ["HAS_CHILD"], roots.select(F.col("root").alias("qn")).distinct(), 4)
     return tree.join(roots, "root").select("form", "node", (F.col("depth") + 1).alias("depth"))
 

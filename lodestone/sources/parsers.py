@@ -29,12 +29,17 @@ def binary_text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(runs).alias("part", "run"))
 
 
+#: The upper half of a one-byte code page, as Latin-1 reads it and as Windows-1251 does.
+_HIGH = bytes(range(128, 256)).decode("latin-1")
+_CYRILLIC = bytes(range(128, 256)).decode("cp1251", "replace")
+
+
 def sniffed(data: Column) -> Column:
     """Bytes as text: UTF-8 with or without its mark, else Windows-1251."""
     marked = F.hex(F.substring(data, 1, 3)) == "EFBBBF"
     body = F.when(marked, F.expr("NULL").cast("binary")).otherwise(data)
     plain = F.try_validate_utf8(body.cast("string"))
-    return F.when(marked, F.substring(data.cast("string"), 2, 1 << 30)).otherwise(F.coalesce(plain, F.decode(data, "windows-1251")))
+    return F.when(marked, F.substring(data.cast("string"), 2, 1 << 30)).otherwise(F.coalesce(plain, F.translate(F.decode(data, "ISO-8859-1"), _HIGH, _CYRILLIC)))
 
 
 def html_text(html: Column) -> Column:
