@@ -77,7 +77,10 @@ def interleave(df: DataFrame, group: str, rank: str, quotas: list[int], total: i
     for k, q in enumerate(quotas, 1):
         quota = F.when(F.col(group) == k, F.lit(q)).otherwise(quota)
     staged = df.withColumn("first", F.when(F.col(rank) <= quota, 0).otherwise(1))
-    return staged.withColumn("slot", F.row_number().over(W.orderBy("first", *order))).where(F.col("slot") <= total)
+    # Only the quotas' rows and the best of the rest can get a slot, so few rows are numbered together.
+    rest = staged.where("first = 1").orderBy(*order).limit(total)
+    few = staged.where("first = 0").unionByName(rest)
+    return few.withColumn("slot", F.row_number().over(W.orderBy("first", *order))).where(F.col("slot") <= total)
 
 
 def best_window(df: DataFrame, parent: str, position: str, score: str, size: int) -> DataFrame:

@@ -32,8 +32,8 @@ def add_graph(name: str, sql: str, build) -> None:
 
 # --- projections, filters, predicates ---------------------------------------------------------------------
 
-for _mode, _sql in (("exact", "lower(p_brand) = 'brand#13'"), ("starts_with", "starts_with(lower(p_name), 'part 1')"), ("contains", "contains(lower(p_type), 'a')")):
-    _col, _needle = {"exact": ("p_brand", "BRAND#13"), "starts_with": ("p_name", "Part 1"), "contains": ("p_type", "A")}[_mode]
+for _mode, _sql in (("exact", "lower(p_brand) = 'brand#13'"), ("starts_with", "starts_with(lower(p_name), 'red')"), ("contains", "contains(lower(p_type), 'a')")):
+    _col, _needle = {"exact": ("p_brand", "BRAND#13"), "starts_with": ("p_name", "RED"), "contains": ("p_type", "A")}[_mode]
     add(f"pr01_{_mode}", f"SELECT p_partkey, p_name FROM part WHERE {_sql}", lambda d, m=_mode, c=_col, n=_needle: d.part.where(G.match(c, n, m)).select("p_partkey", "p_name"))
 add_graph("pr02_scope", "SELECT qn, label FROM nodes WHERE config_name = 'ASIA'", lambda g: G.scoped(g.nodes, "ASIA").select("qn", "label"))
 add_graph("pr03_subtree", "SELECT qn FROM nodes WHERE qn = 'tpch/ASIA' OR starts_with(qn, 'tpch/ASIA/')", lambda g: g.nodes.where(G.subtree("qn", "tpch/ASIA")).select("qn"))
@@ -50,7 +50,7 @@ def _members(df: DataFrame, column: str, wanted: list[str], known: list[str]) ->
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
 add("pr04_membership", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", lambda d: _members(d.customer, "c_mktsegment", ["BUILDING", "MACHINERY", "NOWHERE"], _SEGMENTS).select("c_custkey", "c_mktsegment"))
 add("pr04_unknown_category", "SELECT c_custkey FROM customer WHERE false", lambda d: _members(d.customer, "c_mktsegment", ["NOWHERE"], _SEGMENTS).select("c_custkey"))
-add("pr05_any_element", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: ends_with(x, '7'))) > 0", lambda d: d.part.where(F.exists(F.split("p_name", " "), lambda x: x.endswith("7"))).select("p_partkey"))
+add("pr05_any_element", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: ends_with(x, 't'))) > 0", lambda d: d.part.where(F.exists(F.split("p_name", " "), lambda x: x.endswith("t"))).select("p_partkey"))
 add("pr06_alias_keys", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS state FROM orders", lambda d: d.orders.select("o_orderkey", F.coalesce(F.nullif("o_orderstatus", F.lit("P")), "o_orderpriority").alias("state")))
 add(
     "pr07_property_filter",
@@ -364,7 +364,7 @@ add(
     "so09_quota_interleave",
     "SELECT p_partkey, slot FROM (SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN r <= CASE g WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey) AS INTEGER) AS slot FROM (SELECT p_partkey, p_retailprice, g, row_number() OVER (PARTITION BY g ORDER BY p_retailprice DESC, p_partkey) AS r FROM (SELECT p_partkey, p_retailprice, dense_rank() OVER (ORDER BY p_brand) AS g FROM part WHERE p_size < 10) a) b) c WHERE slot <= 8",
     lambda d: R.interleave(
-        d.part.where("p_size < 10").withColumn("g", F.dense_rank().over(W.orderBy("p_brand"))).withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.desc("p_retailprice"), "p_partkey"))),
+        d.part.where("p_size < 10").join(F.broadcast(d.part.where("p_size < 10").select("p_brand").distinct().withColumn("g", F.row_number().over(W.orderBy("p_brand")))), "p_brand").withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.desc("p_retailprice"), "p_partkey"))),
         "g", "r", [3, 1, 1], 8, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "slot"),
 )
 add("so10_merge_legs", "SELECT user_id, arg_max(event_type, value * 1000000000 + event_id) AS best, round(max(value), 6) AS score FROM events GROUP BY user_id", lambda d: d.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_id")).alias("best"), F.round(F.max("value"), 6).alias("score")))

@@ -64,7 +64,7 @@ add("tx06_weighted_columns", _field_sql(4.3), lambda d: _fields(d, {"text": 4.3}
 add("tx07_sanitise", "SELECT item_id, array_to_string(list_slice(list_transform(list_sort(list_transform(list_distinct(w), lambda x: [list_position(w, x)::VARCHAR.lpad(6, '0'), x])), lambda y: y[2]), 1, 12), ' OR ') AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]{3,}') AS w FROM benchmark) q".replace("list_position(w, x)::VARCHAR.lpad(6, '0')", "lpad(CAST(list_position(w, x) AS VARCHAR), 6, '0')"), lambda d: d.benchmark.select("item_id", T.sanitise(F.col("text")).alias("terms")))
 add("tx08_escape", r"""SELECT page_id, regexp_replace(url, '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g') AS escaped FROM pages""", lambda d: d.pages.select("page_id", T.escape_query(F.col("url")).alias("escaped")))
 add("tx09_overlap", "SELECT c.item_id AS a, e.item_id AS b, round(len(list_intersect(string_split(c.text, ' '), string_split(e.text, ' '))) / len(list_distinct(string_split(c.text, ' '))), 6) AS ratio FROM benchmark c JOIN benchmark e ON c.item_id + 1 = e.item_id", lambda d: d.benchmark.select(F.col("item_id").alias("a"), F.split("text", " ").alias("x")).join(d.benchmark.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.split("text", " ").alias("y")), "a").select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("ratio")))
-add("tx10_boost", "SELECT p_partkey, (CASE WHEN contains(lower(p_name), '7') THEN 2.0 ELSE 0.0 END + CASE WHEN starts_with(p_type, 'S') THEN 1.0 ELSE 0.0 END) * CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 0.5 ELSE 1.0 END::DOUBLE AS boost FROM part", lambda d: d.part.select("p_partkey", ((F.when(F.lower("p_name").contains("7"), 2.0).otherwise(0.0) + F.when(F.col("p_type").startswith("S"), 1.0).otherwise(0.0)) * F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), 0.5).otherwise(1.0)).alias("boost")))
+add("tx10_boost", "SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'ing') THEN 2.0 ELSE 0.0 END + CASE WHEN starts_with(p_type, 'S') THEN 1.0 ELSE 0.0 END) * CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 0.5 ELSE 1.0 END::DOUBLE AS boost FROM part", lambda d: d.part.select("p_partkey", ((F.when(F.lower("p_name").contains("ing"), 2.0).otherwise(0.0) + F.when(F.col("p_type").startswith("S"), 1.0).otherwise(0.0)) * F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), 0.5).otherwise(1.0)).alias("boost")))
 _STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) - {len(s)} >= 4 THEN substring(w, 1, length(w) - {len(s)})" for s in T.SUFFIXES) + " ELSE w END"
 add("tx11_stem", f"SELECT DISTINCT w, {_STEM} AS stem FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) x", lambda d: d.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct().select("w", T.stem(F.col("w")).alias("stem")))
 add("tx12_fuzzy", None, lambda d: (lambda w: w.join(w.withColumnRenamed("token", "other"), F.substring("token", 1, 4) == F.substring("other", 1, 4)).where("token < other").select("token", "other", F.round(T.fuzzy("token", "other"), 6).alias("ratio")).where("ratio >= 0.88"))(d.benchmark.select(F.explode(T.tokens("text", 5)).alias("token")).distinct()))
@@ -119,8 +119,8 @@ def _hybrid_sql(method: str, where: str | None = None, alpha: float = 0.6) -> st
     keep = f" AND doc_id IN (SELECT doc_id FROM documents WHERE {where})" if where else ""
     legs = []
     for name, src in (("t", "scored"), ("v", "vec")):
-        value = "CASE WHEN max(s.score) OVER (PARTITION BY item_id) > 0 THEN s.score / max(s.score) OVER (PARTITION BY item_id) ELSE 0 END" if method == "weighted" else "1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY item_id ORDER BY round(s.score, 9) DESC, doc_id))"
-        legs.append(f"{name} AS (SELECT item_id, doc_id, {value} AS value FROM {src} s WHERE item_id < 5{keep})")
+        value = "CASE WHEN max(s.score) OVER (PARTITION BY item_id) > 0 THEN s.score / max(s.score) OVER (PARTITION BY item_id) ELSE 0 END" if method == "weighted" else "1.0::DOUBLE / (60 + leg_rank)"
+        legs.append(f"{name} AS (SELECT item_id, doc_id, {value} AS value FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS leg_rank FROM {src} WHERE item_id < 5{keep}) s WHERE leg_rank <= 200)")
     return f"WITH {_BM25}, {_VEC}, {', '.join(legs)} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS k FROM (SELECT coalesce(t.item_id, v.item_id) AS item_id, coalesce(t.doc_id, v.doc_id) AS doc_id, {alpha} * coalesce(t.value, 0) + {beta} * coalesce(v.value, 0) AS score FROM t FULL JOIN v ON t.item_id = v.item_id AND t.doc_id = v.doc_id) f) r WHERE k <= 10"
 
 

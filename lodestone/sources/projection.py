@@ -9,7 +9,7 @@ time, and columns that a query does not use never leave the scans.
     Configuration regions, and one extension ``EXT_<region>`` for each
     category     nations; suppliers form the category ``Suppliers``
     object       customers and suppliers
-    child        orders; their kind follows from the key modulo 12
+    child        orders; their kind follows from the key modulo the number of kinds
     grandchild   (order, line number) of tabular parts, forms, modules, templates
     extension    every fifth customer, its children partly changed or added
 """
@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-KINDS = ("Attribute", "TabularPart", "Resource", "Dimension", "Form", "Command", "Layout", "PredefinedItem", "JournalGraph", "Module", "EnumValue", "UrlTemplate")
+KINDS = ("Attribute", "TabularPart", "Resource", "Dimension", "Form", "Command", "Layout", "PredefinedItem", "JournalGraph", "Module", "EnumValue", "UrlTemplate", "Characteristic")
 RELATIONS = {
     "Attribute": "HAS_ATTRIBUTE", "TabularPart": "HAS_TABULAR_PART", "Resource": "HAS_RESOURCE", "Dimension": "HAS_DIMENSION",
     "Form": "HAS_FORM", "Command": "HAS_COMMAND", "Layout": "HAS_LAYOUT", "PredefinedItem": "HAS_PREDEFINED",
-    "JournalGraph": "HAS_GRAPH", "Module": "HAS_MODULE", "EnumValue": "HAS_ENUM_VALUE", "UrlTemplate": "HAS_URL_TEMPLATE",
+    "JournalGraph": "HAS_GRAPH", "Module": "HAS_MODULE", "EnumValue": "HAS_ENUM_VALUE", "UrlTemplate": "HAS_URL_TEMPLATE", "Characteristic": "HAS_CHARACTERISTIC",
 }
 
-_KIND = "CASE o_orderkey % 12 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(KINDS)) + " END"
+_KIND = f"CASE o_orderkey % {len(KINDS)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(KINDS)) + " END"
 _REL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RELATIONS.items()) + " END"
 
 #: Common table expressions in order of use.
