@@ -3,7 +3,7 @@
 Every round is two aggregations and two joins over the edges; each node moves
 to the smallest neighbour that it knows of, so paths shorten to stars in about
 the logarithm of their length. No neighbourhood is collected: a hub's edges are
-rows of a join, which adaptive execution splits.
+rows that stream through an aggregate and a join.
 """
 
 from __future__ import annotations

@@ -13,16 +13,18 @@ without forming the pairs of a group:
    stand nowhere else has no partner and drops out: most do.
 3. *Stars.* Near copies share the smallest permuted shingle with probability of
    their similarity. Live documents with an equal smallest shingle, under each
-   of ``ROUNDS`` permutations, are compared with the first of them alone. A
-   group of any size costs one comparison a member, and verified links join
-   most groups into one component.
+   of ``ROUNDS`` permutations, are compared with one of them alone: the one with
+   the fewest shingles of its own, which is nearest to what the group has in
+   common. A group of any size costs one comparison a member, and verified
+   links join most groups into one component.
 4. *Size-banded tiles.* What is left are prefix shingles that documents of
    different components share. Entries are grouped by shingle and size band
    (sizes in ratio 3:4; a set meets its own band and the next). Within a tile,
-   pairs of different components are compared by hashed bitmap signatures: bits
-   that differ bound the symmetric difference from below, so bit counts bound
-   the overlap from above. Survivors are verified by exact intersection of the
-   sorted arrays.
+   pairs of different components are compared by size and by the shingle's
+   places in the two sets: at the first common shingle, what follows it bounds
+   the overlap. Survivors meet as hashed bitmap signatures: bits that differ
+   bound the symmetric difference from below, so bit counts bound the overlap
+   from above. Who passes is verified by exact intersection of the sorted arrays.
 
 Pairs that are already in one component need no comparison: their link would
 change no component. Every other pair that links shares a prefix shingle, so it
@@ -54,11 +56,12 @@ LINK_A, LINK_B = 100, 75
 ROUNDS = 2
 #: Bytes of a shingle where sets are compared.
 TOKEN_BYTES = 6
-BITMAP_MIN, BITMAP_MAX = 64, 4096
+#: Bits of a signature: a power of two from four for each element on, so that few differing elements hide.
+BITMAP_PER_ITEM, BITMAP_MIN, BITMAP_MAX = 4, 64, 1 << 17
 #: Rows of a tile that are compared with each other at a time.
 BLOCK = 1024
 
-SETS = "doc_id long, n long, same_as long, live boolean, k0 long, k1 long, tokens binary, prefix binary, bits binary"
+SETS = "doc_id long, n long, lone long, same_as long, live boolean, k0 long, k1 long, tokens binary, prefix binary, places binary, bits binary"
 
 
 def shingle_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +147,8 @@ def _long(data: bytes | None) -> np.ndarray:
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """Hashed bitmap, as many bits as the set has elements or more, up to a limit."""
-    width = min(BITMAP_MAX, max(BITMAP_MIN, 1 << (len(values) - 1).bit_length() if len(values) else 1))
+    """Hashed bitmap signature."""
+    width = min(BITMAP_MAX, max(BITMAP_MIN, 1 << (BITMAP_PER_ITEM * len(values)).bit_length()))
     bits = np.zeros(width, bool)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -187,13 +190,15 @@ def sets_of(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
         order = np.lexsort((s.values, cls, s.docs))
         place = np.arange(len(order)) - np.repeat(starts[:-1], sizes)
         length = sizes - (-(-LINK_B * sizes // LINK_A)) + 1
+        place_of = np.empty(len(order), np.int32)
+        place_of[order] = place
         in_prefix = np.zeros(len(order), bool)
         in_prefix[order[place < np.repeat(length, sizes)]] = True
         shared = cls > 0
         live = np.zeros(n_docs, bool)
         live[s.docs[in_prefix & shared]] = True
         keys = [T.mix(s.values ^ np.uint64(salt)) for salt in (0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-        columns: dict[str, list] = {k: [] for k in ("k0", "k1", "tokens", "prefix", "bits")}
+        columns: dict[str, list] = {k: [] for k in ("k0", "k1", "tokens", "prefix", "places", "bits")}
         for i in range(n_docs):
             if not live[i]:
                 for c in columns.values():
@@ -205,18 +210,22 @@ def sets_of(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
                 columns[name].append(int(keys[k][mine][both].min().view(np.int64)))
             columns["tokens"].append(_short(s.values[mine][both]))
             columns["prefix"].append(_short(s.values[mine][both & in_prefix[mine]]))
+            columns["places"].append(place_of[mine][both & in_prefix[mine]].tobytes())
             columns["bits"].append(_bitmap(s.values[mine]))
+        lone = sizes - np.bincount(s.docs[shared], minlength=n_docs)
         same = s.first != np.arange(n_docs)
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "n": pa.array(s.sizes.astype(np.int64)),
+                "lone": pa.array(lone.astype(np.int64)),
                 "same_as": pa.array(s.ids[s.first], mask=~same),
                 "live": pa.array(live),
                 "k0": pa.array(columns["k0"], pa.int64()),
                 "k1": pa.array(columns["k1"], pa.int64()),
                 "tokens": pa.array(columns["tokens"], pa.binary()),
                 "prefix": pa.array(columns["prefix"], pa.binary()),
+                "places": pa.array(columns["places"], pa.binary()),
                 "bits": pa.array(columns["bits"], pa.binary()),
             }
         )
@@ -256,11 +265,11 @@ def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def star_pairs(live: DataFrame) -> DataFrame:
-    """Each live document with the first of those that share a permuted smallest shingle."""
+    """Each live document with the most common of those that share a permuted smallest shingle."""
     out = None
     for k in range(ROUNDS):
-        key = live.select("doc_id", "n", F.col(f"k{k}").alias("k"))
-        hub = key.groupBy("k").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
+        key = live.select("doc_id", "n", "lone", F.col(f"k{k}").alias("k"))
+        hub = key.groupBy("k").agg(F.min(F.struct("lone", "doc_id", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
         found = key.join(hub, "k").where(F.col("doc_id") != F.col("hub.doc_id"))
         found = found.where((LINK_A * F.col("n") >= LINK_B * F.col("hub.n")) & (LINK_A * F.col("hub.n") >= LINK_B * F.col("n")))
         found = found.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
@@ -273,28 +282,27 @@ def _band() -> F.Column:
 
 
 def tile_pairs(live: DataFrame, part_of: DataFrame, parts: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the bitmap bound."""
+    """Pairs of different components that share a prefix shingle and may link by sizes and places."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, n, comp, prefix = (batch.column(k).to_pylist() for k in range(4))
+            doc, n, comp, prefix, places = (batch.column(k).to_pylist() for k in range(5))
             lists = [_long(p) for p in prefix]
             sizes = [len(x) for x in lists]
             if sum(sizes):
                 flat = np.concatenate(lists)
+                place = np.frombuffer(b"".join(p or b"" for p in places), np.int32)
                 cols = [np.repeat(np.array(x, np.int64), sizes) for x in (doc, n, comp)]
-                yield pa.RecordBatch.from_arrays([pa.array(flat), *map(pa.array, cols)], names=["token", "doc_id", "n", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *map(pa.array, cols), pa.array(place)], names=["token", "doc_id", "n", "component", "place"])
 
     known = live.join(part_of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
-    listed = known.select("doc_id", "n", "component", "prefix").mapInArrow(entries, "token long, doc_id long, n long, component long")
+    listed = known.select("doc_id", "n", "component", "prefix", "places").mapInArrow(entries, "token long, doc_id long, n long, component long, place int")
     listed = materialise(listed, "prefixes")
     split = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    # Only documents that hold such a shingle bring their bitmap.
-    open_entries = listed.join(split, "token").join(live.select("doc_id", "bits"), "doc_id")
-    home = open_entries.withColumn("band", _band()).withColumn("home", F.lit(True))
+    home = listed.join(split, "token").withColumn("band", _band()).withColumn("home", F.lit(True))
     guest = home.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False))
-    rows = home.unionByName(guest).select("token", "band", "home", "doc_id", "n", "component", "bits")
+    rows = home.unionByName(guest).select("token", "band", "home", "doc_id", "n", "component", "place")
     rows = rows.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "n")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,53 +312,49 @@ def tile_pairs(live: DataFrame, part_of: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(tiles, "a long, b long").distinct()
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of one (token, band) each."""
-    kept: list[pa.RecordBatch] = []
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of one (token, band) each, after these two; tiles of one row or component are passed over."""
+    kept: list[list[np.ndarray]] = []
     now = None
+
+    def whole() -> Iterator[list[np.ndarray]]:
+        tile = [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*kept)]
+        if len(tile[0]) > 1 and tile[3].min() != tile[3].max():
+            yield tile
+
     for batch in batches:
-        token, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        token, band, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         cut = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
             if a == b:
                 continue
             key = (int(token[a]), int(band[a]))
             if key != now and kept:
-                yield pa.Table.from_batches(kept)
+                yield from whole()
                 kept = []
             now = key
-            kept.append(batch.slice(a, b - a))
+            kept.append([c[a:b] for c in rest])
     if kept:
-        yield pa.Table.from_batches(kept)
+        yield from whole()
 
 
-def _tile_pairs(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(tile: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Survivors of a tile, block by block of rows in order of size."""
-    if tile.num_rows < 2:
-        return
-    home, doc, n, comp = (tile.column(k).to_numpy() for k in (2, 3, 4, 5))
-    if comp.min() == comp.max():
-        return
-    maps = tile.column(6).to_pylist()
-    width = 8 * min(map(len, maps))
-    bits = np.stack([_fold(m, width) for m in maps])
+    home, doc, n, comp, place = tile
+    after = n - place
     for i in range(0, len(doc), BLOCK):
         a = slice(i, i + BLOCK)
         for j in range(i, len(doc), BLOCK):
             b = slice(j, j + BLOCK)
             if LINK_A * n[a].max() < LINK_B * n[b].min():
                 break
-            sizes = n[a][:, None] + n[b][None, :]
             may = (comp[a][:, None] != comp[b][None, :]) & (home[a][:, None] | home[b][None, :])
-            may &= LINK_A * np.minimum(n[a][:, None], n[b][None, :]) >= LINK_B * np.maximum(n[a][:, None], n[b][None, :])
+            # The shingles from here on bound the overlap, and so does the smaller set.
+            may &= links(n[a][:, None], n[b][None, :], np.minimum(after[a][:, None], after[b][None, :]))
             if i == j:
                 may &= np.arange(may.shape[0])[:, None] < np.arange(may.shape[1])[None, :]
             x, y = np.nonzero(may)
-            if not len(x):
-                continue
-            differ = np.bitwise_count(bits[a][x] ^ bits[b][y]).sum(1).astype(np.int64)
-            ok = links(sizes[x, y], 0, (sizes[x, y] - differ) // 2)
-            p, q = doc[a][x[ok]], doc[b][y[ok]]
+            p, q = doc[a][x], doc[b][y]
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["a", "b"])
 
