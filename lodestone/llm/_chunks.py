@@ -16,6 +16,7 @@ task's memory is a bucket, not a partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a reused worker otherwise holds on to its largest batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def bounded(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches of (…, text) into tables of about ``limit`` bytes of text."""
     kept: list[pa.RecordBatch] = []
@@ -64,6 +74,8 @@ def bounded(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
                 kept, size = [], 0
     if kept:
         yield pa.Table.from_batches(kept)
+    kept = []
+    give_back()
 
 
 def pack(docs: DataFrame, partitions: int, chunk_bytes: int = CHUNK_BYTES, whole: bool = False) -> DataFrame:
@@ -177,6 +189,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
             rows.append(row)
     if rows:
         yield now, rows
+    rows = []
+    give_back()
 
 
 def answer(asked: DataFrame, parts: int, fn: Callable[[int, list[dict]], Iterator[tuple[int, int, bytes]]], schema: str = REPLY_SCHEMA) -> DataFrame:
@@ -213,6 +227,7 @@ def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, p
             return empty
         answers = {r["bucket"]: (r["n"], r["reply"]) for r in right.to_pylist()}
         out = fn(left.column("chunk")[0].as_py(), load(left.column("payload")[0].as_py()), answers)
+        give_back()
         return empty if out is None else out
 
     right = replies.repartition(parts, "chunk")

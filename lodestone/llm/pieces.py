@@ -39,9 +39,11 @@ from lodestone.llm._units import UnitMemo, encode_spans
 
 MARK = "▁"
 #: Units kept by a worker in each of two generations.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 150_000
 #: Symbols in a merge batch.
-BATCH_SYMBOLS = 1 << 19
+BATCH_SYMBOLS = 1 << 18
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 1 << 20
 
 ENCODED = "doc_id long, ids array<int>"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -317,7 +319,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
-        for table in C.bounded(batches):
+        for table in C.bounded(batches, BATCH_BYTES):
             ids = coder.encode(table.column("text"))
             yield from pa.table({"doc_id": table.column("doc_id"), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))}).to_batches()
 
@@ -342,7 +344,7 @@ def digest(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
         names = [str(i) for i in range(len(coder.model.pieces))]
-        for table in C.bounded(batches):
+        for table in C.bounded(batches, BATCH_BYTES):
             encoded = coder.encode(table.column("text"))
             columns = {
                 "doc_id": table.column("doc_id"),
