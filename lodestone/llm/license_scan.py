@@ -5,8 +5,10 @@ are found in the text of normalised words parted by single blanks, and counted
 by cutting that text at the phrase: the words before each cut are the places.
 
 The method adds labels by a join of text blocks with license templates. A block
-(a line of the text) meets a template if it holds at least ``CONTAINED`` of the
-template's distinct words. The join is exact and does no more than it must:
+meets a template if it holds at least ``CONTAINED`` of the template's distinct
+words. Blocks are the lines of the text, and the runs of as many consecutive
+words as the template's text has, so that a notice wrapped over lines is found.
+The join is exact and does no more than it must:
 
 * tokens of all templates are ordered by the number of documents that hold
   them, counted over all documents; rare tokens come first;
@@ -16,6 +18,8 @@ template's distinct words. The join is exact and does no more than it must:
 * length filter: such a block has ceil(c n) distinct template tokens at least;
 * positional filter: if a block's first match is the template's i-th token, the
   tokens before it are lost, so n - i + 1 must still reach ceil(c n);
+* runs are looked at only around a word of the prefix; the words that any such
+  run can hold bound the overlap first;
 * what is left is verified by the exact intersection.
 
 The templates are a parameter of proven size: their tokens are literals of the
@@ -56,9 +60,13 @@ TEMPLATES = (
 )
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(NOT_WORD, text.lower()) if w]
+
+
 def tokens(text: str) -> list[str]:
     """Distinct normalised words of a template, in order of the text."""
-    return list(dict.fromkeys(w for w in re.split(NOT_WORD, text.lower()) if w))
+    return list(dict.fromkeys(_words(text)))
 
 
 def normalised(text: Column) -> Column:
@@ -101,6 +109,24 @@ def _template_order(docs: DataFrame, templates: list[tuple[str, list[str]]]) ->
     return {w: k for k, w in enumerate(sorted(words, key=lambda w: (counted.get(w, 0), w)))}
 
 
+def _runs(docs: DataFrame, key: str, prefix: list[str], longest: int, wanted: DataFrame) -> DataFrame:
+    """Runs of a template's length that meet it: key, label, both, words.
+
+    A run that meets a template holds a word of its prefix, so for each such
+    word the best of the runs that hold it is taken.
+    """
+    # The word, its place in the cut, and the cut: the words that a run with it can hold.
+    first = lambda i: F.greatest(i - (longest - 1), F.lit(0))
+    cut = lambda i: F.slice("every_word", first(i) + 1, i - first(i) + longest)
+    place = lambda w, i: F.when(w.isin(prefix), F.struct(w.alias("token"), (i - first(i)).alias("mid"), cut(i).alias("cut")))
+    split = docs.select(key, F.split(F.trim("norm"), " ").alias("every_word"))
+    near = split.select(key, F.explode(F.array_compact(F.transform("every_word", place))).alias("near")).select(key, "near.*")
+    near = near.join(wanted, "token").where(F.size(F.array_intersect("cut", "words")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("mid") - F.col("span") + 1, F.lit(0)), F.col("mid"))
+    both = F.array_max(F.transform(starts, lambda a: F.size(F.array_intersect(F.slice("cut", a + 1, F.col("span")), F.col("words")))))
+    return near.withColumn("both", both).where(F.col("both") >= F.col("need")).select(key, "label", "both", "words")
+
+
 def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Blocks that meet a template: key, label, overlap (share of the template's words).
 
@@ -108,6 +134,7 @@ def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: f
     """
     spark = docs.sparkSession
     listed = [(label, t) for label, text in templates if (t := tokens(text))]
+    spans = [len(_words(text)) for _, text in templates if tokens(text)]
     rank = _template_order(docs, listed)
     rows, prefix = [], set()
     for k, (label, words) in enumerate(listed):
@@ -115,8 +142,8 @@ def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: f
         need = max(1, math.ceil(contained * len(ordered) - 1e-9))
         for i, w in enumerate(ordered[: len(ordered) - need + 1]):
             prefix.add(w)
-            rows.append((w, k, label, i, need, ordered))
-    wanted = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, words array<string>")
+            rows.append((w, k, label, i, need, spans[k], ordered))
+    wanted = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, span int, words array<string>")
     if not prefix:
         return docs.select(key, F.lit("").alias("label"), F.lit(0.0).alias("overlap")).where(F.lit(False))
     # One pattern, so that the text is normalised once where this filter is pushed to the scan.
@@ -131,6 +158,8 @@ def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: f
     hits = hits.where((F.size("have") >= F.col("need")) & (F.size("words") - F.col("place") >= F.col("need")))
     both = F.size(F.array_intersect("have", "words"))
     hits = hits.withColumn("both", both).where(F.col("both") >= F.col("need"))
+    runs = _runs(docs.where(holds), key, sorted(prefix), max(spans), F.broadcast(wanted))
+    hits = hits.select(key, "label", "both", "words").unionByName(runs)
     return hits.groupBy(key, "label").agg(F.max(F.col("both") / F.size("words")).alias("overlap"))
 
 

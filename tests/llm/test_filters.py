@@ -149,6 +149,42 @@ def test_license_scan_matches_brute_force(spark, docs, corpus, empty):
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
 
 
+def brute_runs(text):
+    """Labels and best share over lines and over runs of as many words as a template has."""
+    blocks = [{x.decode() for x in plain_words(line)} for line in (text or "").split("\n")]
+    w, every, best = [x.decode() for x in plain_words(text)], set(), 0.0
+    for label, template in license_scan.TEMPLATES:
+        words, n = set(license_scan.tokens(template)), len(plain_words(template))
+        for have in blocks + [set(w[k : k + n]) for k in range(len(w))]:
+            if len(have & words) >= license_scan.CONTAINED * len(words) - 1e-9:
+                every.add(label)
+                best = max(best, len(have & words) / len(words))
+    return every, best
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    rng = random.Random(5)
+    rows = [(0, "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:")]
+    for k in range(1, 120):
+        notice = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].split()
+        for _ in range(rng.randrange(6)):
+            notice[rng.randrange(len(notice))] = rng.choice([*WORDS, "the", "license"])
+        for _ in range(rng.randrange(4)):
+            notice.insert(rng.randrange(len(notice)), rng.choice(WORDS))
+        text = [*rng.choices(WORDS, k=rng.randrange(40)), *notice, *rng.choices(WORDS, k=rng.randrange(40))]
+        rows.append((k, "".join(x + ("\n// " if rng.random() < 0.2 else " ") for x in text)))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == "bsd" and got[0]["score"] == 1.0
+    wrapped = 0
+    for k, text in rows:
+        every, best = brute_runs(text)
+        base = set(filter(None, got[k]["base_labels"].split(",")))
+        assert got[k]["labels"] == ",".join(sorted(every | base))
+        assert got[k]["score"] == pytest.approx(1.0 if base else best)
+        wrapped += got[k]["labels"] != brute_license(text)[5]
+    assert wrapped > 10
+
+
 def test_license_scan_refuses_unbounded_templates(docs):
     many = [("x", " ".join(f"w{k}" for k in range(license_scan.MAX_TOKENS + 1)))]
     with pytest.raises(ValueError):
