@@ -67,7 +67,7 @@ add("tx09_overlap", "SELECT c.item_id AS a, e.item_id AS b, round(len(list_inter
 add("tx10_boost", "SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'ing') THEN 2.0 ELSE 0.0 END + CASE WHEN starts_with(p_type, 'S') THEN 1.0 ELSE 0.0 END) * CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 0.5 ELSE 1.0 END::DOUBLE AS boost FROM part", lambda d: d.part.select("p_partkey", ((F.when(F.lower("p_name").contains("ing"), 2.0).otherwise(0.0) + F.when(F.col("p_type").startswith("S"), 1.0).otherwise(0.0)) * F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), 0.5).otherwise(1.0)).alias("boost")))
 _STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) - {len(s)} >= 4 THEN substring(w, 1, length(w) - {len(s)})" for s in T.SUFFIXES) + " ELSE w END"
 add("tx11_stem", f"SELECT DISTINCT w, {_STEM} AS stem FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) x", lambda d: d.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct().select("w", T.stem(F.col("w")).alias("stem")))
-add("tx12_fuzzy", None, lambda d: (lambda w: w.join(w.withColumnRenamed("token", "other"), F.substring("token", 1, 4) == F.substring("other", 1, 4)).where("token < other").select("token", "other", F.round(T.fuzzy("token", "other"), 6).alias("ratio")).where("ratio >= 0.88"))(d.benchmark.select(F.explode(T.tokens("text", 5)).alias("token")).distinct()))
+add("tx12_fuzzy", None, lambda d: T.fuzzy_pairs(d.benchmark.select(F.explode(T.tokens("text")).alias("token")), 0.88))
 add("tx13_quoted", "SELECT p_partkey, len(regexp_extract_all('\"' || p_type || '\" x \"' || p_brand || '\"', '\"([^\"]+)\"', 1)) AS phrases, regexp_extract('\"' || p_type || '\" x', '\"([^\"]+)\"', 1) = p_type AS boosted FROM part", lambda d: d.part.withColumn("q", F.regexp_extract_all(F.concat(F.lit('"'), "p_type", F.lit('" x "'), "p_brand", F.lit('"')), F.lit('"([^"]+)"'), F.lit(1))).select("p_partkey", F.size("q").cast("long").alias("phrases"), (F.get("q", F.lit(0)) == F.col("p_type")).alias("boosted")))
 add("tx14_prefix_or_edit", "SELECT c_custkey FROM customer WHERE starts_with(lower(c_mktsegment), 'build') OR levenshtein(lower(c_mktsegment), 'machinerx') <= 1", lambda d: d.customer.where(F.lower("c_mktsegment").startswith("build") | (F.levenshtein(F.lower("c_mktsegment"), F.lit("machinerx")) <= 1)).select("c_custkey"))
 add("tx15_joined_name", "SELECT o_orderkey, translate(lower(o_orderpriority), 'ё _-', 'е') AS joined FROM orders", lambda d: d.orders.select("o_orderkey", T.joined_name(F.col("o_orderpriority")).alias("joined")))

@@ -132,3 +132,27 @@ def test_routine_states(spark):
     new = spark.createDataFrame([(1, "s", "b", "d", 1, "f"), (2, "S", "B", "d", 1, "f"), (3, "s", "B", "D", 1, "f"), (4, "s", "b", "D", 2, "f"), (5, "s", "b", "d", 2, "f"), (6, "s", "b", "d", 1, "g"), (9, "s", "b", "d", 1, "f")], schema)
     got = dict(rows(I.routine_delta(old, new), "id", "state"))
     assert got == {1: "unchanged", 2: "signature_changed", 3: "body_changed", 4: "doc_changed", 5: "line_only", 6: "body_changed", 7: "deleted", 9: "added"}
+
+
+def test_fuzzy_pairs_are_those_of_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    base = ["information", "application", "redistribution", "configuration", "data", "datas", "database", "abcde", "aaaaaaaab", "x_1"]
+    words = {*base, "imformation", "xapplication", "dat", "abcd", "bcde", "baaaaaaaa", "informationinformation"}
+    for _ in range(300):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = rng.choice(["", "a", "e", "7", "xy"])
+        words.add("".join(w))
+
+    def ratio(x, y):
+        return 0.94 if min(len(x), len(y)) >= 4 and (x.startswith(y) or y.startswith(x)) else SequenceMatcher(None, x, y).ratio()
+
+    words = sorted(x for x in words if len(x) >= 3)
+    want = {(x, y, round(ratio(x, y), 6)) for x in words for y in words if x < y and round(ratio(x, y), 6) >= 0.88}
+    got = [tuple(r) for r in T.fuzzy_pairs(spark.createDataFrame([(x,) for x in words * 2], "token string"), 0.88).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {("imformation", "information"), ("application", "xapplication"), ("abcd", "abcde")} <= {g[:2] for g in got}
