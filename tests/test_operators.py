@@ -156,3 +156,14 @@ def test_fuzzy_pairs_are_those_of_all_pairs(spark):
     got = [tuple(r) for r in T.fuzzy_pairs(spark.createDataFrame([(x,) for x in words * 2], "token string"), 0.88).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {("imformation", "information"), ("application", "xapplication"), ("abcd", "abcde")} <= {g[:2] for g in got}
+
+
+def test_rerank_reads_whole_texts(spark, tmp_path):
+    from lodestone.plans import registry
+
+    start = "alpha beta " * 10
+    docs = [(1, start + "gamma"), (2, start + "delta"), (3, start + "gamma delta epsilon"), (4, "nothing here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, start + "gamma epsilon")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["rerank"] for r in registry.queries()["q34_rerank"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.75, 2: 0.5, 3: 1.0}
