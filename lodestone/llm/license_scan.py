@@ -16,8 +16,9 @@ The join is exact and does no more than it must:
   first n - ceil(c n) + 1 tokens in that order; only blocks with such a token
   are joined, by an equi-join on it;
 * length filter: such a block has ceil(c n) distinct template tokens at least;
-* positional filter: if a block's first match is the template's i-th token, the
-  tokens before it are lost, so n - i + 1 must still reach ceil(c n);
+* positional filter: a line's template tokens are put in the same order; what
+  stands from the first common token on, in the line and in the template, bounds
+  the overlap, and must still reach ceil(c n);
 * runs are looked at only around a word of the prefix; the words that any such
   run can hold bound the overlap first;
 * what is left is verified by the exact intersection.
@@ -109,6 +110,11 @@ def _template_order(docs: DataFrame, templates: list[tuple[str, list[str]]]) ->
     return {w: k for k, w in enumerate(sorted(words, key=lambda w: (counted.get(w, 0), w)))}
 
 
+def _by_place(hits: DataFrame) -> DataFrame:
+    """Hits whose common token may be the first one: what follows it on both sides reaches ``need``. The length filter is part of it."""
+    return hits.where(F.least(F.size("have") - F.col("at"), F.size("words") - F.col("place")) >= F.col("need"))
+
+
 def _runs(docs: DataFrame, key: str, prefix: list[str], longest: int, wanted: DataFrame) -> DataFrame:
     """Runs of a template's length that meet it: key, label, both, words.
 
@@ -148,14 +154,13 @@ def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: f
         return docs.select(key, F.lit("").alias("label"), F.lit(0.0).alias("overlap")).where(F.lit(False))
     # One pattern, so that the text is normalised once where this filter is pushed to the scan.
     holds = F.col("norm").rlike(f" (?:{'|'.join(sorted(prefix))}) ")
-    every = F.array(*[F.lit(w) for w in sorted(rank)])
+    every = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)])
     lines = docs.where(holds).select(key, F.posexplode(F.split(F.col("text"), "\n")).alias("line", "block"))
-    blocks = lines.select(key, "line", F.array_intersect(F.split(normalised(F.col("block")), " "), every).alias("have"))
+    blocks = lines.select(key, "line", F.array_intersect(every, F.split(normalised(F.col("block")), " ")).alias("have"))
     least = min(r[4] for r in rows)
     blocks = blocks.where(F.size("have") >= least)
-    found = F.array_intersect("have", F.array(*[F.lit(w) for w in sorted(prefix)]))
-    hits = blocks.withColumn("token", F.explode(found)).join(F.broadcast(wanted), "token")
-    hits = hits.where((F.size("have") >= F.col("need")) & (F.size("words") - F.col("place") >= F.col("need")))
+    hits = blocks.select(key, "have", F.posexplode("have").alias("at", "token")).where(F.col("token").isin(sorted(prefix)))
+    hits = _by_place(hits.join(F.broadcast(wanted), "token"))
     both = F.size(F.array_intersect("have", "words"))
     hits = hits.withColumn("both", both).where(F.col("both") >= F.col("need"))
     runs = _runs(docs.where(holds), key, sorted(prefix), max(spans), F.broadcast(wanted))

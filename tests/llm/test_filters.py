@@ -185,6 +185,25 @@ def test_license_scan_finds_wrapped_notices(spark):
     assert wrapped > 10
 
 
+def test_license_positional_filter_rejects(spark, monkeypatch):
+    """A line with enough template words, of which too few follow the first common one, is not verified."""
+    seen, by_place = [], license_scan._by_place
+
+    def watch(hits):
+        out = by_place(hits)
+        seen.append((hits.where("size(have) >= need").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(license_scan, "_by_place", watch)
+    templates = [("one", "a b c d e"), ("two", "f g h i j")]
+    texts = ["a b c d e", "b c d e", "a c d e", "e f g h i j", "a b f g", "f g h a", "f g h i b", "a b c f g h"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates)
+    labels = {r["doc_id"]: r["labels"] for r in got.collect()}
+    words = {label: set(t.split()) for label, t in templates}
+    assert labels == {k: ",".join(x for x in words if len(words[x] & set(t.split())) >= 4) for k, t in enumerate(texts)}
+    assert seen and seen[0][1] < seen[0][0]
+
+
 def test_license_scan_refuses_unbounded_templates(docs):
     many = [("x", " ".join(f"w{k}" for k in range(license_scan.MAX_TOKENS + 1)))]
     with pytest.raises(ValueError):
