@@ -15,13 +15,15 @@ shard in a region of its own: all other weights stay, so the new shard takes
 rows only into itself and no row moves between old ones (law ``key``). From 24
 shards on, ``tree(n + 1)`` is ``grow(tree(n))``.
 
-``slot`` numbers the rows of a shard from 0 without a gap. Rows are dealt to
-small buckets inside the shard by hash; a bucket's base is a prefix sum over
-bucket counts, and rows are numbered within a bucket. No task holds a shard.
+``slot`` numbers the rows of a shard from 0 without a gap. Every row gets a
+number of its own where it is scanned, which is written with it; rows are dealt
+to small buckets inside the shard by a hash of that number, a bucket's base is a
+prefix sum over bucket counts, and rows are numbered within a bucket. No task
+holds a shard, nor the rows of an id that repeats.
 
 Defined cases: a null text has size 8 and the CRC of no bytes; a null doc_id is
-hashed as a value of its own, its bucket by the text's CRC. Rows of one doc_id
-share a shard and take slots in order of CRC and size. Other columns are ignored.
+hashed as a value of its own. Rows of one doc_id share a shard and have slots of
+their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,44 +76,53 @@ def tree(shards: int) -> Tree:
     return out
 
 
-def _draw(key: Column, level: str, path: list[Column], child: int, weight: float) -> Column:
-    """ln(u) / weight of a child; u from 52 bits of the hash, never 0 or 1."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), *path, F.lit(child)), 12)
-    u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.log(u) / F.lit(weight)
+def _children(weights: tuple[tuple[tuple[float, ...], ...], ...]) -> Column:
+    """The tree as one literal: regions of (name, weight, racks of (name, weight, shards of (name, weight, number)))."""
+    regions, number = [], 0
+    for i, region in enumerate(weights):
+        racks = []
+        for j, rack in enumerate(region):
+            shards = []
+            for k, weight in enumerate(rack):
+                if weight > 0:
+                    shards.append(_node(f"shard {i} {j} {k}", weight, k, F.lit(number)))
+                number += 1
+            if shards:
+                racks.append(_node(f"rack {i} {j}", sum(rack), j, F.array(*shards)))
+        if racks:
+            regions.append(_node(f"region {i}", sum(map(sum, region)), i, F.array(*racks)))
+    if not regions:
+        raise ValueError("no shard has a weight")
+    return F.array(*regions)
 
 
-def _winner(key: Column, level: str, path: list[Column], weights: tuple[float, ...]) -> Column:
-    """Index of the child with the largest draw; the first one in a tie."""
-    live = [(i, w) for i, w in enumerate(weights) if w > 0]
-    if len(live) == 1:
-        return F.lit(live[0][0])
-    draws = [F.struct(_draw(key, level, path, i, w).alias("draw"), F.lit(-i).alias("child")) for i, w in live]
-    return -F.greatest(*draws).getField("child")
+def _node(name: str, weight: float, place: int, below: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(place).alias("place"), below.alias("below"))
 
 
-def _switch(of: Column, cases: list[Column]) -> Column:
-    """The case of the index ``of``."""
-    out = F.when(of == 0, cases[0])
-    for k, case in enumerate(cases[1:], 1):
-        out = out.when(of == k, case)
-    return out
+def _winner(key: Column, children: Column) -> Column:
+    """What is below the child with the largest draw ln(u) / weight; below the first one in a tie.
+
+    u is from 52 bits of the hash, never 0 or 1.
+    """
+
+    def draw(child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, child["name"]), 12)
+        u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+        return F.struct((F.log(u) / child["weight"]).alias("draw"), (-child["place"]).alias("first"), child["below"].alias("below"))
+
+    return F.array_max(F.transform(children, draw))["below"]
 
 
 def assign(df: DataFrame, key: Column, layout: Tree, name: str) -> DataFrame:
-    """Add the shard of each row as column ``name``; a projection, nothing is shuffled."""
-    w = layout.weights
-    region, rack = f"__{name}_region", f"__{name}_rack"
-    df = df.withColumn(region, _winner(key, "region", [], tuple(sum(map(sum, r)) for r in w)))
-    df = df.withColumn(rack, _switch(F.col(region), [_winner(key, "rack", [F.col(region)], tuple(map(sum, r))) for r in w]))
-    cases, base = [], 0
-    for r in w:
-        racks = []
-        for x in r:
-            racks.append(F.lit(base) + _winner(key, "shard", [F.col(region), F.col(rack)], x))
-            base += len(x)
-        cases.append(_switch(F.col(rack), racks))
-    return df.withColumn(name, _switch(F.col(region), cases).cast("int")).drop(region, rack)
+    """Add the shard of each row as column ``name``; a projection, nothing is shuffled.
+
+    Each level is an argument of the next one and named once in it, so the
+    expression has three draws for any layout, and a filter that the optimizer
+    inlines adds three.
+    """
+    shards = _winner(key, _winner(key, _children(layout.weights)))
+    return df.withColumn(name, _winner(key, shards).cast("int"))
 
 
 def shard(docs: DataFrame, shards: int = BASE, layout: Tree | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -125,14 +136,15 @@ def shard(docs: DataFrame, shards: int = BASE, layout: Tree | None = None, bucke
     )
     rows = assign(rows, F.col("doc_id"), layout, "shard")
     rows = assign(rows, F.col("doc_id"), layout.grow(), "grown_shard")
-    rows = materialise(rows, "shards")
+    # Written with the row: a task that is run again finds the same number.
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "shards")
     # The count is read from the files' footers.
     buckets = max(1, -(-rows.count() // (bucket_rows * layout.size)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", "text_crc32"), F.lit("slot")), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit("slot")), F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    within = W.partitionBy("shard", "bucket").orderBy("row")
     numbered = rows.withColumn("place", F.row_number().over(within))
     return numbered.join(bases, ["shard", "bucket"]).select(
         "doc_id",

@@ -93,6 +93,51 @@ def test_growth_moves_rows_into_the_new_shard_only(spark, n):
     assert abs(moved[0]["count"] - 20_000 / (n + 1)) < 6 * math.sqrt(20_000 / (n + 1))
 
 
+@pytest.mark.parametrize("n", [24, 200])
+def test_a_filter_on_a_shard_does_not_multiply_the_draws(spark, n):
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    layout = shard_tree.tree(n)
+    both = shard_tree.assign(shard_tree.assign(ids, F.col("doc_id"), layout, "shard"), F.col("doc_id"), layout.grow(), "grown")
+    for filtered, most in ((both, 6), (both.where("shard = 3"), 9), (both.where("shard <> grown"), 12)):
+        assert filtered._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") <= most
+
+
+def brute_shard(spark, ids, layout):
+    """Descent by explicit loops; the hashes are Spark's."""
+    names = [f"region {i}" for i in range(len(layout.weights))]
+    names += [f"rack {i} {j}" for i, r in enumerate(layout.weights) for j in range(len(r))]
+    names += [f"shard {i} {j} {k}" for i, r in enumerate(layout.weights) for j, x in enumerate(r) for k in range(len(x))]
+    hashes = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", *[F.xxhash64("doc_id", F.lit(x)).alias(x) for x in names]).collect()
+
+    def best(row, children):
+        u = lambda x: (((row[x] & (2**64 - 1)) >> 12) + 0.5) / 2**52
+        return max((math.log(u(x)) / w, -k) for k, (x, w) in enumerate(children) if w > 0)[1] * -1
+
+    out, first = {}, {}
+    for i, r in enumerate(layout.weights):
+        for j, x in enumerate(r):
+            first[i, j] = sum(len(y) for q in layout.weights[:i] for y in q) + sum(len(y) for y in r[:j])
+    for row in hashes:
+        i = best(row, [(f"region {a}", sum(map(sum, r))) for a, r in enumerate(layout.weights)])
+        j = best(row, [(f"rack {i} {a}", sum(x)) for a, x in enumerate(layout.weights[i])])
+        out[row["doc_id"]] = first[i, j] + best(row, [(f"shard {i} {j} {a}", w) for a, w in enumerate(layout.weights[i][j])])
+    return out
+
+
+@pytest.mark.parametrize("layout", [shard_tree.tree(24), shard_tree.tree(26), shard_tree.Tree((((1.0, 0.0, 2.0), (0.5,)), ((3.0,),)))])
+def test_shards_match_brute_force(spark, layout):
+    ids = list(range(-50, 250))
+    got = shard_tree.assign(spark.createDataFrame([(i,) for i in ids], "doc_id long"), F.col("doc_id"), layout, "shard").collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == brute_shard(spark, ids, layout)
+
+
+def test_rows_of_one_id_have_slots_of_their_own(spark):
+    rows = [(7, "same", 1)] * 500 + [(None, None, 2)] * 300
+    got = shard_tree.shard(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3), 24, bucket_rows=5).collect()
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_weights_decide_shares_and_confine_movement(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     before = shard_tree.Tree((((1.0, 1.0), (2.0,)), ((1.0, 3.0),)))
