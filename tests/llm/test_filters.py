@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 
 from lodestone.llm import decontaminate, license_scan, quality, toxicity
 
@@ -210,29 +213,77 @@ def test_license_scan_refuses_unbounded_templates(docs):
         license_scan.scan(docs, many)
 
 
-def test_toxicity_held_out_accuracy(spark):
+@pytest.fixture(scope="module")
+def insults():
+    """(id, text, toxic): a few invented words mark the toxic rows."""
     rng = random.Random(11)
     rows = []
     for k in range(1200):
-        w = [rng.choice(WORDS) for _ in range(60)]
+        w = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
         toxic = int(k % 6 == 0)
         for _ in range(4 * toxic):
             w[rng.randrange(60)] = rng.choice(["grumblefink", "snortwhistle", "blatherskite"])
-        rows.append((k, " ".join(w), toxic, "en"))
-    docs = spark.createDataFrame([(k, t, g, "a") for k, t, _, g in rows], "doc_id long, text string, lang string, toxic string")
-    labels = spark.createDataFrame([(k, y, 1) for k, _, y, _ in rows], "doc_id long, toxic int, quality int")
-    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
-    held = [k for k, *_ in rows if got[k]["held_out"]]
+        rows.append((k, " ".join(w), toxic))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def insult_tables(spark, insults):
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t, _ in insults], "doc_id long, text string, lang string, toxic string, part int")
+    labels = spark.createDataFrame([(k, y, 1) for k, _, y in insults], "doc_id long, toxic int, quality int")
+    return docs, labels
+
+
+def test_toxicity_held_out_accuracy(insults, insult_tables):
+    got = {r["doc_id"]: r for r in toxicity.classify(*insult_tables).collect()}
+    held = [k for k, *_ in insults if got[k]["held_out"]]
     assert len(got) == 1200 and 200 < len(held) < 400
-    right = sum(got[k]["predicted"] == rows[k][2] for k in held)
+    right = sum(got[k]["predicted"] == insults[k][2] for k in held)
     assert right / len(held) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def brute_lean(pairs, part):
+    """Difference of the compressed lengths, summed over the pairs, by compressors made anew."""
+
+    def size(content):
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress(part))
+
+    return sum(size(a) - size(b) for a, b in pairs)
+
+
+def test_toxicity_matches_brute_force(spark, insults, insult_tables):
+    """Dictionaries are trained on the own class's windows only, and scores follow from the compressed lengths."""
+    docs, labels = insult_tables
+    model = toxicity.learn(docs, labels)
+    assert len(model.pairs) == toxicity.PAIRS and all(a and b and a != b for a, b in model.pairs)
+    assert not any(word in a for a, _ in model.pairs for word in (b"grumblefink", b"snortwhistle", b"blatherskite"))
+    texts = [insults[k] for k in range(0, 1200, 40)] + [(5001, None, 0), (5002, "", 0), (5003, "Y" * 3000, 0), (5004, "a " * 2000, 0)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string"), model).collect()}
+    for k, text, _ in texts:
+        words = (text or "").lower().split()
+        parts = [" ".join(words[i : i + toxicity.WINDOW]).encode() for i in range(0, len(words), toxicity.WINDOW)] or [b""]
+        parts = [p[i : i + toxicity.WINDOW_BYTES] for p in parts for i in range(0, max(1, len(p)), toxicity.WINDOW_BYTES)]
+        leans = [brute_lean(model.pairs, p) for p in parts]
+        best = sorted(leans)[-3:]
+        x = [max(leans), sum(best) / len(best), sum(leans) / len(leans), *(sum(v >= t for v in leans) / len(leans) for t in model.thresholds)]
+        odds = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
+def test_toxicity_thresholds_follow_the_ordinary_windows():
+    found = [(0, [-1, 3], [90, 10]) for _ in range(50)] + [(1, [-1, 9], [50, 50]) for _ in range(10)]
+    model = toxicity.calibrate((((b"x" * 9), (b"y" * 9)),), found, 0.2)
+    assert model.thresholds == (-1, 3)
+    assert model.probability(np.array([-1, 9])) > 0.5 > model.probability(np.array([-1, -1, -1, 3]))
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.classify(docs, none)
     assert out.count() == docs.count() and {r["score"] for r in out.collect()} == {0.0}
     assert toxicity.classify(empty, none).collect() == []
-    odd = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (6, 7), (9, None), (3, 0)], "doc_id long, toxic int")
+    odd = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (6, 7), (9, None), (3, 0), (12, 0), (12, 1), (15, 1), (15, 5)], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in toxicity.known_labels(odd).collect()) == [(0, 1), (3, 0)]
     assert toxicity.classify(docs, odd).count() == docs.count()
