@@ -35,6 +35,7 @@ Inputs of a score are the text's bytes alone.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,11 +49,11 @@ from lodestone.llm import _chunks as C
 
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
 WINDOW, WINDOW_BYTES = 8, 256
-PAIRS = 8
+PAIRS = 5
 LEVEL = 3
-#: Bytes of a dictionary, and the lengths of its segments and of what is counted in them.
-SIZE, SEGMENT, GRAM = 1 << 14, 10, 8
-MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 1500, 3000, 100_000
+#: Bytes of an ordinary and of a toxic dictionary, and the lengths of their segments and of what is counted in them.
+SIZES, SEGMENT, GRAM = (1 << 15, 1 << 14), 10, 8
+MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 3000, 6000, 100_000
 #: Bytes of text whose windows are compressed together.
 BATCH_BYTES = 1 << 20
 #: Shares of ordinary windows below the thresholds.
@@ -69,12 +70,12 @@ def windows(text: str | None) -> list[bytes]:
     return [w[k : k + WINDOW_BYTES] for w in whole for k in range(0, max(1, len(w)), WINDOW_BYTES)]
 
 
-def dictionary(samples: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes], size: int) -> bytes:
     """Trained dictionary; the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(SIZE, samples, k=SEGMENT, d=GRAM).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[:SIZE]
+        return b" ".join(samples)[:size]
 
 
 class Leans:
@@ -87,15 +88,22 @@ class Leans:
     def _compress(content: bytes):
         options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         if len(content) < 8:
-            return zstandard.ZstdCompressor(**options).compress
+            return zstandard.ZstdCompressor(**options)
         raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdCompressor(dict_data=raw, **options).compress
+        return zstandard.ZstdCompressor(dict_data=raw, **options)
+
+    @staticmethod
+    def _sizes(compressor: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
+        made = compressor.multi_compress_to_buffer(parts, threads=1)
+        return np.fromiter((len(made[k]) for k in range(len(parts))), np.int64, len(parts))
 
     def __call__(self, parts: list[bytes]) -> np.ndarray:
-        """Bytes that the ordinary dictionaries need more, over all pairs, by window."""
+        """Bytes that the ordinary dictionaries need more, over all pairs, by window; 0 for an empty one."""
         out = np.zeros(len(parts), np.int64)
-        for ordinary, toxic in self.pairs:
-            out += [len(ordinary(x)) - len(toxic(x)) for x in parts]
+        some = [x for x in parts if x]
+        if some:
+            full = np.fromiter(map(bool, parts), bool, len(parts))
+            out[full] = sum(self._sizes(ordinary, some) - self._sizes(toxic, some) for ordinary, toxic in self.pairs)
         return out
 
     def of_texts(self, texts: pa.ChunkedArray) -> list[np.ndarray]:
@@ -188,7 +196,10 @@ def _train(texts: DataFrame) -> tuple[tuple[bytes, bytes], ...]:
                 yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["toxic", "part"])
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
-        made = dictionary(sorted(table.column("part").to_pylist()))
+        # A fixed random order: the trainer picks its segments stretch by stretch of the samples.
+        samples = sorted(table.column("part").to_pylist())
+        random.Random(key[0].as_py()).shuffle(samples)
+        made = dictionary(samples, SIZES[key[1].as_py()])
         return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "toxic": pa.array([key[1].as_py()], pa.int32()), "made": pa.array([made], pa.binary())})
 
     parts = texts.mapInArrow(cut, "toxic int, part binary").where("length(part) > 0").distinct()
