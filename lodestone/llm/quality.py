@@ -1,29 +1,30 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (+1) or bad (-1), or abstains (0). No rule is trusted as
-such: expectation-maximisation over all documents estimates each rule's
-accuracy, the chance that a vote is right, and a document is kept if the
-posterior probability that it is good, given all votes, is at least one half.
-So a clear sign of good prose can outweigh one bad sign, and a rule that often
-contradicts the others loses its weight.
-
-Most rules vote bad or abstain, for the absence of one fault is no sign of
-quality; two vote good or abstain, on positive signs.
+Each rule votes good (+1) or bad (-1), or abstains (0), by a measure of the
+text: good in the range of ordinary prose, bad well outside, nothing between.
+The rules overlap and contradict each other: a text of odd symbols has good
+line lengths, a short note has good letters. No rule is trusted as such.
+Expectation-maximisation over all documents that pass the base rule estimates
+the share of good documents and, for each rule, how often it votes good, votes
+bad or abstains on good and on bad documents. A document is kept if the
+posterior probability that it is good, given all votes, is at least one half. So
+votes that come together on the same documents gain weight, and a rule that
+votes alike on both classes loses it, whatever the majority says.
 
 Votes take few values, so the data for the estimate are the counts of the vote
-patterns, at most 2 to the number of rules whatever the input; the iterations
+patterns, at most 3 to the number of rules whatever the input; the iterations
 run on those. Features are computed once and written to shared storage; the
 posterior is then a sum of literals by vote.
 
-The estimate has a prior: ``PRIOR`` votes' worth of belief that a rule is right
-nine times in ten; an accuracy stays between ``LOWEST`` and ``HIGHEST``. It
-settles empty and tiny inputs and keeps the classes from changing places. The
-share of good documents is given, as usual in this setting: estimated, it grows or shrinks
-until it outweighs single votes.
+The estimate has a prior of ``PRIOR`` documents: the share ``GOOD_SHARE``, and
+for each class the vote shares in ``EXPECTED``, by which rules are more often
+right than wrong. It settles empty and tiny inputs and keeps the classes from
+changing places.
 
 Defined cases: a null text has no words; so has an empty one: both fail the base
-rule. Repeated rows and ids are judged each on its own. Other columns are kept
-by ``keep_good`` and ignored by ``judge``.
+rule. Documents that fail it are given the posterior of their votes, too, and are
+not kept. Repeated rows and ids are judged each on its own. Other columns are
+kept by ``keep_good`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ from lodestone.session import materialise
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-PRIOR = 50.0
-PRIOR_RIGHT = 0.9
-#: Share of good documents; given, not estimated: a document without votes is kept.
-GOOD_SHARE = 0.5
-LOWEST, HIGHEST = 0.55, 0.99
-ROUNDS = 50
+#: Documents' worth of belief in what follows.
+PRIOR = 10.0
+GOOD_SHARE = 0.8
+#: Expected shares of votes (bad, none, good) on bad and on good documents.
+EXPECTED = ((0.3, 0.3, 0.4), (0.02, 0.3, 0.68))
+ROUNDS, SETTLED = 200, 1e-9
 KEEP_AT = 0.5
 
 
@@ -54,32 +55,41 @@ def _ratio(a: str, b: str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes ``says`` (+1 good, -1 bad) where ``when`` holds, else abstains."""
+    """Votes good where ``good`` holds, else bad where ``bad`` holds, else abstains."""
 
     name: str
-    says: int
-    when: Column
+    good: Column
+    bad: Column
 
     def vote(self) -> Column:
-        return F.when(self.when, F.lit(self.says)).otherwise(F.lit(0))
+        return F.when(self.good, F.lit(1)).when(self.bad, F.lit(-1)).otherwise(F.lit(0))
+
+
+def _within(x: Column, low: float, high: float) -> Column:
+    return (x >= low) & (x <= high)
+
+
+def _outside(x: Column, low: float, high: float) -> Column:
+    return (x < low) | (x > high)
 
 
 def rules() -> list[Rule]:
-    words = F.col("n_words")
     symbols, repeats = _ratio("n_symbols", "n_words"), _ratio("n_repeat_words", "n_words")
-    lines, length = _ratio("n_dup_lines", "n_lines"), _ratio("word_chars", "n_words")
+    copies, length = _ratio("n_dup_lines", "n_lines"), _ratio("word_chars", "n_words")
     capitals, shouts, stops = _ratio("n_upper", "word_chars"), _ratio("n_shouts", "n_words"), _ratio("n_stops", "n_words")
+    line = _ratio("n_words", "n_lines")
+    odd = (F.col("n_symbols") + F.col("n_shouts")) / F.greatest(F.col("word_chars"), F.lit(1))
     return [
-        Rule("few words", -1, words < 50),
-        Rule("symbols", -1, symbols > 0.2),
-        Rule("repeated words", -1, repeats > 0.4),
-        Rule("repeated lines", -1, lines > 0.4),
-        Rule("long words", -1, length > 14),
-        Rule("short words", -1, length < 2),
-        Rule("capitals", -1, capitals > 0.5),
-        Rule("shouts", -1, shouts > 0.5),
-        Rule("sentences", 1, (stops >= 0.03) & (stops <= 0.5) & (capitals < 0.2) & (symbols < 0.05) & (words >= 50)),
-        Rule("varied", 1, (repeats <= 0.2) & (lines <= 0.2) & (length >= 3) & (length <= 10) & (symbols < 0.05) & (shouts < 0.2) & (words >= 80)),
+        Rule("symbols", symbols < 0.02, symbols > 0.2),
+        Rule("odd characters", odd < 0.004, odd > 0.04),
+        Rule("word length", _within(length, 4.2, 6.0), _outside(length, 3.5, 6.8)),
+        Rule("punctuation", _within(stops, 0.08, 0.25), _outside(stops, 0.04, 0.5)),
+        Rule("capitals", _within(capitals, 0.005, 0.04), capitals > 0.2),
+        Rule("shouts", F.lit(False), shouts > 0.2),
+        Rule("repeated words", repeats < 0.05, repeats > 0.3),
+        Rule("repeated lines", (F.col("n_lines") >= 3) & (copies < 0.05), copies > 0.3),
+        Rule("line length", _within(line, 12, 100), _outside(line, 6, 300)),
+        Rule("length", F.col("n_words") >= 150, F.col("n_words") < 80),
     ]
 
 
@@ -127,30 +137,45 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents where no rule votes, and each rule's accuracy."""
+    """Share of good documents, and the shares of votes (bad, none, good) by class (bad, good) and rule."""
 
     good: float
-    right: tuple[float, ...]
+    votes: tuple[tuple[tuple[float, float, float], ...], ...]
+
+    def weights(self) -> tuple[float, list[tuple[float, float, float]]]:
+        """Log odds of good: the constant, and what each vote of a rule adds."""
+        bad, good = self.votes
+        return math.log(self.good / (1 - self.good)), [tuple(math.log(g / b) for g, b in zip(x, y)) for x, y in zip(good, bad)]
+
+    def accuracies(self) -> list[float]:
+        """Chance that a rule's vote is right, where it votes."""
+        bad, good = self.votes
+        right = [self.good * g[2] + (1 - self.good) * b[0] for g, b in zip(good, bad)]
+        cast = [self.good * (g[0] + g[2]) + (1 - self.good) * (b[0] + b[2]) for g, b in zip(good, bad)]
+        return [r / c for r, c in zip(right, cast)]
+
 
-    def weights(self) -> tuple[float, list[float]]:
-        """Log odds of good: the constant, and what a rule's vote adds in its direction."""
-        return math.log(self.good / (1 - self.good)), [math.log(a / (1 - a)) for a in self.right]
+def _chance(odds: float) -> float:
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over (votes, count) patterns."""
-    model = VoteModel(GOOD_SHARE, (PRIOR_RIGHT,) * n_rules)
+    model = VoteModel(GOOD_SHARE, tuple((EXPECTED[y],) * n_rules for y in (0, 1)))
+    total = PRIOR + sum(n for _, n in patterns)
     for _ in range(rounds):
         start, each = model.weights()
-        right, cast = [PRIOR * PRIOR_RIGHT] * n_rules, [PRIOR] * n_rules
+        seen = [[[PRIOR * e for e in EXPECTED[y]] for _ in range(n_rules)] for y in (0, 1)]
+        good = PRIOR * GOOD_SHARE
         for votes, count in patterns:
-            odds = start + sum(w * v for w, v in zip(each, votes))
-            p = 1 / (1 + math.exp(-odds))
+            p = _chance(start + sum(w[v + 1] for w, v in zip(each, votes)))
+            good += count * p
             for k, v in enumerate(votes):
-                if v:
-                    cast[k] += count
-                    right[k] += count * (p if v > 0 else 1 - p)
-        model = VoteModel(GOOD_SHARE, tuple(min(HIGHEST, max(LOWEST, r / c)) for r, c in zip(right, cast)))
+                seen[0][k][v + 1] += count * (1 - p)
+                seen[1][k][v + 1] += count * p
+        was, model = model.good, VoteModel(good / total, tuple(tuple(tuple(x / sum(row) for x in row) for row in y) for y in seen))
+        if abs(model.good - was) < SETTLED:
+            break
     return model
 
 
@@ -158,7 +183,7 @@ def posterior(model: VoteModel, votes: list[Column]) -> Column:
     start, each = model.weights()
     odds = F.lit(start)
     for w, v in zip(each, votes):
-        odds = odds + F.lit(w) * v
+        odds = odds + F.when(v > 0, F.lit(w[2])).when(v < 0, F.lit(w[0])).otherwise(F.lit(w[1]))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -182,7 +207,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def _verdicts(table: DataFrame) -> DataFrame:
     votes = [r.vote() for r in rules()]
     named = [f"v{k}" for k in range(len(votes))]
-    counted = table.select(*[v.alias(k) for k, v in zip(named, votes)]).groupBy(*named).count()
+    counted = table.where(~base_failed()).select(*[v.alias(k) for k, v in zip(named, votes)]).groupBy(*named).count()
     patterns = sorted((tuple(int(x) for x in r[:-1]), int(r[-1])) for r in counted.collect())
     model = fit(patterns, len(votes))
     return (

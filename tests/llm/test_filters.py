@@ -111,7 +111,73 @@ def test_quality_plan_is_native(docs):
 
 def test_vote_model_is_calm_without_data():
     model = quality.fit([], 3)
-    assert model.right == (quality.PRIOR_RIGHT,) * 3
+    assert model.good == quality.GOOD_SHARE
+    assert all(x == pytest.approx(quality.EXPECTED[y]) for y in (0, 1) for x in model.votes[y])
+    assert all(0.5 < a < 1 for a in model.accuracies())
+
+
+def brute_votes(text):
+    """Votes of the rules from the text itself."""
+    n, chars, symbols, dup, repeat, failed = brute_quality(text)
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    joined = "".join(w)
+    per = lambda x, y: x / max(1, y)
+    vote = lambda good, bad: 1 if good else -1 if bad else 0
+    s, length, line = per(symbols, n), per(chars, n), per(n, len(lines))
+    stops, caps = per(len(re.findall("[.,;:?]", joined)), n), per(len(re.findall("[A-Z]", joined)), chars)
+    votes = (
+        vote(s < 0.02, s > 0.2), vote(per(symbols + joined.count("!"), chars) < 0.004, per(symbols + joined.count("!"), chars) > 0.04), vote(4.2 <= length <= 6, length < 3.5 or length > 6.8), vote(0.08 <= stops <= 0.25, stops < 0.04 or stops > 0.5),
+        vote(0.005 <= caps <= 0.04, caps > 0.2), vote(False, per(joined.count("!"), n) > 0.2), vote(per(repeat, n) < 0.05, per(repeat, n) > 0.3),
+        vote(len(lines) >= 3 and per(dup, len(lines)) < 0.05, per(dup, len(lines)) > 0.3), vote(12 <= line <= 100, line < 6 or line > 300), vote(n >= 150, n < 80),
+    )
+    return votes, failed
+
+
+def brute_posteriors(rows, rounds=200):
+    """Expectation-maximisation document by document, with arrays; the posterior of every row."""
+    votes = np.array([v for v, _ in rows]) + 1
+    fit_on = votes[[not f for _, f in rows]]
+    share, table = quality.GOOD_SHARE, [np.tile(quality.EXPECTED[y], (votes.shape[1], 1)) for y in (0, 1)]
+
+    def chance(v):
+        bad, good = (np.prod([t[k, v[:, k]] for k in range(v.shape[1])], axis=0) for t in table)
+        return share * good / (share * good + (1 - share) * bad)
+
+    for _ in range(rounds):
+        p = chance(fit_on)
+        new = (quality.PRIOR * quality.GOOD_SHARE + p.sum()) / (quality.PRIOR + len(p))
+        for y, weight in ((0, 1 - p), (1, p)):
+            counts = np.array([[weight[fit_on[:, k] == v].sum() for v in range(3)] for k in range(votes.shape[1])])
+            counts += quality.PRIOR * np.array(quality.EXPECTED[y])
+            table[y] = counts / counts.sum(1, keepdims=True)
+        done, share = abs(new - share) < quality.SETTLED, new
+        if done:
+            break
+    return chance(votes)
+
+
+def test_quality_verdicts_match_brute_force(spark, docs, corpus):
+    for frame, rows in ((docs, corpus), (lambda d: (d, [tuple(r) for r in d.collect()]))(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))):
+        votes = [brute_votes(t) for _, t in rows]
+        want = sorted(((i, bool(not f and p >= 0.5), round(float(p), 6)) for (i, _), (_, f), p in zip(rows, votes, brute_posteriors(votes))), key=repr)
+        got = sorted(((r["doc_id"], r["kept"], round(r["quality"], 6)) for r in quality.judge(frame).collect()), key=repr)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+
+
+def test_votes_that_come_together_outweigh_the_majority():
+    """Two rules that vote bad on the same documents are believed against three that vote good on all."""
+    patterns = [((1, 1, 1, 1, 1), 900), ((1, 1, 1, -1, -1), 80), ((1, 1, 1, 0, -1), 10), ((-1, 1, 1, 1, 1), 60), ((1, -1, 1, 1, 1), 60)]
+    model = quality.fit(patterns, 5)
+    start, each = model.weights()
+    odds = {v: start + sum(w[x + 1] for w, x in zip(each, v)) for v, _ in patterns}
+    flipped = (1, 1, 1, -1, -1)
+    assert sum(flipped) > 0 > odds[flipped]
+    assert odds[(-1, 1, 1, 1, 1)] > 0 and odds[(1, -1, 1, 1, 1)] > 0
+    assert 0.85 < model.good < 0.98
+    assert model.accuracies()[3] > model.accuracies()[0]
 
 
 LICENSED = [
