@@ -13,6 +13,13 @@ remaining occurrences. For each piece it is found once, from the vocabulary,
 whether some piece that contains it scores as high; such pieces merge one
 occurrence a round.
 
+A round costs as much as the whole array, and some pieces merge one occurrence
+a round, so long units are treated apart. They are first cut where two
+characters stand side by side in no piece: no merge crosses such a place, and
+the parts are units of their own. A part that is still longer than
+``LONG_UNIT`` symbols is merged pair by pair in the same order from a sorted list
+and a heap, in time n log n.
+
 Symbols that are no piece fall back to byte pieces. Special pieces are never
 made from text. Only models of identity normalisation are accepted, with a
 dummy prefix, white space escaped and not collapsed, as the named file has.
@@ -25,7 +32,9 @@ library does.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +51,10 @@ MARK = "▁"
 MEMO_UNITS = 150_000
 #: Symbols in a merge batch.
 BATCH_SYMBOLS = 1 << 18
+#: Symbols of a unit that is cut, and of a part that is not merged in rounds.
+LONG_UNIT = 256
+#: Bits of a position in a merge key.
+PLACE_BITS = 40
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1 << 20
 
@@ -107,6 +120,9 @@ class PieceModel:
                 for c in piece:
                     if c not in self.normal:
                         raise ValueError("a piece holds a character that is none")
+        #: What a pair of ids forms, and the pairs of characters that stand in a piece.
+        self.formed = {a << 16 | b: m for a, b, m in zip(left, right, out)}
+        self.beside = np.unique(np.array([ord(a) << 32 | ord(b) for p in self.normal for a, b in zip(p, p[1:])], np.uint64))
         #: Pieces of which all occurrences may merge in one round.
         self.together = single
         key = np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64)
@@ -223,6 +239,76 @@ class PieceModel:
         back = np.argsort(o, kind="stable")
         return s[back], u[back]
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same merges for one long unit, in order of rank and place: a sorted list of the first pairs and a heap of new ones."""
+        n, mask = len(symbols), (1 << PLACE_BITS) - 1
+        formed, rank = self.formed.get, self.rank.tolist()
+        first = self.lookup(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(first >= 0)
+        keys = np.sort(self.rank[first[at]] << PLACE_BITS | at)
+        symbol, after, before = array("i", symbols.tolist()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        heap: list[int] = []
+
+        def in_order() -> Iterator[int]:
+            for k in range(0, len(keys), 1 << 16):
+                for key in keys[k : k + (1 << 16)].tolist():
+                    while heap and heap[0] < key:
+                        yield heappop(heap)
+                    yield key
+            while heap:
+                yield heappop(heap)
+
+        for key in in_order():
+            i = key & mask
+            j = after[i]
+            if symbol[i] < 0 or j == n:
+                continue
+            m = formed(symbol[i] << 16 | symbol[j])
+            # A key is stale where its pair is gone.
+            if m is None or rank[m] != key >> PLACE_BITS:
+                continue
+            symbol[i], symbol[j] = m, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                x = formed(m << 16 | symbol[k])
+                if x is not None:
+                    heappush(heap, rank[x] << PLACE_BITS | i)
+            h = before[i]
+            if h >= 0:
+                x = formed(symbol[h] << 16 | m)
+                if x is not None:
+                    heappush(heap, rank[x] << PLACE_BITS | h)
+        out = np.array(symbol, np.int64)
+        return out[out >= 0]
+
+    def _parts(self, points: np.ndarray, symbols: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Part of each symbol: its unit, cut where no piece can stand if the unit is long."""
+        starts = np.concatenate(([True], unit[1:] != unit[:-1]))
+        at = np.flatnonzero((np.bincount(unit) > LONG_UNIT)[unit[1:]] & ~starts[1:])
+        pair = points[at].astype(np.uint64) << np.uint64(32) | points[at + 1].astype(np.uint64)
+        place = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        starts[at[(self.beside[place] != pair) | (symbols[at] < 0) | (symbols[at + 1] < 0)] + 1] = True
+        return np.cumsum(starts) - 1
+
+    def _merge_parts(self, points: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged symbols and their units."""
+        symbols = self.point_id[points]
+        if not len(unit) or np.bincount(unit).max() <= LONG_UNIT:
+            return self.merge(symbols, unit)
+        part = self._parts(points, symbols, unit)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        size = np.diff(np.append(first, len(part)))
+        unit_of, long = unit[first], size > LONG_UNIT
+        short = ~long[part]
+        done = [self.merge(symbols[short], part[short])]
+        for p in np.flatnonzero(long).tolist():
+            merged = self.merge_long(symbols[first[p] : first[p] + size[p]])
+            done.append((merged, np.full(len(merged), p)))
+        s, p = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(p, kind="stable")
+        return s[order], unit_of[p[order]]
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, as the bytes of 16-bit integers."""
         out: list[bytes] = []
@@ -239,7 +325,7 @@ class PieceModel:
     def _encode(self, units: list[str]) -> list[bytes]:
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         unit = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
-        symbols, unit = self.merge(self.point_id[points], unit)
+        symbols, unit = self._merge_parts(points, unit)
         strange = np.flatnonzero(symbols < 0)
         if len(strange):
             data = [chr(-1 - p).encode() for p in symbols[strange].tolist()]

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import string
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +38,28 @@ def test_pieces_equal_library(library):
     assert [model.decode(np.array(x)).decode("utf-8", "replace") for x in got] == library.decode(got)
 
 
+def long_units():
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    small = string.ascii_lowercase + string.digits
+    yield from (draw(small, 300_000), draw("ACGT", 100_000), draw("ab", 20_000), draw("日本語のé🎉", 20_000), "the" * 10_000, "-" * 5_000 + "=" * 5_000, "ha" * 9_999 + "é")
+    yield from (draw(string.ascii_letters + "+/", 50_000), " ".join(draw(small, rng.randint(200, 900)) for _ in range(60)), "aab" * 700 + "日" + "ing" * 400)
+
+
+def test_long_units_equal_library(library):
+    texts = list(long_units())
+    got = [x.tolist() for x in pieces.encoder(PIECES).encode(texts)]
+    assert got == [ids + [library.eos_id()] for ids in library.encode(texts)]
+
+
+def test_a_megabyte_without_blanks(library):
+    text = "".join(random.Random(1).choices(string.ascii_lowercase + string.digits, k=1_000_000))
+    began = time.perf_counter()
+    got = pieces.encoder(PIECES).encode([text])[0].tolist()
+    assert time.perf_counter() - began < 30
+    assert got == library.encode(text) + [library.eos_id()]
+
+
 def test_pieces_digest(docs, corpus, empty, library):
     want = []
     for i, t in corpus:
