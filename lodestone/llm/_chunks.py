@@ -214,8 +214,8 @@ def answer(asked: DataFrame, parts: int, fn: Callable[[int, list[dict]], Iterato
     return dealt.mapInArrow(work, schema)
 
 
-def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, pa.Table, dict[int, tuple[int, bytes]]], pa.Table | None], schema) -> DataFrame:
-    """Bring each chunk together with its replies: ``fn(chunk, docs, replies)``."""
+def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, pa.Table, dict[int, tuple[int, bytes]]], pa.Table | None], schema, dealt: bool = False) -> DataFrame:
+    """Bring each chunk together with its replies: ``fn(chunk, docs, replies)``; ``dealt`` ones are by chunk already."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -230,5 +230,5 @@ def meet(chunks: DataFrame, replies: DataFrame, parts: int, fn: Callable[[int, p
         give_back()
         return empty if out is None else out
 
-    right = replies.repartition(parts, "chunk")
+    right = replies if dealt else replies.repartition(parts, "chunk")
     return chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(work, schema)

@@ -1,32 +1,39 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Counts are of all training documents: tokens and pairs of neighbouring tokens,
-a document's first token following the start mark. Smoothing is a Dirichlet
-prior on the next lower order, so every probability needs only two counts:
-
-    P(w)     = (c(w) + 1) / (N + V + 1)
-    P(w | u) = (c(u w) + m P(w)) / (c(u) + m)
-
-The model is an automaton. The state of history u has an arc for each token
-seen after u, weighted log10 P(w | u), and one failure arc to the state without
-history, weighted log10(m / (c(u) + m)), whose arcs are the tokens: log10 P(w).
-From left to right, a text takes the arc of its next token or else the failure
-arc and then the token's arc, and lands in the state of that token. As a state
-is given by the last token alone, the walks of a chunk's documents are advanced
-together: one array step finds every position's state, arc and weight, and
-sums accumulate along each text.
+"""Language-model scoring by a weighted backoff automaton of order three.
+
+Counts are of all training documents: tokens, pairs and triples of neighbouring
+tokens, a document's first token following the start mark. Smoothing is a
+Dirichlet prior on the next lower order:
+
+    P(w)       = (c(w) + 1) / (N + V + 1)
+    P(w | v)   = (c(v w) + m1 P(w)) / (c(v) + m1)
+    P(w | u v) = (c(u v w) + m2 P(w | v)) / (c(u v) + m2)
+
+The model is an automaton. Its states are histories: the empty one, each token v
+with c(v) > 0, and each pair u v with c(u v) >= ``LEAST``. A state has an arc for
+every token seen after its history, weighted log10 P, that leads to the longest
+history that ends the history and the token; and a failure arc to the state of
+the history less its first token, weighted log10(m / (c + m)). The empty history
+has an arc for every token. A text is walked from left to right from the start
+mark's state: while the state has no arc for the next token its failure arc is
+taken, then the token's arc; the weights add up to the text's log10 probability.
+
+Documents are walked side by side: each step takes the states that the last one
+left and moves them all by arrays. A long document is cut into stretches; as a
+state depends on the last two tokens alone, a stretch that begins two tokens
+early, without counting these, has the state that the walk would have carried to
+it. The steps are so bounded by ``STRETCH``.
 
 The automaton of the whole corpus is never built. Each chunk of documents asks
-for the counts of its own distinct tokens and pairs and gets back exactly the
-states and arcs that its documents can visit; a bucket sums the training
-chunks' counts. So memory follows the chunk and the bucket, and a token that
-stands in every document is one entry per chunk. Each reply carries the
-bucket's number of types and tokens, from which a chunk sums V and N.
+for the counts of its own distinct tokens and pairs, then of the triples whose
+first pair is a state, and so has exactly the states and arcs that its documents
+can visit; a bucket sums the training chunks' counts. So memory follows the chunk
+and the bucket, and a token that stands in every document is one entry per chunk.
+Each reply carries the bucket's number of types and tokens, from which a chunk
+sums V and N.
 
-Tokens and pairs are known by 64-bit and 40-bit-per-bucket hashes: two tokens
-that share a hash share a count. The chance is below one in a million for any
-token, and for pairs about a millionth of the pairs, whatever the input size,
-as buckets grow in number with it.
+Tokens, pairs and triples are known by 64-bit hashes: those that share a hash
+share a count. Of a hash, the bucket's row carries 48 bits; the others are the
+bucket's number and the place of the key in the sorted row.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is a
 training document without a remainder; repeated rows and ids count and are
@@ -40,6 +47,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +55,18 @@ from lodestone.llm import _chunks as C
 from lodestone.llm import _text as T
 
 FOLDS, HELD_OUT = 7, 2
-#: Weight of the lower order, in tokens.
-MASS = 5.0
+#: Weights m1 and m2 of the lower order, in tokens.
+MASS = (5.0, 2.0)
+#: Occurrences of a pair that is a state.
+LEAST = 2
+#: Tokens of a document that are walked one after the other.
+STRETCH = 1024
 
 #: Fixed hashes of the end token and the start mark.
 END = np.uint64(0x5DEECE66D1CE4E5B)
 START = np.uint64(0x2545F4914F6CDD1D)
-PAIR_BITS = 40
+#: Bits of a hash that a key carries.
+LOW_BITS = 48
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -73,150 +86,248 @@ class Tokens:
         self.counts = words.counts + 1
         self.edges = np.concatenate(([0], np.cumsum(self.counts)))
         self.token = np.insert(words.hashes(lower=True), words.first[1:], END)
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[self.edges[:-1]] = START
-        self.before = before
-        train = np.repeat(~self.held, self.counts)
+        self.train = np.repeat(~self.held, self.counts)
+        first = self.edges[:-1]
+        self.begins = np.zeros(len(self.token), bool)
+        self.begins[first] = True
+        before = _shifted(self.token)
+        before[first] = START
         # The history START counts once a document: it is asked for as a token of its own.
         starts = np.zeros(1, np.uint64) + START
         self.types, inverse = np.unique(np.concatenate((self.token, starts)), return_inverse=True)
-        self.type_of = inverse[:-1]
-        self.type_count = np.bincount(self.type_of[train], minlength=len(self.types))
-        self.start_type = int(inverse[-1])
+        self.type_of, self.start_type = inverse[:-1], int(inverse[-1])
+        self.type_count = np.bincount(self.type_of[self.train], minlength=len(self.types))
         self.type_count[self.start_type] = int((~self.held).sum())
-        pair = T.mix(self.before * np.uint64(0x9E3779B97F4A7C15) + self.token)
+        #: Type before each token.
+        self.before = _shifted(self.type_of)
+        self.before[first] = self.start_type
+        pair = T.mix(before * np.uint64(0x9E3779B97F4A7C15) + self.token)
         self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.pair_count = np.bincount(self.pair_of[train], minlength=len(self.pairs))
+        self.pair_count = np.bincount(self.pair_of[self.train], minlength=len(self.pairs))
+        self.triple_hash = T.mix(_shifted(pair) * np.uint64(0xD6E8FEB86659FD93) + self.token)
+
+    def triples(self, pair_total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose history is a pair that is a state, the distinct triples there, and each place's triple."""
+        at = np.flatnonzero(~self.begins)
+        at = at[pair_total[self.pair_of[at - 1]] >= LEAST]
+        triples, of = np.unique(self.triple_hash[at], return_inverse=True)
+        return at, triples, of
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
+    return out
+
+
+def _sub_buckets(bits: int) -> int:
+    return 1 << max(0, 64 - LOW_BITS - bits)
 
 
-def _low(pairs: np.ndarray, bits: int) -> bytes:
-    """The 40 bits after a pair's bucket bits, five bytes each."""
-    low = (pairs << np.uint64(bits)) >> np.uint64(64 - PAIR_BITS)
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PAIR_BITS // 8].tobytes()
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted hashes of one bucket: how many fall into each sub-bucket, then the low bits of each."""
+    if not len(keys):
+        return b""
+    n = _sub_buckets(bits)
+    sub = (keys >> np.uint64(LOW_BITS)).astype(np.int64) & (n - 1)
+    return np.bincount(sub, minlength=n).astype("<u4").tobytes() + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
 
 
-def _high(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : PAIR_BITS // 8] = np.frombuffer(data, np.uint8).reshape(n, PAIR_BITS // 8)
-    return out.reshape(-1).view("<u8")
+def unpack_keys(data: bytes, bits: int, bucket: int) -> np.ndarray:
+    """The whole hashes again."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    n = _sub_buckets(bits)
+    sub = np.repeat(np.arange(n, dtype=np.uint64), np.frombuffer(data, "<u4", n))
+    out = np.zeros((len(sub), 8), np.uint8)
+    out[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, offset=4 * n).reshape(len(sub), -1)
+    # Where buckets have more than 16 bits, the low bits hold some of the bucket's: an or leaves them as they are.
+    return out.reshape(-1).view("<u8") | sub << np.uint64(LOW_BITS) | np.uint64(bucket << (64 - bits))
 
 
 def _edges(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
 
 
-def _ask(chunk: int, tokens: Tokens, bits: int) -> pa.Table:
-    """One row for each bucket: token hashes and counts, pair hashes and counts."""
-    te, pe = _edges(tokens.types, bits), _edges(tokens.pairs, bits)
-    n = 1 << bits
+def _ask(chunk: int, bits: int, groups: list[tuple[np.ndarray, np.ndarray]], every: bool) -> pa.Table:
+    """A row for each bucket (``every`` one, or those with keys): the keys of one or two groups, and their counts.
+
+    ``n`` is the number of keys of the first group.
+    """
+    edges = [_edges(keys, bits) for keys, _ in groups]
+    used = np.arange(1 << bits) if every else np.flatnonzero(np.diff(edges[0]))
     keys, extra = [], []
-    for b in range(n):
-        t, p = slice(te[b], te[b + 1]), slice(pe[b], pe[b + 1])
-        keys.append(tokens.types[t].tobytes() + _low(tokens.pairs[p], bits))
-        extra.append(C.squeeze(np.concatenate((tokens.type_count[t], tokens.pair_count[p])).astype("<u4")))
+    for b in used:
+        cuts = [slice(e[b], e[b + 1]) for e in edges]
+        keys.append(b"".join(pack_keys(k[x], bits) for (k, _), x in zip(groups, cuts)))
+        extra.append(C.squeeze(np.concatenate([c[x] for (_, c), x in zip(groups, cuts)]).astype("<u4")))
     return pa.table(
         {
-            "bucket": pa.array(np.arange(n), pa.int32()),
-            "chunk": pa.array(np.full(n, chunk), pa.int64()),
-            "n": pa.array(np.diff(te), pa.int32()),
+            "bucket": pa.array(used, pa.int32()),
+            "chunk": pa.array(np.full(len(used), chunk), pa.int64()),
+            "n": pa.array(np.diff(edges[0])[used], pa.int32()),
             "keys": pa.array(keys, pa.binary()),
             "extra": pa.array(extra, pa.binary()),
         }
     )
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the counts of each entry's key, and of each distinct key."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    sums = np.bincount(inverse, weights=counts).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-    return sums[inverse] if len(keys) else sums, sums
-
-
-def _count(bucket: int, rows: list[dict]):
-    """Total counts for each chunk's entries, after the bucket's types and tokens."""
-    types, pairs, type_n, pair_n = [], [], [], []
-    for r in rows:
-        n = r["n"]
-        m = (len(r["keys"]) - 8 * n) * 8 // PAIR_BITS
-        counts = C.unsqueeze(r["extra"], "<u4", n + m).astype(np.int64)
-        types.append(np.frombuffer(r["keys"], np.uint64, n))
-        pairs.append(_high(r["keys"][8 * n :], m))
-        type_n.append(counts[:n])
-        pair_n.append(counts[n:])
-    t_keys = np.concatenate(types)
-    t_each, _ = _totals(t_keys, np.concatenate(type_n))
-    p_each, _ = _totals(np.concatenate(pairs), np.concatenate(pair_n))
-    real = t_keys != START
-    distinct, at = np.unique(t_keys[real], return_index=True)
-    sums = t_each[real][at]
-    head = np.array([int((sums > 0).sum()), int(sums.sum())], "<i8").tobytes()
-    t_parts = np.split(t_each, np.cumsum([len(x) for x in types])[:-1])
-    p_parts = np.split(p_each, np.cumsum([len(x) for x in pairs])[:-1])
-    for r, t, p in zip(rows, t_parts, p_parts):
-        yield r["chunk"], len(t) + len(p), head + C.squeeze(np.concatenate((t, p)).astype("<u8" if len(t) + len(p) and max(t.max(initial=0), p.max(initial=0)) >> 32 else "<u4"))
-
-
-def _reply(n: int, data: bytes) -> tuple[int, int, np.ndarray]:
-    types, total = np.frombuffer(data, "<i8", 2).tolist()
-    body = data[16:]
-    if not n:
-        return types, total, np.zeros(0, np.int64)
-    raw = pa.decompress(body, decompressed_size=_plain_size(body), codec="zstd", asbytes=True)
-    return types, total, np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
+def _key_bytes(n: int, bits: int) -> int:
+    return 4 * _sub_buckets(bits) + n * LOW_BITS // 8 if n else 0
 
 
-def _plain_size(frame: bytes) -> int:
-    import zstandard
+def _totals(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sum of the counts of each entry's key, part by part; the distinct keys and their sums."""
+    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+    return np.split(sums[inverse], np.cumsum([len(x) for x in parts])[:-1]), keys, sums
 
-    return zstandard.frame_content_size(frame)
 
+def _numbers(x: np.ndarray) -> bytes:
+    return C.squeeze(x.astype("<u8" if x.max(initial=0) >> 32 else "<u4"))
 
-class Automaton:
-    """The states and arcs that a chunk's documents can visit."""
 
-    def __init__(self, tokens: Tokens, replies: dict[int, tuple[int, bytes]], bits: int, mass: float):
+def _count(bits: int):
+    """Total counts for each chunk's tokens and pairs, after the bucket's types and tokens."""
+
+    def count(bucket: int, rows: list[dict]):
+        types, pairs, type_n, pair_n = [], [], [], []
+        for r in rows:
+            n, cut = r["n"], _key_bytes(r["n"], bits)
+            types.append(unpack_keys(r["keys"][:cut], bits, bucket))
+            pairs.append(unpack_keys(r["keys"][cut:], bits, bucket))
+            counts = C.unsqueeze(r["extra"], "<u4", n + len(pairs[-1])).astype(np.int64)
+            type_n.append(counts[:n])
+            pair_n.append(counts[n:])
+        t_parts, keys, sums = _totals(types, type_n)
+        sums = sums[keys != START]
+        p_parts, _, _ = _totals(pairs, pair_n)
+        head = np.array([int((sums > 0).sum()), int(sums.sum())], "<i8").tobytes()
+        for r, t, p in zip(rows, t_parts, p_parts):
+            yield r["chunk"], len(t) + len(p), head + _numbers(np.concatenate((t, p)))
+
+    return count
+
+
+def _count_triples(bits: int):
+    def count(bucket: int, rows: list[dict]):
+        parts, _, _ = _totals([unpack_keys(r["keys"], bits, bucket) for r in rows], [C.unsqueeze(r["extra"], "<u4", r["n"]).astype(np.int64) for r in rows])
+        for r, x in zip(rows, parts):
+            yield r["chunk"], len(x), _numbers(x)
+
+    return count
+
+
+def _read(n: int, body: bytes) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(body, decompressed_size=zstandard.frame_content_size(body), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
+
+
+class Counts:
+    """The corpus counts of a chunk's tokens and pairs."""
+
+    def __init__(self, tokens: Tokens, replies: dict[int, tuple[int, bytes]], bits: int):
         te, pe = _edges(tokens.types, bits), _edges(tokens.pairs, bits)
-        self.type_count = np.zeros(len(tokens.types), np.int64)
-        pair_count = np.zeros(len(tokens.pairs), np.int64)
+        self.type = np.zeros(len(tokens.types), np.int64)
+        self.pair = np.zeros(len(tokens.pairs), np.int64)
         self.types = self.total = 0
         for b, (n, data) in replies.items():
-            v, total, counts = _reply(n, data)
+            v, total = np.frombuffer(data, "<i8", 2).tolist()
             self.types += v
             self.total += total
+            counts = _read(n, data[16:])
             k = te[b + 1] - te[b]
-            self.type_count[te[b] : te[b + 1]] = counts[:k]
-            pair_count[pe[b] : pe[b + 1]] = counts[k:]
-        space = self.total + self.types + 1
-        #: Arcs of the state without history: log10 P(token).
-        self.token_prob = (self.type_count + 1) / space
-        self.token_arc = np.log10(self.token_prob)
-        #: Failure arc of each history's state.
-        self.failure = np.log10(mass / (self.type_count + mass))
-        #: Arcs of the history states, by pair; none where the pair was not seen.
-        first = np.zeros(len(tokens.pairs), np.int64)
-        first[tokens.pair_of] = np.arange(len(tokens.token))
-        self.pair_seen = pair_count > 0
-        history = _history(tokens)
-        seen_from, to = history[first], tokens.type_of[first]
-        self.pair_arc = np.log10((pair_count + mass * self.token_prob[to]) / (self.type_count[seen_from] + mass))
-
-    def walk(self, tokens: Tokens) -> np.ndarray:
-        """Log10 weight of each position's move, all walks advanced together."""
-        state = _history(tokens)
-        fail = self.failure[state] + self.token_arc[tokens.type_of]
-        return np.where(self.pair_seen[tokens.pair_of], self.pair_arc[tokens.pair_of], fail)
+            self.type[te[b] : te[b + 1]] = counts[:k]
+            self.pair[pe[b] : pe[b + 1]] = counts[k:]
 
 
-def _history(tokens: Tokens) -> np.ndarray:
-    """State before each position, as a type: that of the last token, or the start's."""
-    out = np.empty(len(tokens.token), np.int64)
-    out[1:] = tokens.type_of[:-1]
-    out[tokens.edges[:-1]] = tokens.start_type
-    return out
-
+class Automaton:
+    """The states and arcs that a chunk's documents can visit.
+
+    State 0 is the empty history, then come the types, then the pairs of the
+    chunk; those that are no state are not reached. The arcs of types and pairs
+    are sorted by state and token; the empty history's arcs stand by token.
+    """
+
+    def __init__(self, tokens: Tokens, counts: Counts, triples: tuple[np.ndarray, np.ndarray, np.ndarray], triple_total: np.ndarray, mass: tuple[float, float]):
+        n_types, n_pairs = len(tokens.types), len(tokens.pairs)
+        self.n_types = n_types
+        self.start = 1 + tokens.start_type
+        prob = (counts.type + 1) / (counts.total + counts.types + 1)
+        # The state after a token or a pair: the longest history that there is.
+        after_type = np.where(counts.type > 0, 1 + np.arange(n_types), 0)
+        first = np.zeros(n_pairs, np.int64)
+        first[tokens.pair_of] = np.arange(len(tokens.token))
+        left, right = tokens.before[first], tokens.type_of[first]
+        after_pair = np.where(counts.pair >= LEAST, 1 + n_types + np.arange(n_pairs), after_type[right])
+        self.root_weight, self.root_to = np.log10(prob), after_type
+        self.failure_weight = np.concatenate(([0.0], np.log10(mass[0] / (counts.type + mass[0])), np.log10(mass[1] / (counts.pair + mass[1]))))
+        self.failure_to = np.concatenate(([0], np.zeros(n_types, np.int64), after_type[right]))
+        pair_prob = (counts.pair + mass[0] * prob[right]) / (counts.type[left] + mass[0])
+        at, _, of = triples
+        place = np.zeros(len(triple_total), np.int64)
+        place[of] = at
+        low = tokens.pair_of[place]
+        history = tokens.pair_of[place - 1]
+        triple_prob = (triple_total + mass[1] * pair_prob[low]) / (counts.pair[history] + mass[1])
+        keys = np.concatenate(((1 + left) * n_types + right, (1 + n_types + history) * n_types + tokens.type_of[place]))
+        seen = np.concatenate((counts.pair, triple_total)) > 0
+        order = np.flatnonzero(seen)[np.argsort(keys[seen], kind="stable")]
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate((pair_prob, triple_prob)))[order]
+        self.to = np.concatenate((after_pair, after_pair[low]))[order]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the tokens, and the weights of the arcs taken."""
+        weight = np.zeros(len(state))
+        out = np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            now, want = state[todo], token[todo]
+            root = now == 0
+            out[todo[root]] = self.root_to[want[root]]
+            weight[todo[root]] += self.root_weight[want[root]]
+            todo, now, want = todo[~root], now[~root], want[~root]
+            if not len(todo):
+                break
+            key = now * self.n_types + want
+            place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            there = self.keys[place] == key if len(self.keys) else np.zeros(len(todo), bool)
+            out[todo[there]] = self.to[place[there]]
+            weight[todo[there]] += self.weight[place[there]]
+            todo, now = todo[~there], now[~there]
+            weight[todo] += self.failure_weight[now]
+            state = state.copy()
+            state[todo] = self.failure_to[now]
+        return out, weight
 
-def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mass: float = MASS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+    def walk(self, tokens: Tokens) -> np.ndarray:
+        """Log10 weight of each position's move."""
+        cuts = -(-tokens.counts // STRETCH)
+        doc = np.repeat(np.arange(len(cuts)), cuts)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = tokens.edges[doc] + nth * STRETCH
+        end = np.minimum(begin + STRETCH, tokens.edges[doc + 1])
+        # A later stretch warms up on the two tokens before it.
+        at = np.where(nth > 0, begin - 2, begin)
+        state = np.where(nth > 0, 0, self.start)
+        order = np.argsort(at - end, kind="stable")
+        at, end, state, begin = at[order], end[order], state[order], begin[order]
+        out = np.zeros(len(tokens.token))
+        while len(at):
+            state, weight = self.step(state, tokens.type_of[at])
+            counted = at >= begin
+            out[at[counted]] = weight[counted]
+            at = at + 1
+            # The longest stretches stand first.
+            n = int(np.count_nonzero(at < end))
+            at, end, state, begin = at[:n], end[:n], state[:n], begin[:n]
+        return out
+
+
+def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mass: tuple[float, float] = MASS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Score every document with the model of the documents outside the held-out fold."""
     spark = docs.sparkSession
     parts, bits = C.partitions(spark), C.bucket_bits(spark)
@@ -225,26 +336,40 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mass: f
     def ask(batches):
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from _ask(chunk, Tokens(C.load(payload.as_py()), folds, held_out), bits).to_batches()
+                tokens = Tokens(C.load(payload.as_py()), folds, held_out)
+                yield from _ask(chunk, bits, [(tokens.types, tokens.type_count), (tokens.pairs, tokens.pair_count)], True).to_batches()
+
+    def ask_triples(chunk, table, replies):
+        tokens = Tokens(table, folds, held_out)
+        at, triples, of = tokens.triples(Counts(tokens, replies, bits).pair)
+        return _ask(chunk, bits, [(triples, np.bincount(of[tokens.train[at]], minlength=len(triples)))], False)
 
     def finish(chunk, table, replies):
         tokens = Tokens(table, folds, held_out)
-        model = Automaton(tokens, replies, bits, mass)
+        counts = Counts(tokens, {b: r for b, r in replies.items() if b < 1 << bits}, bits)
+        triples = tokens.triples(counts.pair)
+        total, edges = np.zeros(len(triples[1]), np.int64), _edges(triples[1], bits)
+        for b, (n, data) in replies.items():
+            if b >= 1 << bits:
+                total[edges[b - (1 << bits)] : edges[b - (1 << bits) + 1]] = _read(n, data)
+        model = Automaton(tokens, counts, triples, total, mass)
         add = lambda x: np.add.reduceat(x, tokens.edges[:-1])  # noqa: E731  no document is without a token
-        seen = model.type_count[tokens.type_of]
-        n = table.num_rows
         return pa.Table.from_arrays(
             [
                 table.column("doc_id").combine_chunks(),
                 pa.array(tokens.held),
                 pa.array(tokens.counts.astype(np.int64)),
-                pa.array(add((seen > 0).astype(np.int64))),
-                pa.array(np.full(n, model.total, np.int64)),
-                pa.array(add(model.token_arc[tokens.type_of])),
+                pa.array(add((counts.type[tokens.type_of] > 0).astype(np.int64))),
+                pa.array(np.full(table.num_rows, counts.total, np.int64)),
+                pa.array(add(model.root_weight[tokens.type_of])),
                 pa.array(add(model.walk(tokens))),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    replies = C.answer(chunks.mapInArrow(ask, C.ASK_SCHEMA), parts, _count)
-    return C.meet(chunks, replies, parts, finish, SCORED).withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    replies = C.answer(chunks.mapInArrow(ask, C.ASK_SCHEMA), parts, _count(bits)).repartition(parts, "chunk")
+    asked = C.meet(chunks, replies, parts, ask_triples, C.ASK_SCHEMA, dealt=True)
+    # Replies on triples are told from the first ones by the bucket's number.
+    more = C.answer(asked, parts, _count_triples(bits)).withColumn("bucket", (F.col("bucket") + F.lit(1 << bits)).cast("int"))
+    both = replies.unionByName(more.repartition(parts, "chunk"))
+    return C.meet(chunks, both, parts, finish, SCORED, dealt=True).withColumn("held_out", F.coalesce("held_out", F.lit(False)))

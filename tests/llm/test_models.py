@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,27 +13,41 @@ from .conftest import sorted_rows
 from .test_dedup import ascii_lower
 
 
-def brute_scores(rows):
-    words = [ascii_lower(t).split() + [0] for _, t in rows]
-    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    c, pairs, history = Counter(), Counter(), Counter()
-    for w, h in zip(words, held):
-        if not h:
-            c.update(w)
-            last = 1
-            for x in w:
-                pairs[last, x] += 1
-                history[last] += 1
-                last = x
+def brute_model(rows):
+    """Counts of orders one to three, and the probability of a token after a list of tokens; 1 is the start, 0 the end."""
+    c, pairs, triples, starts = Counter(), Counter(), Counter(), 0
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 == 2:
+            continue
+        w = [1, *ascii_lower(t).split(), 0]
+        c.update(w[1:])
+        starts += 1
+        pairs.update(zip(w, w[1:]))
+        triples.update(zip(w, w[1:], w[2:]))
     n, v = sum(c.values()), len(c)
-    p = lambda x: (c[x] + 1) / (n + v + 1)
+
+    def p(before, x):
+        out = (c[x] + 1) / (n + v + 1)
+        v1 = before[-1]
+        seen = starts if v1 == 1 else c[v1]
+        if seen:
+            out = (pairs[v1, x] + 5 * out) / (seen + 5)
+        if len(before) > 1 and pairs[before[-2], v1] >= 2:
+            out = (triples[before[-2], v1, x] + 2 * out) / (pairs[before[-2], v1] + 2)
+        return out
+
+    return c, n, v, p
+
+
+def brute_scores(rows):
+    c, n, v, p = brute_model(rows)
     out = []
-    for (i, _), w, h in zip(rows, words, held):
-        score, last = 0.0, 1
-        for x in w:
-            score += math.log10((pairs[last, x] + 5 * p(x)) / (history[last] + 5))
-            last = x
-        out.append((i, h, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(p(x)) for x in w), 3), round(score, 3)))
+    for i, t in rows:
+        w = ascii_lower(t).split() + [0]
+        held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        score = sum(math.log10(p([1, *w[:k]][-2:], x)) for k, x in enumerate(w))
+        out.append((i, held, len(w), sum(c[x] > 0 for x in w), n, round(base, 3), round(score, 3)))
     return sorted(out, key=repr)
 
 
@@ -47,26 +63,58 @@ def test_scores_empty(empty):
     assert language_model.score(empty).collect() == []
 
 
-def test_probabilities_of_a_state_sum_to_one(spark):
-    rows = [(1, "a b a c"), (3, "b a"), (4, "c c a")]
-    vocabulary = ["a", "b", "c", ""]
-    queries = [(100 + k, f"a {w}".strip()) for k, w in enumerate(vocabulary)]
-    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = [k for k in range(100, 4000) if zlib.crc32(str(k).encode()) % 7 == 2][:5]
-    texts = [(held[0], "a"), (held[1], "a a"), (held[2], "a b"), (held[3], "a c"), (held[4], "a zzz")]
-    assert queries
-    got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(train + texts, "doc_id long, text string")).collect()}
-    c, pairs, history = Counter(), Counter(), Counter()
-    for _, t in train:
-        w = t.split() + [0]
-        c.update(w)
-        for a, b in zip([1, *w], w):
-            pairs[a, b] += 1
-            history[a] += 1
-    n, v = sum(c.values()), len(c)
-    total = sum((pairs["a", x] + 5 * (c[x] + 1) / (n + v + 1)) / (history["a"] + 5) for x in c) + 5 * 1 / (n + v + 1) / (history["a"] + 5)
-    assert abs(total - 1) < 1e-12
-    assert got[held[4]]["n_known"] == 2
+def test_stretches_carry_the_state(docs, corpus, monkeypatch):
+    want = {tuple(r) for r in language_model.score(docs).select("doc_id", "n_tokens", F.round("score", 6)).collect()}
+    monkeypatch.setattr(language_model, "STRETCH", 7)
+    columns = language_model.score(docs).select("doc_id", "n_tokens", F.round("score", 6))
+    assert {tuple(r) for r in columns.collect()} == want
+
+
+def chunk_automaton(rows, more=()):
+    """The automaton of one chunk that holds ``rows`` and, held out, ``more``."""
+    free = (k for k in range(10_000) if zlib.crc32(str(k).encode()) % 7 != 2)
+    held = (k for k in range(10_000) if zlib.crc32(str(k).encode()) % 7 == 2)
+    table = pa.table({"doc_id": [next(free) for _ in rows] + [next(held) for _ in more], "text": [*rows, *more]})
+    tokens = language_model.Tokens(table, 7, 2)
+    counts = language_model.Counts.__new__(language_model.Counts)
+    counts.type, counts.pair = tokens.type_count, tokens.pair_count
+    real = np.delete(tokens.type_count, tokens.start_type)
+    counts.types, counts.total = int((real > 0).sum()), int(real.sum())
+    triples = tokens.triples(counts.pair)
+    total = np.bincount(triples[2][tokens.train[triples[0]]], minlength=len(triples[1]))
+    return tokens, language_model.Automaton(tokens, counts, triples, total, (5.0, 2.0)), counts
+
+
+def test_probabilities_of_a_state_sum_to_one():
+    """From every state, the probabilities of all tokens and of one never seen sum to one; the states are those of all orders."""
+    tokens, model, counts = chunk_automaton(["a b a c", "b a b a b", "c c a b a", "a b c"], ["zzz"])
+    types = [k for k in range(len(tokens.types)) if k != tokens.start_type]
+    unseen = [k for k in types if not counts.type[k]]
+    assert len(unseen) == 1
+    reached, todo = set(), [model.start]
+    while todo:
+        state = todo.pop()
+        if state in reached:
+            continue
+        reached.add(state)
+        after, weights = model.step(np.full(len(types), state), np.array(types))
+        assert sum(10.0**weights) == pytest.approx(1.0)
+        # Nothing follows the end.
+        todo += [int(a) for a, k in zip(after, types) if tokens.types[k] != language_model.END]
+    n = len(tokens.types)
+    assert 0 in reached and any(0 < s <= n for s in reached) and any(s > n for s in reached)
+
+
+def test_keys_are_whole():
+    rng = np.random.default_rng(4)
+    for bits in (6, 10, 16, 20):
+        keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        edges = language_model._edges(keys, bits)
+        for b in np.flatnonzero(np.diff(edges))[:200].tolist():
+            mine = keys[edges[b] : edges[b + 1]]
+            data = language_model.pack_keys(mine, bits)
+            assert len(data) == language_model._key_bytes(len(mine), bits)
+            assert (language_model.unpack_keys(data, bits, b) == mine).all()
 
 
 def test_shards_hold_their_law(docs, corpus, empty):
