@@ -125,22 +125,26 @@ def _sub_buckets(bits: int) -> int:
 
 
 def pack_keys(keys: np.ndarray, bits: int) -> bytes:
-    """Sorted hashes of one bucket: how many fall into each sub-bucket, then the low bits of each."""
+    """Sorted hashes of one bucket: how many fall into each sub-bucket, then the low bits of each.
+
+    The first byte is the width of those numbers.
+    """
     if not len(keys):
         return b""
     n = _sub_buckets(bits)
-    sub = (keys >> np.uint64(LOW_BITS)).astype(np.int64) & (n - 1)
-    return np.bincount(sub, minlength=n).astype("<u4").tobytes() + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
+    sub = np.bincount((keys >> np.uint64(LOW_BITS)).astype(np.int64) & (n - 1), minlength=n)
+    width = 1 if sub.max() < 256 else 4
+    return bytes([width]) + sub.astype(f"<u{width}").tobytes() + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
 
 
 def unpack_keys(data: bytes, bits: int, bucket: int) -> np.ndarray:
     """The whole hashes again."""
     if not data:
         return np.zeros(0, np.uint64)
-    n = _sub_buckets(bits)
-    sub = np.repeat(np.arange(n, dtype=np.uint64), np.frombuffer(data, "<u4", n))
+    n, width = _sub_buckets(bits), data[0]
+    sub = np.repeat(np.arange(n, dtype=np.uint64), np.frombuffer(data, f"<u{width}", n, 1))
     out = np.zeros((len(sub), 8), np.uint8)
-    out[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, offset=4 * n).reshape(len(sub), -1)
+    out[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, offset=1 + width * n).reshape(len(sub), -1)
     # Where buckets have more than 16 bits, the low bits hold some of the bucket's: an or leaves them as they are.
     return out.reshape(-1).view("<u8") | sub << np.uint64(LOW_BITS) | np.uint64(bucket << (64 - bits))
 
@@ -160,7 +164,7 @@ def _ask(chunk: int, bits: int, groups: list[tuple[np.ndarray, np.ndarray]], eve
     for b in used:
         cuts = [slice(e[b], e[b + 1]) for e in edges]
         keys.append(b"".join(pack_keys(k[x], bits) for (k, _), x in zip(groups, cuts)))
-        extra.append(C.squeeze(np.concatenate([c[x] for (_, c), x in zip(groups, cuts)]).astype("<u4")))
+        extra.append(_numbers(np.concatenate([c[x] for (_, c), x in zip(groups, cuts)])))
     return pa.table(
         {
             "bucket": pa.array(used, pa.int32()),
@@ -172,8 +176,9 @@ def _ask(chunk: int, bits: int, groups: list[tuple[np.ndarray, np.ndarray]], eve
     )
 
 
-def _key_bytes(n: int, bits: int) -> int:
-    return 4 * _sub_buckets(bits) + n * LOW_BITS // 8 if n else 0
+def _key_bytes(data: bytes, n: int, bits: int) -> int:
+    """Bytes that the first ``n`` keys take."""
+    return 1 + data[0] * _sub_buckets(bits) + n * LOW_BITS // 8 if n else 0
 
 
 def _totals(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -184,7 +189,16 @@ def _totals(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    return C.squeeze(x.astype("<u8" if x.max(initial=0) >> 32 else "<u4"))
+    """Numbers, compressed, in the narrowest width that holds them."""
+    most = int(x.max(initial=0))
+    return C.squeeze(x.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if not most >> (8 * w))))
+
+
+def _read(n: int, body: bytes) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(body, decompressed_size=zstandard.frame_content_size(body), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
 
 
 def _count(bits: int):
@@ -193,10 +207,10 @@ def _count(bits: int):
     def count(bucket: int, rows: list[dict]):
         types, pairs, type_n, pair_n = [], [], [], []
         for r in rows:
-            n, cut = r["n"], _key_bytes(r["n"], bits)
+            n, cut = r["n"], _key_bytes(r["keys"], r["n"], bits)
             types.append(unpack_keys(r["keys"][:cut], bits, bucket))
             pairs.append(unpack_keys(r["keys"][cut:], bits, bucket))
-            counts = C.unsqueeze(r["extra"], "<u4", n + len(pairs[-1])).astype(np.int64)
+            counts = _read(n + len(pairs[-1]), r["extra"])
             type_n.append(counts[:n])
             pair_n.append(counts[n:])
         t_parts, keys, sums = _totals(types, type_n)
@@ -211,20 +225,13 @@ def _count(bits: int):
 
 def _count_triples(bits: int):
     def count(bucket: int, rows: list[dict]):
-        parts, _, _ = _totals([unpack_keys(r["keys"], bits, bucket) for r in rows], [C.unsqueeze(r["extra"], "<u4", r["n"]).astype(np.int64) for r in rows])
+        parts, _, _ = _totals([unpack_keys(r["keys"], bits, bucket) for r in rows], [_read(r["n"], r["extra"]) for r in rows])
         for r, x in zip(rows, parts):
             yield r["chunk"], len(x), _numbers(x)
 
     return count
 
 
-def _read(n: int, body: bytes) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.int64)
-    raw = pa.decompress(body, decompressed_size=zstandard.frame_content_size(body), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
-
-
 class Counts:
     """The corpus counts of a chunk's tokens and pairs."""
 

@@ -113,7 +113,7 @@ def test_keys_are_whole():
         for b in np.flatnonzero(np.diff(edges))[:200].tolist():
             mine = keys[edges[b] : edges[b + 1]]
             data = language_model.pack_keys(mine, bits)
-            assert len(data) == language_model._key_bytes(len(mine), bits)
+            assert len(data) == language_model._key_bytes(data, len(mine), bits)
             assert (language_model.unpack_keys(data, bits, b) == mine).all()
 
 
