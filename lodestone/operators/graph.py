@@ -2,7 +2,7 @@
 
 Everything is a declared plan: one hop is an equi-join, optional hops are outer
 joins, existence is a semi- or anti-join. Variable-length expansions iterate a
-frontier join with a depth bound; the steps, which every level joins, are
+frontier join, to the end or to a stated depth; the steps, which every level joins, are
 written to shared storage once, and so is each level of a closure.
 """
 
@@ -61,21 +61,22 @@ def owners(nodes: DataFrame, edges: DataFrame, rel: str, needle: str, mode: str
     return hop.join(owner, F.col("src") == F.col("owner_qn")).select("owner_qn", "owner_name", "owner_config_name", "owner_category_name").distinct()
 
 
-def closure(edges: DataFrame, rels: list[str], seeds: DataFrame, depth: int = 16) -> DataFrame:
-    """(root, node, depth) for every node reachable from the seeds, seeds included, along a tree.
+def closure(edges: DataFrame, rels: list[str], seeds: DataFrame, guard: int = 1000) -> DataFrame:
+    """(root, node, depth) for every node reachable from the seeds, seeds included, along a tree of any depth.
 
     ``seeds`` has the column qn. A tree has one path to a node, so no visited
-    set is needed; the loop ends as soon as a level is empty.
+    set is needed; the loop ends as soon as a level is empty. More than
+    ``guard`` levels mean a cycle and are an error.
     """
     hop = materialise(edges.where(F.col("rel").isin(rels)).select(F.col("src").alias("node"), F.col("dst").alias("next")), "steps")
     level = materialise(seeds.select(F.col("qn").alias("root"), F.col("qn").alias("node"), F.lit(0).alias("depth")), "level")
     out = level
-    for d in range(1, depth + 1):
+    for d in range(1, guard + 1):
         level = materialise(level.join(hop, "node").select("root", F.col("next").alias("node"), F.lit(d).alias("depth")), "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise RecursionError(f"more than {guard} levels along {rels}: a cycle")
 
 
 def trails(edges: DataFrame, rel: str, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:

@@ -23,6 +23,28 @@ def clamp_offset(value: object) -> int:
         return 0
 
 
+def clamped(column: str, least: int, most: int | None, default: int) -> Column:
+    """A text column as a number within bounds; the default where it does not parse."""
+    number = F.greatest(F.lit(least), F.coalesce(F.expr(f"try_cast({column} as int)"), F.lit(default)))
+    return number if most is None else F.least(F.lit(most), number)
+
+
+def has_more(legs: list[DataFrame], key: str, item: str, budget: int, page_end: int) -> DataFrame:
+    """key, pool (distinct items of all legs) and whether more follow the page that ends at ``page_end``.
+
+    If no leg used its whole budget, the pool is all there is and the answer is
+    exact; if one did, more may exist, and a full page says so: a false yes costs
+    an empty page, a false no would lose results.
+    """
+    counted = None
+    for leg in legs:
+        full = leg.groupBy(key).agg((F.count("*") >= budget).alias("full"))
+        mine = leg.select(key, item).join(full, key)
+        counted = mine if counted is None else counted.unionByName(mine)
+    pool = counted.groupBy(key).agg(F.countDistinct(item).alias("pool"), F.max("full").alias("full"))
+    return pool.select(key, "pool", F.when(F.col("full"), F.col("pool") >= page_end).otherwise(F.col("pool") > page_end).alias("has_more"))
+
+
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> tuple[DataFrame, bool, int | None]:
     """One page, whether more follow, and the next offset, by looking one row ahead."""
     rows = df.orderBy(*order).offset(offset).limit(limit + 1)

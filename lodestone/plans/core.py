@@ -112,25 +112,24 @@ register(
         "tree AS (SELECT qn AS root, qn AS node, 0 AS depth FROM nodes WHERE label = 'FormControl' UNION ALL SELECT t.root, e.dst, t.depth + 1 FROM tree t JOIN edges e ON e.src = t.node AND e.rel = 'HAS_CHILD')",
         "SELECT root, node, depth FROM tree",
     ),
-)(lambda spark, sf_dir: (lambda g: G.closure(g.edges, ["HAS_CHILD"], g.nodes.where("label = 'FormControl'"), 5))(Graph(spark, sf_dir)))
+)(lambda spark, sf_dir: (lambda g: G.closure(g.edges, ["HAS_CHILD"], g.nodes.where("label = 'FormControl'")))(Graph(spark, sf_dir)))
 
 
 def _native_closure(spark, sf_dir) -> DataFrame:
-    """The same closure as a recursive common table expression of Spark SQL."""
+    """The same closure as a recursive common table expression of Spark SQL, which stops at the first empty level."""
     g = Graph(spark, sf_dir)
-    g.nodes.where("label = 'FormControl'").select("qn").createOrReplaceTempView("lodestone_seeds")
-    g.edges.where("rel = 'HAS_CHILD'").select("src", "dst").createOrReplaceTempView("lodestone_steps")
     return spark.sql(
-        """WITH RECURSIVE tree(root, node, depth) AS (SELECT qn, qn, 0 FROM lodestone_seeds
-           UNION ALL SELECT t.root, s.dst, t.depth + 1 FROM tree t JOIN lodestone_steps s ON s.src = t.node WHERE t.depth < 5)
-           SELECT root, node, depth FROM tree"""
-    )
+        """WITH RECURSIVE tree(root, node, depth) AS (SELECT qn, qn, 0 FROM {seeds}
+           UNION ALL SELECT t.root, s.dst, t.depth + 1 FROM tree t JOIN {steps} s ON s.src = t.node)
+           SELECT root, node, depth FROM tree""",
+        seeds=g.nodes.where("label = 'FormControl'").select("qn"), steps=g.edges.where("rel = 'HAS_CHILD'").select("src", "dst"),
+    )
 
 
 register(
     "jn05_recursive_sql",
     _duck_recursive(
-        "tree AS (SELECT qn AS root, qn AS node, 0 AS depth FROM nodes WHERE label = 'FormControl' UNION ALL SELECT t.root, e.dst, t.depth + 1 FROM tree t JOIN edges e ON e.src = t.node AND e.rel = 'HAS_CHILD' WHERE t.depth < 5)",
+        "tree AS (SELECT qn AS root, qn AS node, 0 AS depth FROM nodes WHERE label = 'FormControl' UNION ALL SELECT t.root, e.dst, t.depth + 1 FROM tree t JOIN edges e ON e.src = t.node AND e.rel = 'HAS_CHILD')",
         "SELECT root, node, depth FROM tree",
     ),
 )(_native_closure)
@@ -171,19 +170,25 @@ add_graph(
 
 
 def _callsites(d: Data) -> DataFrame:
-    """Call sites (orders) to routines (parts): same name key, arguments within the arity range, directives compatible; the narrowest wins."""
+    """Call sites (line items) to routines (parts): same name, arguments within the arity range, directives compatible; the narrowest wins.
+
+    Of the routines that fit a name, a number of arguments and a side, only the
+    narrowest can win: routines are reduced to one for each of these first, by an
+    aggregate that combines before its shuffle. A site then has one partner for
+    each side, found by equality, and none is compared with all of its name.
+    """
+    routines = d.part.select((F.col("p_partkey") % 40).alias("name"), F.explode(F.sequence(F.col("p_size") % 10, F.col("p_size") % 10 + 15)).alias("args"), F.substring("p_type", 1, 1).eqNullSafe("S").alias("server"), F.struct((F.col("p_size") % 10).alias("least"), (F.col("p_size") % 10 + 15).alias("most"), "p_partkey").alias("routine"))
+    best = routines.groupBy("name", "args").agg(F.min("routine").alias("any"), F.min(F.when(~F.col("server"), F.col("routine"))).alias("client"))
     sites = d.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("args"), F.col("l_returnflag").alias("directive")).distinct()
-    routines = d.part.select("p_partkey", (F.col("p_partkey") % 40).alias("name_key"), (F.col("p_size") % 10).alias("min_arity"), (F.col("p_size") % 10 + 15).alias("max_arity"), F.substring("p_type", 1, 1).alias("side"))
-    fits = (F.col("l_partkey") % 40 == F.col("name_key")) & F.col("args").between(F.col("min_arity"), F.col("max_arity"))
-    compatible = (F.col("directive") != "R") | (F.col("side") != "S")
-    joined = sites.where("l_linenumber = 1").join(routines, fits & compatible)
-    return R.top_n(joined, ["l_orderkey", "l_partkey", "args", "directive"], ["min_arity", "max_arity", "p_partkey"], 1).select("l_orderkey", "l_partkey", "args", "directive", F.col("p_partkey").alias("callee"))
+    found = sites.withColumn("name", F.col("l_partkey") % 40).join(best, ["name", "args"])
+    callee = F.when(F.col("directive") == "R", F.col("client.p_partkey")).otherwise(F.col("any.p_partkey"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "args", "directive", callee.alias("callee")).where("callee is not null")
 
 
 add(
     "jn11_call_sites",
-    """SELECT l_orderkey, l_partkey, args, directive, p_partkey AS callee FROM (SELECT s.*, p.p_partkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey, args, directive ORDER BY p_size % 10, p_size % 10 + 15, p_partkey) AS k
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS args, l_returnflag AS directive FROM lineitem WHERE l_linenumber = 1) s JOIN part p ON s.l_partkey % 40 = p.p_partkey % 40 AND s.args BETWEEN p.p_size % 10 AND p.p_size % 10 + 15 AND (s.directive <> 'R' OR substring(p.p_type, 1, 1) <> 'S')) x WHERE k = 1""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, args, directive, p_partkey AS callee FROM (SELECT s.*, p.p_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, args, directive ORDER BY p_size % 10, p_size % 10 + 15, p_partkey) AS k
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS args, l_returnflag AS directive FROM lineitem) s JOIN part p ON s.l_partkey % 40 = p.p_partkey % 40 AND s.args BETWEEN p.p_size % 10 AND p.p_size % 10 + 15 AND (s.directive <> 'R' OR substring(p.p_type, 1, 1) <> 'S')) x WHERE k = 1""",
     _callsites,
 )
 add_graph(
@@ -206,7 +211,9 @@ add(
 add(
     "jn15_overlapping_arity",
     "SELECT DISTINCT a.p_partkey AS target, b.s_suppkey AS site FROM part a JOIN supplier b ON a.p_partkey % 10 = b.s_suppkey % 10 AND a.p_size <= b.s_nationkey + 3 AND b.s_nationkey <= a.p_size + 2",
-    lambda d: d.part.join(d.supplier, (F.col("p_partkey") % 10 == F.col("s_suppkey") % 10) & (F.col("p_size") <= F.col("s_nationkey") + 3) & (F.col("s_nationkey") <= F.col("p_size") + 2)).select(F.col("p_partkey").alias("target"), F.col("s_suppkey").alias("site")).distinct(),
+    # A range of six numbers is six equalities: the key is the name and the number, and no task compares all of a name.
+    lambda d: d.supplier.select((F.col("s_suppkey") % 10).alias("name"), F.explode(F.sequence(F.col("s_nationkey") - 2, F.col("s_nationkey") + 3)).alias("size"), F.col("s_suppkey").alias("site"))
+    .join(d.part.select((F.col("p_partkey") % 10).alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("target")), ["name", "size"]).select("target", "site").distinct(),
 )
 add(
     "jn16_enrich_top",
@@ -349,6 +356,28 @@ add(
 
 add("so01_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40", lambda d: R.page(d.customer, [F.desc("c_acctbal"), "c_custkey"], 20, 40)[0].select("c_custkey", "c_name"))
 add("so03_cursor", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 = 0) ORDER BY p_retailprice DESC, p_partkey LIMIT 50", lambda d: R.without(d.part, d.part.where("p_partkey % 5 = 0"), "p_partkey").orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey"))
+_LEGS = """legs AS (SELECT s_nationkey AS q, s_suppkey AS id, 'a' AS leg, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier
+    UNION ALL SELECT s_nationkey, s_suppkey, 'b', row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) FROM supplier WHERE s_suppkey % 2 = 0)"""
+
+
+def _pages(d: Data) -> DataFrame:
+    """Pages of fused legs with a conservative has_more; each leg may hold four rows, a page ends at three."""
+    a = R.top_n(d.supplier.select(F.col("s_nationkey").alias("q"), F.col("s_suppkey").alias("id"), "s_acctbal"), ["q"], [F.desc("s_acctbal"), "id"], 4).select("q", "id")
+    b = R.top_n(d.supplier.where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("q"), F.col("s_suppkey").alias("id"), "s_name"), ["q"], ["s_name", "id"], 4).select("q", "id")
+    return R.has_more([a, b], "q", "id", 4, 3)
+
+
+add(
+    "so02_conservative_has_more",
+    f"WITH {_LEGS} SELECT q, count(DISTINCT id) AS pool, CASE WHEN max(full_leg) = 1 THEN count(DISTINCT id) >= 3 ELSE count(DISTINCT id) > 3 END AS has_more FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY q, leg) >= 4 THEN 1 ELSE 0 END AS full_leg FROM legs WHERE k <= 4) x GROUP BY q",
+    _pages,
+)
+add(
+    "pr08_clamped_page",
+    "SELECT user_id, CAST(least(500, greatest(1, coalesce(TRY_CAST(raw AS INTEGER), 50))) AS INTEGER) AS page_limit, CAST(greatest(0, coalesce(TRY_CAST(raw AS INTEGER), 0)) AS INTEGER) AS page_offset FROM (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'x' || user_id WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN CAST(-user_id AS VARCHAR) END AS raw FROM events) r",
+    lambda d: d.events.select("user_id").distinct().withColumn("raw", F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("x"), F.col("user_id").cast("string"))).when(F.col("user_id") % 4 == 1, F.col("user_id").cast("string")).when(F.col("user_id") % 4 == 2, (-F.col("user_id")).cast("string")))
+    .select("user_id", R.clamped("raw", 1, 500, 50).alias("page_limit"), R.clamped("raw", 0, None, 0).alias("page_offset")),
+)
 add_graph(
     "so04_path_units",
     "SELECT path_no, hop, node FROM (SELECT row_number() OVER (ORDER BY a.src, a.dst, b.dst) AS path_no, [a.src, a.dst, b.dst] AS path FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'HAS_TABULAR_PART' AND b.rel = 'HAS_ATTRIBUTE' QUALIFY path_no BETWEEN 11 AND 30) p, (SELECT unnest(p.path) AS node, unnest(range(0, 3)) AS hop) u",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import relational as R
 from lodestone.plans.core import Data, add
+from lodestone.sources.projection import once
 
 _STOP = "('the', 'and', 'for', 'that', 'with', 'this')"
 
@@ -29,12 +30,17 @@ _QUERY = f"query AS (SELECT item_id, token, count(*) AS qf FROM (SELECT item_id,
 _BM25 = f"{_POST}, {_STATS}, {_QUERY}, scored AS (SELECT q.item_id, p.doc_id, sum(q.qf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / docs)))) AS score FROM post p JOIN dfs USING (token) JOIN lens USING (doc_id) JOIN query q USING (token), stats GROUP BY q.item_id, p.doc_id)"
 
 
-def _index(d: Data) -> DataFrame:
-    return T.postings(d.documents, "doc_id", T.tokens("text"))
+#: Indexed fields of a document: the text, its first line, and its source.
+FIELDS = {"text": "text", "head": "split_part(text, '\n', 1)", "source": "source"}
+
+
+def _index(d: Data, field: str = "text") -> DataFrame:
+    """Postings of a field, tokenised and stored once."""
+    return once(d.spark, d.sf_dir, f"postings-{field}", ("documents",), lambda: T.postings(d.documents, "doc_id", T.tokens(F.expr(FIELDS[field]))))
 
 
 def _asked(d: Data) -> DataFrame:
-    return T.postings(d.benchmark, "item_id", T.tokens("text")).withColumnRenamed("tf", "qf")
+    return once(d.spark, d.sf_dir, "asked", ("benchmark",), lambda: T.postings(d.benchmark, "item_id", T.tokens("text")).withColumnRenamed("tf", "qf"))
 
 
 def _scored(d: Data) -> DataFrame:
@@ -45,22 +51,40 @@ add("tx03_idf", f"WITH {_POST}, {_STATS} SELECT token, round(ln(1 + (docs - df +
 add("tx04_bm25", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM scored) x WHERE k <= 5", lambda d: R.top_n(_scored(d), ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], 5).select("item_id", "doc_id", F.round("score", 5).alias("score")))
 
 
-def _fields(d: Data, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of the fields' scores."""
-    out = None
-    for field, weight in weights.items():
-        index = T.postings(d.documents, "doc_id", T.tokens(F.col(field)))
-        part = T.bm25(index, "doc_id", _asked(d), "item_id").select("item_id", "doc_id", (F.col("score") * weight).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return R.top_n(out.groupBy("item_id", "doc_id").agg(F.sum("score").alias("score")), ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], 3).select("item_id", "doc_id", F.round("score", 5).alias("score"))
+def _best(scored: DataFrame, n: int) -> DataFrame:
+    """The n best documents of each item."""
+    return R.top_n(scored, ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], n).select("item_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+def _best_sql(scored: str, n: int) -> str:
+    return f"SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM {scored}) x WHERE k <= {n}"
+
+
+#: Weights of the fields, and of the columns of the full-text table.
+FIELD_WEIGHTS = {"text": 1.0, "head": 3.5, "source": 2.0}
+COLUMN_WEIGHTS = {"text": 1.0, "head": 4.3, "source": 1.7}
 
 
-def _field_sql(weight: float) -> str:
-    return f"WITH {_BM25} SELECT item_id, doc_id, round(score * {weight}, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score * {weight}, 6) DESC, doc_id) AS k FROM scored) x WHERE k <= 3"
+def _field_postings(fields: dict[str, float]) -> str:
+    """Postings of each field by name, with the field's weight."""
+    parts = [f"SELECT doc_id, token, '{f}' AS field, CAST({w} AS DOUBLE) AS weight, count(*) AS tf FROM (SELECT doc_id, unnest({_toks(FIELDS[f])}) AS token FROM documents) x GROUP BY doc_id, token" for f, w in fields.items()]
+    return "fpost AS MATERIALIZED (" + " UNION ALL ".join(parts).replace("'\n'", "chr(10)") + ")"
 
 
-add("tx05_field_bm25", _field_sql(3.5), lambda d: _fields(d, {"text": 3.5}))
-add("tx06_weighted_columns", _field_sql(4.3), lambda d: _fields(d, {"text": 4.3}))
+add(
+    "tx05_field_bm25",
+    f"""WITH {_QUERY}, {_field_postings(FIELD_WEIGHTS)}, stats AS (SELECT field, count(DISTINCT doc_id) AS docs, sum(tf) AS total FROM fpost GROUP BY field), lens AS (SELECT field, doc_id, sum(tf) AS len FROM fpost GROUP BY field, doc_id), dfs AS (SELECT field, token, count(*) AS df FROM fpost GROUP BY field, token),
+    scored AS (SELECT q.item_id, p.doc_id, sum(p.weight * q.qf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / docs)))) AS score FROM fpost p JOIN dfs USING (field, token) JOIN lens USING (field, doc_id) JOIN stats USING (field) JOIN query q USING (token) GROUP BY q.item_id, p.doc_id)
+    {_best_sql("scored", 3)}""",
+    lambda d: _best(T.field_bm25({f: (_index(d, f), w) for f, w in FIELD_WEIGHTS.items()}, "doc_id", _asked(d), "item_id"), 3),
+)
+add(
+    "tx06_weighted_columns",
+    f"""WITH {_QUERY}, {_field_postings(COLUMN_WEIGHTS)}, rows_ AS (SELECT doc_id, token, sum(tf) AS tf, sum(tf * weight) AS f FROM fpost GROUP BY doc_id, token), stats AS (SELECT count(DISTINCT doc_id) AS docs, sum(tf) AS total FROM rows_), lens AS (SELECT doc_id, sum(tf) AS len FROM rows_ GROUP BY doc_id), dfs AS (SELECT token, count(*) AS df FROM rows_ GROUP BY token),
+    scored AS (SELECT q.item_id, p.doc_id, sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / (total / docs)))) AS score FROM rows_ p JOIN dfs USING (token) JOIN lens USING (doc_id) JOIN query q USING (token), stats GROUP BY q.item_id, p.doc_id)
+    {_best_sql("scored", 3)}""",
+    lambda d: _best(T.column_bm25({f: (_index(d, f), w) for f, w in COLUMN_WEIGHTS.items()}, "doc_id", _asked(d), "item_id"), 3),
+)
 add("tx07_sanitise", "SELECT item_id, array_to_string(list_slice(list_transform(list_sort(list_transform(list_distinct(w), lambda x: [list_position(w, x)::VARCHAR.lpad(6, '0'), x])), lambda y: y[2]), 1, 12), ' OR ') AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]{3,}') AS w FROM benchmark) q".replace("list_position(w, x)::VARCHAR.lpad(6, '0')", "lpad(CAST(list_position(w, x) AS VARCHAR), 6, '0')"), lambda d: d.benchmark.select("item_id", T.sanitise(F.col("text")).alias("terms")))
 add("tx08_escape", r"""SELECT page_id, regexp_replace(url, '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g') AS escaped FROM pages""", lambda d: d.pages.select("page_id", T.escape_query(F.col("url")).alias("escaped")))
 add("tx09_overlap", "SELECT c.item_id AS a, e.item_id AS b, round(len(list_intersect(string_split(c.text, ' '), string_split(e.text, ' '))) / len(list_distinct(string_split(c.text, ' '))), 6) AS ratio FROM benchmark c JOIN benchmark e ON c.item_id + 1 = e.item_id", lambda d: d.benchmark.select(F.col("item_id").alias("a"), F.split("text", " ").alias("x")).join(d.benchmark.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.split("text", " ").alias("y")), "a").select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("ratio")))
@@ -74,14 +98,19 @@ add("tx15_joined_name", "SELECT o_orderkey, translate(lower(o_orderpriority), '
 add("tx16_canonical_category", "SELECT DISTINCT c_custkey, k.canon FROM customer JOIN (VALUES ('BUILDING', 'construction'), ('BUILDING', 'housing'), ('MACHINERY', 'industry'), ('HOUSEHOLD', 'housing')) k(seg, canon) ON c_mktsegment = k.seg", lambda d: d.customer.join(F.broadcast(d.spark.createDataFrame([("BUILDING", ["construction", "housing"]), ("MACHINERY", ["industry"]), ("HOUSEHOLD", ["housing"])], "c_mktsegment string, canon array<string>")), "c_mktsegment").select("c_custkey", F.explode("canon").alias("canon")).distinct())
 add("tx17_structural_terms", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1))), ',') AS terms FROM pages", lambda d: d.pages.select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)))), ",").alias("terms")))
 add("tx18_line_features", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[A-Z]'))) AS headers, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, '|'))) AS tables FROM documents", lambda d: d.documents.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("^[A-Z]"))).cast("long").alias("headers"), F.size(F.filter(F.split("text", "\n"), lambda x: x.contains("|"))).cast("long").alias("tables")))
-add("tx19_search_text", "SELECT doc_id, sha256(repeat(lang || ' ', 6) || repeat(source || ' ', 6) || substring(text, 1, 200)) AS h FROM documents", lambda d: d.documents.select("doc_id", F.sha2(F.concat(F.repeat(F.concat("lang", F.lit(" ")), 6), F.repeat(F.concat("source", F.lit(" ")), 6), F.substring("text", 1, 200)), 256).alias("h")))
+add("tx19_search_text", "SELECT doc_id, sha256(repeat(lang || ' ', 6) || repeat(source || ' ', 6) || text) AS h FROM documents", lambda d: d.documents.select("doc_id", F.sha2(F.concat(F.repeat(F.concat("lang", F.lit(" ")), 6), F.repeat(F.concat("source", F.lit(" ")), 6), "text"), 256).alias("h")))
 add("tx20_chunks", None, lambda d: T.chunk(d.documents, "doc_id", "text", 1000, 100))
 add("tx20_fixed_width", "SELECT doc_id, i AS part, substring(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 900.0) AS BIGINT))) AS i FROM documents) x", lambda d: d.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / 900.0) - 1, F.lit(0)).cast("int"))).alias("i")).where("length(text) > 0").select("doc_id", F.col("i").cast("long").alias("part"), F.substring("text", F.col("i") * 900 + 1, F.lit(1000)).alias("chunk")))
 add("tx21_sliding_split", None, lambda d: T.chunk(d.documents, "doc_id", "text", 3600, 720, 480).unionByName(T.chunk(d.documents, "doc_id", "text", 2200, 440, 300)))
 add("tx22_lexical_dedup", "SELECT item_id, CASE WHEN length(short) < length(text) THEN short ELSE text END AS packed FROM (SELECT item_id, text, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: [lpad(CAST(list_position(w, x) AS VARCHAR), 6, '0'), x])), lambda y: y[2]), ' ') AS short FROM (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark) q) z", lambda d: d.benchmark.withColumn("short", F.array_join(F.array_distinct(F.split("text", " ")), " ")).select("item_id", F.when(F.length("short") < F.length("text"), F.col("short")).otherwise(F.col("text")).alias("packed")))
-add("tx23_context_prefix", "SELECT doc_id, concat_ws(' > ', lang, source, CAST(doc_id AS VARCHAR)) || chr(10) || substring(text, 1, 40) AS embed_text FROM documents", lambda d: d.documents.select("doc_id", F.concat(F.concat_ws(" > ", "lang", "source", F.col("doc_id").cast("string")), F.lit("\n"), F.substring("text", 1, 40)).alias("embed_text")))
+add("tx23_context_prefix", "SELECT doc_id, concat_ws(' > ', lang, source, CAST(doc_id AS VARCHAR)) || chr(10) || text AS embed_text FROM documents", lambda d: d.documents.select("doc_id", F.concat(F.concat_ws(" > ", "lang", "source", F.col("doc_id").cast("string")), F.lit("\n"), "text").alias("embed_text")))
 add("tx24_line_slice", "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents", lambda d: d.documents.select("doc_id", T.line_slice(F.col("text"), 2, 3).alias("lines")))
-add("tx25_cosine", "SELECT v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q", lambda d: d.embeddings.crossJoin(F.broadcast(d.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q")))).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")))
+_COSINE = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+add(
+    "tx25_cosine",
+    f"SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS k FROM (SELECT q.vec_id AS query_id, v.vec_id, greatest(0, {_COSINE}) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) p) x WHERE k <= 20",
+    lambda d: T.nearest(d.embeddings, d.embeddings.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "embedding", "query_id", 20).select("query_id", "vec_id", F.round("score", 6).alias("similarity")),
+)
 add("tx26_object_hash", "SELECT n_nationkey, sha256('{\"k\":' || CAST(n_nationkey AS VARCHAR) || ',\"name\":\"' || n_name || '\"}') AS h FROM nation", lambda d: d.nation.select("n_nationkey", F.sha2(F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))), 256).alias("h")))
 add("tx27_routine_hashes", "SELECT p_partkey, sha256(p_name) AS doc_hash, sha256(concat_ws('|', p_brand, p_type)) AS signature_hash, sha256(concat_ws('|', p_name, p_brand, p_type, CAST(p_size AS VARCHAR))) AS state_hash FROM part", lambda d: d.part.select("p_partkey", F.sha2("p_name", 256).alias("doc_hash"), F.sha2(F.concat_ws("|", "p_brand", "p_type"), 256).alias("signature_hash"), F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")), 256).alias("state_hash")))
 add("tx28_canonical_markup", "SELECT page_id, sha256(lower(regexp_replace(regexp_replace(html, ' id=\"[^\"]*\"', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS h FROM pages", lambda d: d.pages.select("page_id", F.sha2(F.lower(F.regexp_replace(F.regexp_replace("html", ' id="[^"]*"', ""), r"[ \t\r\n]+", " ")), 256).alias("h")))
@@ -96,31 +125,37 @@ add("tx36_embedding_format", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'qu
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-_VEC = "vec AS (SELECT q.vec_id % 5 AS item_id, v.vec_id AS doc_id, greatest(0, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5)"
+#: Query vectors are those of ids divisible by 100; the k-th of them belongs to the k-th item.
+_VEC = f"vec AS (SELECT q.vec_id // 100 AS item_id, v.vec_id AS doc_id, greatest(0, {_COSINE}) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
-def _vector_leg(d: Data) -> DataFrame:
-    """Similarity of every vector to five query vectors; the query set is fixed and broadcast."""
-    q = d.embeddings.where("vec_id < 5").select((F.col("vec_id") % 5).alias("item_id"), F.col("embedding").alias("q"))
-    return d.embeddings.crossJoin(F.broadcast(q)).select("item_id", F.col("vec_id").alias("doc_id"), F.greatest(F.lit(0.0), T.cosine(F.col("embedding"), F.col("q"))).alias("score"))
+def _vector_leg(d: Data, keep: DataFrame | None = None, n: int = 200) -> DataFrame:
+    """The n vectors nearest to every query vector, of all or of the documents ``keep``."""
+    queries = d.embeddings.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("item_id"), "embedding")
+    vectors = d.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return T.nearest(vectors if keep is None else vectors.join(keep, "doc_id", "left_semi"), queries, "doc_id", "embedding", "item_id", n)
 
 
 def _hybrid(d: Data, method: str, filters=None, alpha: float = 0.6) -> DataFrame:
-    text_leg, vector_leg = _scored(d).where("item_id < 5"), _vector_leg(d)
-    if filters is not None:
+    text_leg = _scored(d)
+    if filters is None:
+        vector_leg = _vector_leg(d)
+    else:
+        # The filter goes before the search, so that no leg is short of rows that pass it.
         keep = d.documents.where(filters).select("doc_id")
-        text_leg, vector_leg = text_leg.join(keep, "doc_id", "left_semi"), vector_leg.join(keep, "doc_id", "left_semi")
+        text_leg = text_leg.join(keep, "doc_id", "left_semi")
+        vector_leg = _vector_leg(d, keep)
     fused = T.fuse(text_leg, vector_leg, ["item_id", "doc_id"], ["item_id"], alpha, method)
     return R.top_n(fused, ["item_id"], [F.desc(F.round("score", 7)), "doc_id"], 10).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _hybrid_sql(method: str, where: str | None = None, alpha: float = 0.6) -> str:
     beta = round(1 - alpha, 6)
-    keep = f" AND doc_id IN (SELECT doc_id FROM documents WHERE {where})" if where else ""
+    keep = f" WHERE doc_id IN (SELECT doc_id FROM documents WHERE {where})" if where else ""
     legs = []
     for name, src in (("t", "scored"), ("v", "vec")):
         value = "CASE WHEN max(s.score) OVER (PARTITION BY item_id) > 0 THEN s.score / max(s.score) OVER (PARTITION BY item_id) ELSE 0 END" if method == "weighted" else "1.0::DOUBLE / (60 + leg_rank)"
-        legs.append(f"{name} AS (SELECT item_id, doc_id, {value} AS value FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS leg_rank FROM {src} WHERE item_id < 5{keep}) s WHERE leg_rank <= 200)")
+        legs.append(f"{name} AS (SELECT item_id, doc_id, {value} AS value FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS leg_rank FROM {src}{keep}) s WHERE leg_rank <= 200)")
     return f"WITH {_BM25}, {_VEC}, {', '.join(legs)} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS k FROM (SELECT coalesce(t.item_id, v.item_id) AS item_id, coalesce(t.doc_id, v.doc_id) AS doc_id, {alpha} * coalesce(t.value, 0) + {beta} * coalesce(v.value, 0) AS score FROM t FULL JOIN v ON t.item_id = v.item_id AND t.doc_id = v.doc_id) f) r WHERE k <= 10"
 
 

@@ -116,7 +116,7 @@ def _recursive(sql: str) -> str:
 def _controls(g: Graph) -> DataFrame:
     """(form, node, depth) of every control below its form."""
     roots = materialise(g.edges.where("rel = 'HAS_CONTROL'").select(F.col("src").alias("form"), F.col("dst").alias("root")), "roots")
-    tree = G.closure(g.edges, ["HAS_CHILD"], roots.select(F.col("root").alias("qn")).distinct(), 4)
+    tree = G.closure(g.edges, ["HAS_CHILD"], roots.select(F.col("root").alias("qn")).distinct())
     return tree.join(roots, "root").select("form", "node", (F.col("depth") + 1).alias("depth"))
 
 
@@ -239,15 +239,11 @@ TYPED = ("HAS_ATTRIBUTE", "HAS_RESOURCE", "HAS_DIMENSION", "HAS_TABULAR_PART", "
 
 
 def _usage_objects(g: Graph, needle: str) -> DataFrame:
-    """Objects with any typed element whose type list holds the needle: eight branches, distinct."""
-    out = None
-    for rel in TYPED:
-        hit = F.exists(F.split("type_text", ","), lambda t: F.lower(t).contains(needle))
-        branch = g.edges.where(F.col("rel") == rel).select("src", "dst").join(g.nodes.where(hit).select(F.col("qn").alias("dst")), "dst")
-        branch = branch.join(g.nodes.where("label = 'MetadataObject'").select(F.col("qn").alias("src"), "name", "category_name"), "src")
-        branch = branch.select(F.col("src").alias("qn"), "name", "category_name")
-        out = branch if out is None else out.unionByName(branch)
-    return out.distinct()
+    """Objects with any typed element whose type list holds the needle."""
+    hit = F.exists(F.split("type_text", ","), lambda t: F.lower(t).contains(needle))
+    typed = g.nodes.where(hit).select(F.col("qn").alias("dst"))
+    used = g.edges.where(F.col("rel").isin(*TYPED)).select("src", "dst").join(typed, "dst").select(F.col("src").alias("qn")).distinct()
+    return g.nodes.where("label = 'MetadataObject'").select("qn", "name", "category_name").join(used, "qn", "left_semi")
 
 
 _add(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (unit
-    tests, one-machine sessions) a temporary folder of this machine is used.
+    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset, a
+    session on one machine uses a temporary folder of it; on a cluster that is
+    an error, as the executors could not read what others wrote.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("lodestone.scratch.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.scratch.dir", path)
     return path.rstrip("/")

@@ -1,9 +1,10 @@
 """A property graph projected from the star-schema tables.
 
 One rule set, written in SQL that Spark and DuckDB both read, turns the driver
-tables into ``nodes`` and ``edges``. Every branch of the two unions carries a
-literal label or relation, so a filter on it prunes the other branches at plan
-time, and columns that a query does not use never leave the scans.
+tables into ``nodes`` and ``edges``. They are stored once, as files partitioned
+by label and by relation, in the shared folder: a filter on these reads the files
+of its labels alone, and columns that a query does not use are not read. A
+change of the source tables makes a new store.
 
     project      the constant ``tpch``
     Configuration regions, and one extension ``EXT_<region>`` for each
@@ -16,8 +17,12 @@ time, and columns that a query does not use never leave the scans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.session import scratch_path
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 KINDS = ("Attribute", "TabularPart", "Resource", "Dimension", "Form", "Command", "Layout", "PredefinedItem", "JournalGraph", "Module", "EnumValue", "UrlTemplate", "Characteristic")
@@ -90,34 +95,51 @@ CTES = {
 }
 
 
-def _with(names: list[str]) -> str:
-    return ", ".join(f"{n} AS ({CTES[n]})" for n in names)
+def _with(names: list[str], how: str = "AS") -> str:
+    return ", ".join(f"{n} {how} ({CTES[n]})" for n in names)
 
 
 def duck(query: str, *extra: str) -> str:
     """``query`` over the projection, as DuckDB SQL; ``extra`` are further expressions ``name AS (...)``."""
-    return f"WITH {', '.join([_with(list(CTES)), *extra])} {query}"
+    return f"WITH {', '.join([_with(list(CTES), 'AS MATERIALIZED'), *extra])} {query}"
 
 
 def _sources(sf_dir: str) -> str:
     return ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"))
 
 
-_ANALYSED: dict[tuple[str, str, str], DataFrame] = {}
+#: Stores of this application: folder, name and state of the sources, to the stored path.
+_STORED: dict[tuple[str, str, str, tuple], str] = {}
+SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the projection's tables: nodes, edges, or a part of them.
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """Files of the source tables with their sizes and times of change."""
+    found = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)]
+    return tuple(sorted(found))
+
 
-    The analysed plan is kept by application and folder; it holds no data.
+def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """What ``build`` derives from the source tables, written at the first use and read from then on.
+
+    ``by`` partitions the files. A change of the tables makes a new store.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _ANALYSED:
-        _ANALYSED[key] = _relation(spark, sf_dir, name)
-    return _ANALYSED[key]
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir, tables))
+    df = build()
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        # Rebalanced: a label's rows lie together, large labels are split and small ones packed.
+        (df.hint("rebalance", by).write.partitionBy(by) if by else df.write).parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(df.schema).parquet(_STORED[key]).select(*df.columns)
 
 
-def _relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the projection's tables: nodes, edges, or a part of them, derived from the sources."""
     return spark.sql(f"WITH {_sources(sf_dir)}, {_with(list(CTES)[: list(CTES).index(name) + 1])} SELECT * FROM {name}")
 
 
@@ -131,10 +153,13 @@ class Graph:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _stored(self, name: str, by: str) -> DataFrame:
+        return once(self.spark, self.sf_dir, name, SOURCES, lambda: relation(self.spark, self.sf_dir, name), by)
+
     @property
     def nodes(self) -> DataFrame:
-        return relation(self.spark, self.sf_dir, "nodes")
+        return self._stored("nodes", "label")
 
     @property
     def edges(self) -> DataFrame:
-        return relation(self.spark, self.sf_dir, "edges")
+        return self._stored("edges", "rel")
