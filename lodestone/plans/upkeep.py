@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import cosine
 from lodestone.operators import relational as R
 from lodestone.plans.core import _DIFF, Data, add, add_graph, difference, versions
+from lodestone.sources import descriptors as X
 from lodestone.sources import parsers as P
 from lodestone.streaming import incremental as I
 
@@ -95,23 +96,131 @@ add(
     lambda d: (lambda w: d.events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("fresh", F.when(F.col("t") - F.lag("t").over(w) <= 7_200_000_000, 0).otherwise(1)).withColumn("s", F.sum("fresh").over(w)).groupBy("user_id", "s").agg(F.min("t").alias("start_us"), F.count("*").alias("n")).select("user_id", "start_us", "n"))(W.partitionBy("user_id").orderBy("ts", "event_id")),
 )
 
+def _events(d: Data, mode: str, build, files: int | None = None) -> DataFrame:
+    return I.stream_table(d.spark, f"{d.sf_dir}/events.parquet", d.events.schema, build, mode, files)
+
+
+def _stream_windows(d: Data) -> DataFrame:
+    """Sliding windows of a stream under a watermark; in complete mode every window is kept."""
+    windows = lambda s: s.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour").groupBy(F.window("t", "6 hours", "3 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.unix_micros("w.start").alias("start_us"), "n")
+    return _events(d, "complete", windows)
+
+
+add(
+    "st19_stream_windows",
+    "SELECT event_type, start_us, count(*) AS n FROM (SELECT event_type, CAST(epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '2000-01-01')) AS BIGINT) - k * 10800000000 AS start_us FROM events, (VALUES (0), (1)) v(k)) x GROUP BY ALL",
+    _stream_windows,
+)
+
+
+def _stream_join(d: Data) -> DataFrame:
+    """Stream-stream join: purchases with the clicks of the same user in the day before; the watermarks bound the state."""
+
+    def build(clicks: DataFrame) -> DataFrame:
+        side = lambda s, kind, p: s.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{p}_user"), F.col("event_id").alias(f"{p}_id"), F.col("ts").cast("timestamp").alias(f"{p}_t")).withWatermark(f"{p}_t", "2 hours")
+        bought = I.read_stream(d.spark, f"{d.sf_dir}/events.parquet", d.events.schema)
+        near = F.expr("b_user = c_user AND c_t <= b_t AND c_t >= b_t - INTERVAL 24 HOURS")
+        return side(bought, "purchase", "b").join(side(clicks, "click", "c"), near).select(F.col("b_user").alias("user_id"), F.col("c_id").alias("click"), F.col("b_id").alias("purchase"))
+
+    return _events(d, "append", build)
+
+
+add(
+    "st19_stream_join",
+    "SELECT b.user_id, c.event_id AS click, b.event_id AS purchase FROM events b JOIN events c ON b.user_id = c.user_id AND c.ts <= b.ts AND c.ts >= b.ts - INTERVAL 24 HOURS WHERE b.event_type = 'purchase' AND c.event_type = 'click'",
+    _stream_join,
+)
+add(
+    "st11_bounded_consumer",
+    "SELECT user_id, event_id, event_type FROM events WHERE event_type <> 'error'",
+    lambda d: _events(d, "append", lambda s: s.where("event_type <> 'error'").select("user_id", "event_id", "event_type"), 1),
+)
+add(
+    "st16_cycles",
+    "SELECT 1 AS cycle, count(*) AS taken FROM events UNION ALL SELECT 2, 0 UNION ALL SELECT 3, 0",
+    lambda d: d.spark.createDataFrame(I.cycles(d.spark, f"{d.sf_dir}/events.parquet", d.events.schema, 3), "cycle int, taken long"),
+)
+
 # --- sources --------------------------------------------------------------------------------------------------
 
 add("sc01_file_index", None, lambda d: P.file_index(d.spark, d.sf_dir, "*.parquet"))
-add("sc02_xml_objects", None, lambda d: P.elements(d.pages.select("page_id", "html"), "page_id", "html"))
-add("sc03_indented_report", None, lambda d: P.indented(d.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.concat(F.lit("root:\n  role: "), "role", F.lit("\n  body:\n    text: x")).alias("text")), "key", "text"))
-add("sc04_form_tree", None, lambda d: P.elements(d.pages.select("page_id", "html"), "page_id", "html").groupBy("page_id").agg(F.max("depth").alias("depth"), F.count("*").alias("elements")))
-add("sc05_binary_modules", None, lambda d: P.binary_text(d.spark, d.sf_dir, "region.parquet"))
-add("sc06_predefined_tree", "SELECT c_nationkey AS parent, string_agg(c_name, ',' ORDER BY c_custkey) AS items FROM customer GROUP BY c_nationkey", lambda d: d.customer.groupBy(F.col("c_nationkey").alias("parent")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",").alias("items")))
-add("sc07_role_rights_long", "SELECT c_custkey, unnest(string_split(CASE WHEN c_acctbal > 5000 THEN 'Read,Insert' ELSE 'Read' END, ',')) AS right_name FROM customer", lambda d: d.customer.select("c_custkey", F.explode(F.split(F.when(F.col("c_acctbal") > 5000, "Read,Insert").otherwise("Read"), ",")).alias("right_name")))
-add("sc08_subscriptions", "SELECT s_suppkey, split_part(h, '.', 1) AS module, split_part(h, '.', 2) AS proc FROM (SELECT s_suppkey, 'Module' || CAST(s_nationkey AS VARCHAR) || '.On' || CAST(s_suppkey AS VARCHAR) AS h FROM supplier) x", lambda d: d.supplier.withColumn("h", F.concat(F.lit("Module"), F.col("s_nationkey").cast("string"), F.lit(".On"), F.col("s_suppkey").cast("string"))).select("s_suppkey", F.split_part("h", F.lit("."), F.lit(1)).alias("module"), F.split_part("h", F.lit("."), F.lit(2)).alias("proc")))
+def _file(sql: str, table: str, key: str, parse):
+    """A query that writes a file for each row of a table by a SQL expression and parses it."""
+    return lambda d: parse(getattr(d, table).select(key, F.expr(sql).alias("file")), key, "file")
+
+
+_K, _S, _N = "CAST(p_partkey AS STRING)", "CAST(p_size AS STRING)", "CAST(s_nationkey AS STRING)"
+_OBJECT = f"""concat('<MetaDataObject xmlns="http://v8.1c.ru/8.3/MDClasses" xmlns:v8="http://v8.1c.ru/8.1/data/core"><Catalog uuid="', {_K}, '"><Properties><Name>Part', {_K}, '</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>Деталь ', {_K}, '</v8:content></v8:item></Synonym><Comment>size ', {_S}, '</Comment></Properties><ChildObjects>',
+    '<Attribute><Properties><Name>Brand</Name><Type><v8:Type>xs:string</v8:Type><v8:StringQualifiers><v8:Length>', {_S}, '</v8:Length></v8:StringQualifiers></Type></Properties></Attribute>',
+    '<Attribute><Properties><Name>Price</Name><Type><v8:Type>xs:decimal</v8:Type><v8:NumberQualifiers><v8:Digits>15</v8:Digits><v8:FractionDigits>2</v8:FractionDigits></v8:NumberQualifiers></Type></Properties></Attribute>',
+    '<TabularSection><Properties><Name>Lines</Name></Properties><ChildObjects><Attribute><Properties><Name>Item</Name><Type><v8:Type>cfg:CatalogRef.C', {_S}, '</v8:Type><v8:Type>cfg:DocumentRef.D', {_K}, '</v8:Type></Type></Properties></Attribute></ChildObjects></TabularSection><Form>ItemForm</Form></ChildObjects></Catalog></MetaDataObject>')"""
+add(
+    "sc02_xml_objects",
+    """SELECT p_partkey, 'Catalog' AS kind, NULL AS owner, 'Part' || p_partkey AS name, 'Деталь ' || p_partkey AS synonym, 'size ' || p_size AS remark, NULL AS types FROM part
+    UNION ALL SELECT p_partkey, 'Attribute', 'Part' || p_partkey, 'Brand', NULL, NULL, CASE WHEN p_size = 0 THEN 'String' ELSE 'String(' || p_size || ')' END FROM part UNION ALL SELECT p_partkey, 'Attribute', 'Part' || p_partkey, 'Price', NULL, NULL, 'Number(15,2)' FROM part
+    UNION ALL SELECT p_partkey, 'TabularSection', 'Part' || p_partkey, 'Lines', NULL, NULL, NULL FROM part UNION ALL SELECT p_partkey, 'Attribute', 'Part' || p_partkey || '/Lines', 'Item', NULL, NULL, 'CatalogRef.C' || p_size || ',DocumentRef.D' || p_partkey FROM part
+    UNION ALL SELECT p_partkey, 'Form', 'Part' || p_partkey, 'ItemForm', NULL, NULL, NULL FROM part""",
+    _file(_OBJECT, "part", "p_partkey", X.objects),
+)
+add(
+    "sc03_indented_report",
+    """SELECT conv_id, turn, number, path, value FROM (SELECT conv_id, turn, 0 AS number, 'root' AS path, '' AS value FROM conversations UNION ALL SELECT conv_id, turn, 1, 'root/role', role FROM conversations UNION ALL SELECT conv_id, turn, 2, 'root/body', '' FROM conversations
+    UNION ALL SELECT conv_id, turn, 3, 'root/body/text', 'line ' || turn || chr(10) || 'more' FROM conversations UNION ALL SELECT conv_id, turn, 4, 'root/end', 'x' FROM conversations) r""",
+    lambda d: P.indented(
+        d.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.concat(F.lit("root:\n  role: "), "role", F.lit('\n  body:\n    text: "line '), F.col("turn").cast("string"), F.lit('\nmore"\n  end: x')).alias("text")), "key", "text"
+    ).select(F.split_part("key", F.lit("/"), F.lit(1)).cast(d.conversations.schema["conv_id"].dataType).alias("conv_id"), F.split_part("key", F.lit("/"), F.lit(2)).cast(d.conversations.schema["turn"].dataType).alias("turn"), "number", "path", "value"),
+)
+_FORM = f"""concat('<Form><Events><Event name="OnOpen">Open', {_K}, '</Event></Events><ChildItems><UsualGroup name="Main"><ChildItems><InputField name="Field', {_S}, '"><DataPath>Object.F', {_S}, '</DataPath><Events><Event name="OnChange">Change</Event></Events></InputField></ChildItems></UsualGroup><Button name="Go"/></ChildItems>',
+    '<Attributes><Attribute name="Object"><Type><Type>cfg:CatalogObject.C', {_K}, '</Type></Type></Attribute></Attributes><Commands><Command name="Run"><Action>RunIt</Action></Command></Commands></Form>')"""
+add(
+    "sc04_form_tree",
+    """SELECT p_partkey, 'event' AS what, 'Form' AS owner, 'OnOpen' AS name, 0 AS place, NULL AS tag, 'Open' || p_partkey AS bound FROM part UNION ALL SELECT p_partkey, 'control', 'Form', 'Main', 0, 'UsualGroup', NULL FROM part
+    UNION ALL SELECT p_partkey, 'control', 'Form/Main', 'Field' || p_size, 0, 'InputField', 'Object.F' || p_size FROM part UNION ALL SELECT p_partkey, 'event', 'Form/Main/Field' || p_size, 'OnChange', 0, NULL, 'Change' FROM part
+    UNION ALL SELECT p_partkey, 'control', 'Form', 'Go', 1, 'Button', NULL FROM part UNION ALL SELECT p_partkey, 'attribute', 'Form', 'Object', 0, NULL, 'CatalogObject.C' || p_partkey FROM part UNION ALL SELECT p_partkey, 'command', 'Form', 'Run', 0, NULL, 'RunIt' FROM part""",
+    _file(_FORM, "part", "p_partkey", X.forms),
+)
+add("sc04_markup_tree", None, lambda d: P.elements(d.pages.select("page_id", "html"), "page_id", "html").groupBy("page_id").agg(F.max("depth").alias("depth"), F.count("*").alias("elements")))
+add("sc05_binary_modules", None, lambda d: P.binary_text(d.spark, d.sf_dir, "{region,nation,customer,supplier,part}.parquet"))
+_ITEMS = f"""concat('<PredefinedData><Item id="1"><Name>Group', {_S}, '</Name><Code>', {_K}, '</Code><Description>All</Description><ChildItems><Item><Name>Account', {_K}, '</Name><Code>', {_K}, '.01</Code><AccountType>Active</AccountType>',
+    '<AccountingFlags><Flag ref="ChartOfAccounts.Main.AccountingFlag.Currency">', if(p_size % 2 = 0, 'true', 'false'), '</Flag><Flag ref="ChartOfAccounts.Main.AccountingFlag.Quantity">true</Flag></AccountingFlags><ExtDimensionTypes><ExtDimensionType name="Kinds.Partner"/><ExtDimensionType name="Kinds.K', {_S}, '"/></ExtDimensionTypes></Item></ChildItems></Item></PredefinedData>')"""
+add(
+    "sc06_predefined_tree",
+    """SELECT p_partkey, 'Group' || p_size AS path, NULL AS parent, '' || p_partkey AS code, 'All' AS description, NULL AS account_type, '' AS flags, '' AS dimensions FROM part
+    UNION ALL SELECT p_partkey, 'Group' || p_size || '/Account' || p_partkey, 'Group' || p_size, p_partkey || '.01', NULL, 'Active', CASE WHEN p_size % 2 = 0 THEN 'Currency,Quantity' ELSE 'Quantity' END, 'Partner,K' || p_size FROM part""",
+    _file(_ITEMS, "part", "p_partkey", X.predefined),
+)
+_RIGHTS = """concat('<Rights xmlns="http://v8.1c.ru/8.2/roles"><object><name>Catalog.C', CAST(c_custkey AS STRING), '</name><right><name>Read</name><value>true</value>', if(c_custkey % 3 = 0, concat('<restrictionByCondition><condition>WHERE Owner = ', CAST(c_nationkey AS STRING), '</condition></restrictionByCondition>'), ''), '</right><right><name>Insert</name><value>', if(c_acctbal > 5000, 'true', 'false'), '</value></right></object></Rights>')"""
+add(
+    "sc07_role_rights",
+    """SELECT c_custkey, 'Catalog.C' || c_custkey AS object, 'Read' AS right_name, true AS granted, CASE WHEN c_custkey % 3 = 0 THEN 'WHERE Owner = ' || c_nationkey END AS condition FROM customer UNION ALL SELECT c_custkey, 'Catalog.C' || c_custkey, 'Insert', c_acctbal > 5000, NULL FROM customer""",
+    _file(_RIGHTS, "customer", "c_custkey", X.rights),
+)
+_SUBSCRIPTION = f"""concat('<MetaDataObject xmlns="http://v8.1c.ru/8.3/MDClasses" xmlns:v8="http://v8.1c.ru/8.1/data/core"><EventSubscription><Properties><Name>Sub', CAST(s_suppkey AS STRING), '</Name><Source><v8:Type>cfg:DocumentObject.D', {_N}, '</v8:Type><v8:Type>cfg:CatalogObject.C', {_N}, '</v8:Type></Source><Event>BeforeWrite</Event><Handler>CommonModule.Module', {_N}, '.On', CAST(s_suppkey AS STRING), '</Handler></Properties></EventSubscription></MetaDataObject>')"""
+add(
+    "sc08_subscriptions",
+    """SELECT s_suppkey, 'Sub' || s_suppkey AS name, 'BeforeWrite' AS event, kind || s_nationkey AS source, 'Module' || s_nationkey AS module, 'On' || s_suppkey AS procedure FROM supplier, (VALUES ('DocumentObject.D'), ('CatalogObject.C')) k(kind)""",
+    _file(_SUBSCRIPTION, "supplier", "s_suppkey", X.subscriptions),
+)
 add(
     "sc09_help_text",
     r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages",
     lambda d: d.pages.select("page_id", P.html_text(F.col("html")).alias("plain")),
 )
-add("sc10_code_scan", None, lambda d: P.code_scan(d.documents.select("doc_id", "text"), "doc_id", "text"))
-add("sc11_guid_map", "SELECT o.o_orderkey, c.c_name AS guid FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o.o_custkey = c.c_custkey", lambda d: d.orders.join(d.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("guid")), "o_custkey", "left").select("o_orderkey", "guid"))
+_MODULE = f"""concat('// Part ', {_K}, '\\n// sizes\\n&AtServer\\nProcedure Do', {_K}, '(Val A, B = ', {_S}, ',\\n  C = "x, y") Export\\n  R = Lib.Run(A, Sum(1, 2), "a, (b"); // Old(1)\\n  If (A) Then Stop(); EndIf;\\nEndProcedure')"""
+add(
+    "sc10_code_scan",
+    """SELECT p_partkey, 3 AS line, 'directive' AS kind, 'AtServer' AS name, NULL AS qualifier, 0 AS arguments, NULL AS detail FROM part UNION ALL SELECT p_partkey, 4, 'routine', 'Do' || p_partkey, 'export', 3, 'Part ' || p_partkey || ' sizes' FROM part
+    UNION ALL SELECT p_partkey, 4, 'parameter', 'A', 'val', 0, NULL FROM part UNION ALL SELECT p_partkey, 4, 'parameter', 'B', NULL, 0, '' || p_size FROM part UNION ALL SELECT p_partkey, 4, 'parameter', 'C', NULL, 0, '"x, y"' FROM part
+    UNION ALL SELECT p_partkey, 6, 'call', 'Run', 'Lib', 3, NULL FROM part UNION ALL SELECT p_partkey, 6, 'call', 'Sum', NULL, 2, NULL FROM part UNION ALL SELECT p_partkey, 7, 'call', 'Stop', NULL, 0, NULL FROM part""",
+    _file(_MODULE, "part", "p_partkey", P.code_scan),
+)
+_DUMP = """concat('<ConfigDumpInfo><ConfigVersions><Metadata name="Catalog.', c_name, '" id="g', CAST(c_custkey AS STRING), '"><Metadata name="Catalog.', c_name, '.Attribute.A" id="h', CAST(c_custkey AS STRING), '"/></Metadata><Metadata name="Catalog.', c_name, '" id="again"/></ConfigVersions></ConfigDumpInfo>')"""
+add(
+    "sc11_guid_map",
+    """SELECT c_custkey, m.name, m.guid, o.orders FROM customer JOIN (SELECT c_custkey AS k, 'Catalog.' || c_name AS name, 'g' || c_custkey AS guid FROM customer UNION ALL SELECT c_custkey, 'Catalog.' || c_name || '.Attribute.A', 'h' || c_custkey FROM customer) m ON m.k = c_custkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
+    lambda d: _file(_DUMP, "customer", "c_custkey", X.identifiers)(d).join(d.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders")), "c_custkey", "left"),
+)
 add("sc12_encoding", "SELECT doc_id, sha256(text) AS h FROM documents", lambda d: d.documents.select("doc_id", F.sha2(P.sniffed(F.encode("text", "UTF-8")), 256).alias("h")))
 add_graph("sc13_graph_scan", "SELECT qn, name FROM nodes WHERE label = 'Resource' AND starts_with(qn, 'tpch/EUROPE/')", lambda g: g.nodes.where("label = 'Resource'").where(F.col("qn").startswith("tpch/EUROPE/")).select("qn", "name"))
 

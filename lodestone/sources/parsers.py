@@ -117,33 +117,101 @@ def indented(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(work, f"{key} {kind}, number int, path string, value string")
 
 
-ROUTINE = re.compile(r"^\s*(procedure|function)\s+(\w+)\s*\(([^)]*)\)\s*(export)?", re.IGNORECASE)
+ROUTINE = re.compile(r"\s*(procedure|function)\s+(\w+)\s*\(", re.IGNORECASE)
 CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(")
+#: Words before a bracket that call nothing.
+NO_CALL = {"if", "elsif", "while", "for", "return", "and", "or", "not", "in", "new", "procedure", "function"}
+
+
+def split_arguments(text: str, start: int) -> tuple[list[str], int]:
+    """Arguments after the bracket that opens before ``start``, and the place behind the one that closes it.
+
+    Commas within brackets or quotes part nothing; a doubled quote stands for itself.
+    """
+    out, depth, quoted, now = [], 0, False, []
+    i = start
+    while i < len(text):
+        c = text[i]
+        if c == '"':
+            quoted = not quoted
+        if not quoted and c in ")]" and depth == 0:
+            break
+        if not quoted:
+            depth += (c in "([") - (c in ")]")
+        if c == "," and not quoted and depth == 0:
+            out.append("".join(now).strip())
+            now = []
+        else:
+            now.append(c)
+        i += 1
+    last = "".join(now).strip()
+    return (out + [last] if out or last else out), i + 1
+
+
+def _bare(line: str) -> str:
+    """The line without a comment behind it, its quoted parts blank."""
+    out, quoted = [], False
+    for i, c in enumerate(line):
+        if c == '"':
+            quoted = not quoted
+            out.append(c)
+        elif not quoted and line.startswith("//", i):
+            break
+        else:
+            out.append(" " if quoted else c)
+    return "".join(out)
+
+
+def _scan(source: str) -> Iterator[tuple]:
+    directive, doc = None, []
+    lines = source.split("\n")
+    number = 0
+    while number < len(lines):
+        line = lines[number]
+        number += 1
+        stripped = line.strip()
+        if stripped.startswith("//"):
+            doc.append(stripped[2:].strip())
+            continue
+        if stripped.startswith("&"):
+            directive = stripped[1:]
+            yield number, "directive", directive, None, 0, None
+            continue
+        head = ROUTINE.match(line)
+        if head:
+            first = number
+            # A header may run over lines, up to the bracket that closes it.
+            while (split := split_arguments(line, head.end()))[1] > len(line) and number < len(lines):
+                line += "\n" + lines[number]
+                number += 1
+            params, end = split
+            yield first, "routine", head[2], "export" if re.match(r"\s*export\b", line[end:], re.IGNORECASE) else directive, len(params), " ".join(doc) or None
+            for param in params:
+                name, _, default = param.partition("=")
+                by_value = re.match(r"val\s+", name, re.IGNORECASE)
+                yield first, "parameter", name[by_value.end() if by_value else 0 :].strip(), "val" if by_value else None, 0, default.strip() or None
+            directive, doc = None, []
+            continue
+        if stripped:
+            doc = []
+        plain = _bare(line)
+        for call in CALL.finditer(plain):
+            if call[2].lower() not in NO_CALL:
+                yield number, "call", call[2], call[1], len(split_arguments(plain, call.end())[0]), None
 
 
 def code_scan(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Routines, their parameters with defaults, directives and call sites, one row each with its line."""
-
-    def scan(source: str) -> Iterator[tuple[int, str, str, str | None, int]]:
-        directive = None
-        for number, line in enumerate(source.split("\n"), 1):
-            stripped = line.strip()
-            if stripped.startswith("&"):
-                directive = stripped[1:]
-                yield number, "directive", directive, None, 0
-                continue
-            head = ROUTINE.match(line)
-            if head:
-                params = [p.strip() for p in head[3].split(",") if p.strip()]
-                yield number, "routine", head[2], "export" if head[4] else directive, len(params)
-                directive = None
-                continue
-            for call in CALL.finditer(line):
-                yield number, "call", call[2], call[1], line.count(",", call.end()) + 1
+    """Routines, their parameters, directives and call sites, one row each with its line.
+
+    ``qualifier`` is a routine's export mark or else its directive, a
+    parameter's ``val``, or what stands before a call's point; ``arguments``
+    counts parameters or arguments; ``detail`` is a routine's comment or a
+    parameter's default.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(k, *r) for k, t in zip(pdf[key], pdf[text]) for r in scan(t or "")], columns=[key, "line", "kind", "name", "qualifier", "arguments"])
+            yield pd.DataFrame([(k, *r) for k, t in zip(pdf[key], pdf[text]) for r in _scan(t or "")], columns=[key, "line", "kind", "name", "qualifier", "arguments", "detail"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInPandas(work, f"{key} {kind}, line int, kind string, name string, qualifier string, arguments int")
+    return df.select(key, text).mapInPandas(work, f"{key} {kind}, line int, kind string, name string, qualifier string, arguments int, detail string")

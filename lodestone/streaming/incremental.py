@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,19 +87,67 @@ class EpochStore:
         return list(range(1, self.current() - keep))
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType, build, mode: str = "complete") -> DataFrame:
-    """Run ``build`` over a folder of Parquet files as a stream, to the end of what is there, and return its table.
+def read_stream(spark: SparkSession, path: str, schema: StructType, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file; at most ``files_a_batch`` files are taken at a time."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name if single else "*.parquet")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(folder if single else path)
+
+
+class CircuitOpen(RuntimeError):
+    """A consumer failed too often in a row."""
+
 
-    The sink is an epoch-wise overwrite on shared storage; the checkpoint lies there too.
+def guarded(put, most: int = 3):
+    """``put`` of a batch, tried again when it fails; after ``most`` failures in a row the circuit opens and the stream stops.
+
+    A batch is written under its epoch, so a second try replaces what the first one left.
     """
-    out, log = scratch_path(spark, "stream"), scratch_path(spark, "stream-log")
-    folder, _, name = path.rstrip("/").rpartition("/")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    source = reader.parquet(path) if not re.search(r"\.parquet$", name) else reader.option("pathGlobFilter", name).parquet(folder)
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def consume(batch: DataFrame, epoch: int) -> None:
+        for k in range(1, most + 1):
+            try:
+                return put(batch, epoch)
+            except Exception as error:
+                if k == most:
+                    raise CircuitOpen(f"{most} failures in a row at epoch {epoch}") from error
+
+    return consume
+
+
+def drain(spark: SparkSession, stream: DataFrame, mode: str, out: str, log: str, put=None) -> list[int]:
+    """One cycle: run a stream to the end of what is there; rows taken in by each batch.
 
-    query = build(source).writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(put).start()
+    In complete mode a batch replaces the table ``out``; else each batch is a
+    folder of it, named by its epoch. Cycles that share ``log`` go on where the
+    last one ended, so a scheduler need only call this again.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(guarded(put or write)).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return [p["numInputRows"] for p in query.recentProgress]
+
+
+def stream_table(spark: SparkSession, path: str, schema: StructType, build, mode: str = "complete", files_a_batch: int | None = None) -> DataFrame:
+    """Run ``build`` over a folder of Parquet files as a stream, to the end of what is there, and return its table.
+
+    The sink is on shared storage; the checkpoint lies there too.
+    """
+    out = scratch_path(spark, "stream")
+    stream = build(read_stream(spark, path, schema, files_a_batch))
+    drain(spark, stream, mode, out, scratch_path(spark, "stream-log"))
+    # The epoch is a folder of the store, no column of the table.
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+
+
+def cycles(spark: SparkSession, path: str, schema: StructType, times: int) -> list[tuple[int, int]]:
+    """(cycle, rows taken in) of a stream that is started so many times; a later cycle takes only what is new."""
+    out, log = scratch_path(spark, "stream"), scratch_path(spark, "stream-log")
+    return [(k, sum(drain(spark, read_stream(spark, path, schema), "append", out, log))) for k in range(1, times + 1)]

@@ -70,6 +70,15 @@ def test_simple_paths_use_no_node_twice_and_bridges_are_free(spark, calls):
     assert (("r1", "r2", "m", "z"), 2) in got and not any(p[:3] == ("r1", "r2", "r3") for p, _ in got)
 
 
+def test_closure_has_no_depth_and_refuses_cycles(spark):
+    chain = spark.createDataFrame([(f"n{k:02}", "HAS_CHILD", f"n{k + 1:02}") for k in range(20)], "src string, rel string, dst string")
+    seed = spark.createDataFrame([("n00",)], "qn string")
+    assert G.closure(chain, ["HAS_CHILD"], seed).agg({"depth": "max"}).first()[0] == 20
+    ring = spark.createDataFrame([("a", "HAS_CHILD", "b"), ("b", "HAS_CHILD", "a")], "src string, rel string, dst string")
+    with pytest.raises(RecursionError):
+        G.closure(ring, ["HAS_CHILD"], spark.createDataFrame([("a",)], "qn string"), guard=5)
+
+
 def test_closure_holds_its_roots(spark):
     tree = spark.createDataFrame([("a", "HAS_CHILD", "b"), ("b", "HAS_CHILD", "c"), ("x", "HAS_CHILD", "y")], "src string, rel string, dst string")
     got = {(r["root"], r["node"], r["depth"]) for r in G.closure(tree, ["HAS_CHILD"], spark.createDataFrame([("a",)], "qn string")).collect()}

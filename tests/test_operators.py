@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import relational as R
+from lodestone.sources import descriptors as X
 from lodestone.sources import parsers as P
 from lodestone.streaming import incremental as I
 
@@ -104,12 +107,52 @@ def test_markup_and_code_parsers(spark):
     assert page.select(P.html_text(F.col("h"))).first()[0] == "x y"
     code = "&OnServer\nProcedure Run(a, b = 1) Export\n  Common.Call(a, b);\nEndProcedure"
     got = P.code_scan(spark.createDataFrame([(1, code)], "k long, t string"), "k", "t").collect()
-    assert [(r["kind"], r["name"], r["qualifier"], r["arguments"], r["line"]) for r in got] == [("directive", "OnServer", None, 0, 1), ("routine", "Run", "export", 2, 2), ("call", "Call", "Common", 2, 3)]
+    assert [(r["kind"], r["name"], r["qualifier"], r["arguments"], r["line"]) for r in got] == [
+        ("directive", "OnServer", None, 0, 1), ("routine", "Run", "export", 2, 2), ("parameter", "a", None, 0, 2), ("parameter", "b", None, 0, 2), ("call", "Call", "Common", 2, 3),
+    ]
+    assert [r["detail"] for r in got if r["kind"] == "parameter"] == [None, "1"]
+    odd = "x = A(); y = B(C(1, \"), (\"), D(2,,3)); // E(1)\nz = F(\nWhile (a) Do"
+    got = P.code_scan(spark.createDataFrame([(1, odd), (2, None), (3, "")], "k long, t string"), "k", "t").collect()
+    assert [(r["name"], r["arguments"]) for r in got] == [("A", 0), ("B", 2), ("C", 2), ("D", 3), ("F", 0)]
     report = 'a:\n  b: 1\n  c: "two\nlines"\nd: 3'
     got = P.indented(spark.createDataFrame([(1, report)], "k long, t string"), "k", "t").collect()
     assert [(r["path"], r["value"]) for r in got] == [("a", ""), ("a/b", "1"), ("a/c", "two\nlines"), ("d", "3")]
 
 
+def test_files_that_are_no_markup_give_no_rows(spark):
+    rows = [(1, None), (2, ""), (3, "<Rights><object>"), (4, "plain"), (5, "<Rights/>")]
+    files = spark.createDataFrame(rows, "k long, f string")
+    for parse in (X.objects, X.forms, X.rights, X.predefined, X.subscriptions, X.identifiers):
+        assert parse(files.where("k < 5"), "k", "f").collect() == []
+        assert parse(files.where("false"), "k", "f").collect() == []
+    assert X.rights(files, "k", "f").collect() == []
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(4)]) for k in range(300)], "id long, v array<double>")
+    queries = vectors.where("id % 10 = 0").withColumnRenamed("id", "q")
+    one = {tuple(r) for r in T.nearest(vectors, queries, "id", "v", "q", 5).select("q", "id", F.round("score", 9)).collect()}
+    monkeypatch.setattr(T, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in T.nearest(vectors, queries, "id", "v", "q", 5).select("q", "id", F.round("score", 9)).collect()} == one
+    assert len(one) == 150 and all((k, k, 1.0) in one for k in range(0, 300, 10))
+
+
+def test_a_consumer_that_fails_opens_the_circuit():
+    calls = []
+
+    def put(batch, epoch):
+        calls.append(epoch)
+        if epoch == 2 or len(calls) == 1:
+            raise ValueError
+
+    consume = I.guarded(put)
+    consume(None, 1)
+    with pytest.raises(I.CircuitOpen):
+        consume(None, 2)
+    assert calls == [1, 1, 2, 2, 2]
+
+
 def test_sniffed_encodings(spark):
     data = [("é".encode(),), (b"\xef\xbb\xbfabc",), ("Привет".encode("cp1251"),)]
     got = [r[0] for r in spark.createDataFrame(data, "b binary").select(P.sniffed(F.col("b"))).collect()]
@@ -149,7 +192,7 @@ def test_fuzzy_pairs_are_those_of_all_pairs(spark):
         words.add("".join(w))
 
     def ratio(x, y):
-        return 0.94 if min(len(x), len(y)) >= 4 and (x.startswith(y) or y.startswith(x)) else SequenceMatcher(None, x, y).ratio()
+        return 0.94 if x.startswith(y) or y.startswith(x) else SequenceMatcher(None, x, y).ratio()
 
     words = sorted(x for x in words if len(x) >= 3)
     want = {(x, y, round(ratio(x, y), 6)) for x in words for y in words if x < y and round(ratio(x, y), 6) >= 0.88}
