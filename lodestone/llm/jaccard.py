@@ -22,7 +22,8 @@ without forming the pairs of a group:
    (sizes in ratio 3:4; a set meets its own band and the next). Within a tile,
    pairs of different components are compared by size and by the shingle's
    places in the two sets: at the first common shingle, what follows it bounds
-   the overlap. Survivors meet as hashed bitmap signatures: bits that differ
+   the overlap. A tile of many rows is cut into slices, and every two slices are
+   compared in a task of their own. Survivors meet as hashed bitmap signatures: bits that differ
    bound the symmetric difference from below, so bit counts bound the overlap
    from above. Who passes is verified by exact intersection of the sorted arrays.
 
@@ -302,8 +303,8 @@ def tile_pairs(live: DataFrame, part_of: DataFrame, parts: int) -> DataFrame:
     split = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     home = listed.join(split, "token").withColumn("band", _band()).withColumn("home", F.lit(True))
     guest = home.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False))
-    rows = home.unionByName(guest).select("token", "band", "home", "doc_id", "n", "component", "place")
-    rows = rows.repartition(parts, "token", "band").sortWithinPartitions("token", "band", "n")
+    rows = _sliced(home.unionByName(guest)).select("token", "band", "a", "b", "side", "home", "doc_id", "n", "component", "place")
+    rows = rows.repartition(parts, "token", "band", "a", "b").sortWithinPartitions("token", "band", "a", "b", "n")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _tiles(batches):
@@ -312,27 +313,45 @@ def tile_pairs(live: DataFrame, part_of: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(tiles, "a long, b long").distinct()
 
 
+def _sliced(rows: DataFrame) -> DataFrame:
+    """Rows with the part of their tile: slices a and b, and the row's own slice ``side``.
+
+    A tile of more than ``BLOCK`` rows is dealt to slices by document; every two
+    slices, and each with itself, are a tile of their own. So every pair still
+    meets once, and no task holds a frequent shingle's rows.
+    """
+    large = rows.groupBy("token", "band").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK)
+    slices = F.coalesce(F.ceil(F.col("many") / F.lit(BLOCK)).cast("int"), F.lit(1))
+    rows = rows.join(large, ["token", "band"], "left").withColumn("slices", slices).drop("many")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc_id"), "slices").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return rows.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of one (token, band) each, after these two; tiles of one row or component are passed over."""
+    """Columns of one (token, band, a, b) each, after these; tiles of one row or component are passed over."""
     kept: list[list[np.ndarray]] = []
     now = None
 
     def whole() -> Iterator[list[np.ndarray]]:
         tile = [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*kept)]
-        if len(tile[0]) > 1 and tile[3].min() != tile[3].max():
+        one_side = now[2] != now[3] and tile[0].min() == tile[0].max()
+        if len(tile[0]) > 1 and tile[4].min() != tile[4].max() and not one_side:
             yield tile
 
     for batch in batches:
         token, band, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cut = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1
+        first, second, *rest = rest
+        key = (token, band, first, second)
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in key])) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
             if a == b:
                 continue
-            key = (int(token[a]), int(band[a]))
-            if key != now and kept:
+            here = tuple(int(c[a]) for c in key)
+            if here != now and kept:
                 yield from whole()
                 kept = []
-            now = key
+            now = here
             kept.append([c[a:b] for c in rest])
     if kept:
         yield from whole()
@@ -340,8 +359,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _tile_pairs(tile: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Survivors of a tile, block by block of rows in order of size."""
-    home, doc, n, comp, place = tile
+    side, home, doc, n, comp, place = tile
     after = n - place
+    # Of two slices, only rows of different ones meet; each has a tile of its own.
+    apart = side.min() != side.max()
     for i in range(0, len(doc), BLOCK):
         a = slice(i, i + BLOCK)
         for j in range(i, len(doc), BLOCK):
@@ -351,6 +372,8 @@ def _tile_pairs(tile: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             may = (comp[a][:, None] != comp[b][None, :]) & (home[a][:, None] | home[b][None, :])
             # The shingles from here on bound the overlap, and so does the smaller set.
             may &= links(n[a][:, None], n[b][None, :], np.minimum(after[a][:, None], after[b][None, :]))
+            if apart:
+                may &= side[a][:, None] != side[b][None, :]
             if i == j:
                 may &= np.arange(may.shape[0])[:, None] < np.arange(may.shape[1])[None, :]
             x, y = np.nonzero(may)

@@ -93,8 +93,10 @@ def test_jaccard_matches_brute_force(docs, corpus, chunk_bytes):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(corpus)
 
 
-def test_jaccard_tiles_find_what_stars_miss(spark, monkeypatch):
-    """Without any star, all links must come from the tiles."""
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+def test_jaccard_tiles_find_what_stars_miss(spark, monkeypatch, block):
+    """Without any star, all links must come from the tiles, and from every two slices of a large one."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "star_pairs", lambda live: spark.createDataFrame([], "a long, b long"))
     words = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(words[:k] + [f"new{k}"] + words[k + 1 :])) for k in range(0, 40, 4)] + [(100, " ".join(words)), (101, " ".join(words[:55]))]
@@ -102,6 +104,21 @@ def test_jaccard_tiles_find_what_stars_miss(spark, monkeypatch):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
 
 
+def test_large_tiles_are_cut_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    rows = spark.createDataFrame([(1, 0, k) for k in range(95)] + [(2, 0, k) for k in range(10)], "token long, band int, doc_id long")
+    tiles = {}
+    for r in jaccard._sliced(rows).collect():
+        tiles.setdefault((r["token"], r["a"], r["b"]), []).append((r["doc_id"], r["side"]))
+    met = Counter()
+    for (token, a, b), found in tiles.items():
+        assert len(found) < 50
+        for i, (x, s) in enumerate(found):
+            met.update((token, *sorted((x, y))) for y, t in found[i + 1 :] if a == b or s != t)
+    assert set(met) == {(1, i, j) for i in range(95) for j in range(i + 1, 95)} | {(2, i, j) for i in range(10) for j in range(i + 1, 10)}
+    assert set(met.values()) == {1}
+
+
 def test_jaccard_keep_first_and_empty(docs, empty, corpus):
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns
