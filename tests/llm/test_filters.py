@@ -60,8 +60,12 @@ def test_decontamination_matches_brute_force(docs, corpus, benchmark, empty):
 
 
 def test_decontamination_in_blocks(docs, benchmark):
-    one = sorted_rows(decontaminate.scan(docs, benchmark), "doc_id", "n_hit", "items")
-    assert sorted_rows(decontaminate.scan(docs, benchmark, block_bytes=1), "doc_id", "n_hit", "items") == one
+    columns = ("doc_id", "n_words", "n_hit", "items", "hits")
+    one = sorted_rows(decontaminate.scan(docs, benchmark), *columns)
+    assert sorted_rows(decontaminate.scan(docs, benchmark, block_bytes=1), *columns) == one
+    for rewrite in (decontaminate.remove_documents, decontaminate.remove_spans):
+        whole, cut = rewrite(docs, benchmark), rewrite(docs, benchmark, block_bytes=300)
+        assert cut.columns == docs.columns and sorted_rows(cut, *docs.columns) == sorted_rows(whole, *docs.columns)
 
 
 def test_decontamination_removes(docs, benchmark):
