@@ -23,9 +23,11 @@ The join is exact and does no more than it must:
   run can hold bound the overlap first;
 * what is left is verified by the exact intersection.
 
-The templates are a parameter of proven size: their tokens are literals of the
-plan, and more than ``MAX_TOKENS`` are refused. Blocks are exploded only from
-documents that hold a prefix token of some template.
+Templates may be of any number and length. Their tokens are literals of a plan,
+so they are joined in groups of about ``GROUP_TOKENS`` distinct tokens, one
+after the other; a template's blocks do not depend on the other templates, so
+the groups change no result. Blocks are exploded only from documents that hold a
+prefix token of some template of the group.
 
 Defined cases: null and empty texts have no words, no label and score 0;
 repeated rows and ids are scanned each on its own; other columns are ignored.
@@ -43,7 +45,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINED = 0.8
-MAX_TOKENS = 2000
+#: Distinct tokens of the templates that are joined together; a longer template is a group of its own.
+GROUP_TOKENS = 2000
 
 #: Phrase and label of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -103,8 +106,6 @@ def base_places(norm: Column) -> dict[str, Column]:
 def _template_order(docs: DataFrame, templates: list[tuple[str, list[str]]]) -> dict[str, int]:
     """Rank of each template token by the documents that hold it, rarest first; ties by token."""
     words = sorted({w for _, t in templates for w in t})
-    if len(words) > MAX_TOKENS:
-        raise ValueError(f"templates have {len(words)} distinct tokens; at most {MAX_TOKENS} go into a plan")
     held = docs.select(F.array_intersect(F.split("norm", " "), F.array(*[F.lit(w) for w in words])).alias("w"))
     counted = dict(held.select(F.explode("w").alias("w")).groupBy("w").count().collect()) if words else {}
     return {w: k for k, w in enumerate(sorted(words, key=lambda w: (counted.get(w, 0), w)))}
@@ -133,11 +134,32 @@ def _runs(docs: DataFrame, key: str, prefix: list[str], longest: int, wanted: Da
     return near.withColumn("both", both).where(F.col("both") >= F.col("need")).select(key, "label", "both", "words")
 
 
+def _groups(templates) -> list[list[tuple[str, str]]]:
+    """Templates in order, in groups of about ``GROUP_TOKENS`` distinct tokens; at least one group."""
+    out, seen = [[]], set()
+    for label, text in templates:
+        mine = set(tokens(text))
+        if out[-1] and len(seen | mine) > GROUP_TOKENS:
+            out.append([])
+            seen = set()
+        out[-1].append((label, text))
+        seen |= mine
+    return out
+
+
 def similarity_join(docs: DataFrame, key: str, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Blocks that meet a template: key, label, overlap (share of the template's words).
 
     ``docs`` has the columns key, text and norm.
     """
+    out = None
+    for group in _groups(templates):
+        found = _join_group(docs, key, group, contained)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _join_group(docs: DataFrame, key: str, templates: list[tuple[str, str]], contained: float) -> DataFrame:
     spark = docs.sparkSession
     listed = [(label, t) for label, text in templates if (t := tokens(text))]
     spans = [len(_words(text)) for _, text in templates if tokens(text)]

@@ -277,10 +277,29 @@ def test_license_positional_filter_rejects(spark, monkeypatch):
     assert seen and seen[0][1] < seen[0][0]
 
 
-def test_license_scan_refuses_unbounded_templates(docs):
-    many = [("x", " ".join(f"w{k}" for k in range(license_scan.MAX_TOKENS + 1)))]
-    with pytest.raises(ValueError):
-        license_scan.scan(docs, many)
+def test_license_templates_of_any_number_and_length(spark, docs, monkeypatch):
+    """A text of a page, wrapped and altered, and groups of templates, against brute force."""
+    rng = random.Random(8)
+    page = " ".join(f"{rng.choice(WORDS)}{k}" for k in range(160))
+    templates = [("page", page), *[(f"t{k}", " ".join(f"{rng.choice(WORDS)}{k}{j}" for j in range(9))) for k in range(12)]]
+    monkeypatch.setattr(license_scan, "TEMPLATES", templates)
+    rows = []
+    for k in range(40):
+        w = templates[k % len(templates)][1].split() if k % 3 else page.split()
+        for _ in range(rng.randrange(len(w) // 3)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        w = rng.choices(WORDS, k=rng.randrange(30)) + w + rng.choices(WORDS, k=rng.randrange(30))
+        rows.append((k, "".join(x + ("\n" if rng.random() < 0.1 else " ") for x in w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2000, 20):
+        monkeypatch.setattr(license_scan, "GROUP_TOKENS", size)
+        assert len(license_scan._groups(templates)) == (1 if size == 2000 else 7)
+        got = {r["doc_id"]: r for r in license_scan.scan(frame, templates).collect()}
+        for k, text in rows:
+            every, best = brute_runs(text)
+            assert got[k]["labels"] == ",".join(sorted(every)) and got[k]["score"] == pytest.approx(best)
+    assert {x for r in got.values() for x in r["labels"].split(",")} > {"page", "t1"}
+    assert not any(r["labels"] != r["base_labels"] for r in license_scan.scan(docs, []).collect())
 
 
 @pytest.fixture(scope="module")
