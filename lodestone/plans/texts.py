@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import relational as R
 from lodestone.plans.core import Data, add
+from lodestone.session import materialise
 from lodestone.sources.projection import once
 
 _STOP = "('the', 'and', 'for', 'that', 'with', 'this')"
@@ -71,6 +72,10 @@ def _field_postings(fields: dict[str, float]) -> str:
     return "fpost AS MATERIALIZED (" + " UNION ALL ".join(parts).replace("'\n'", "chr(10)") + ")"
 
 
+#: Scores of each field by itself: item_id, doc_id, field, score.
+_FIELD_SCORES = """fstats AS (SELECT field, count(DISTINCT doc_id) AS docs, sum(tf) AS total FROM fpost GROUP BY field), flens AS (SELECT field, doc_id, sum(tf) AS len FROM fpost GROUP BY field, doc_id), fdfs AS (SELECT field, token, count(*) AS df FROM fpost GROUP BY field, token),
+    fscored AS MATERIALIZED (SELECT q.item_id, p.doc_id, p.field, any_value(p.weight) AS weight, sum(q.qf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / docs)))) AS score FROM fpost p JOIN fdfs USING (field, token) JOIN flens USING (field, doc_id) JOIN fstats USING (field) JOIN query q USING (token) GROUP BY q.item_id, p.doc_id, p.field)"""
+
 add(
     "tx05_field_bm25",
     f"""WITH {_QUERY}, {_field_postings(FIELD_WEIGHTS)}, stats AS (SELECT field, count(DISTINCT doc_id) AS docs, sum(tf) AS total FROM fpost GROUP BY field), lens AS (SELECT field, doc_id, sum(tf) AS len FROM fpost GROUP BY field, doc_id), dfs AS (SELECT field, token, count(*) AS df FROM fpost GROUP BY field, token),
@@ -169,19 +174,145 @@ add("q20_code_search_lexical", f"WITH {_BM25} SELECT item_id, source, round(max(
 add("q21_objects_by_summary", _hybrid_sql("weighted", None, 0.7), lambda d: _hybrid(d, "weighted", None, 0.7))
 
 
-def _intent(d: Data) -> DataFrame:
-    """Two legs (text and source bonus) ranked, pooled, then a composite of base rank and routed score."""
-    base = R.top_n(_scored(d), ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], 100, "base_rank")
-    routed = base.join(d.documents.select("doc_id", (F.col("n_chars") % 7).alias("route")), "doc_id").withColumn("norm", R.min_max("score", ["item_id"], 1.0))
-    final = routed.withColumn("composite", F.lit(1.0) / F.col("base_rank") + F.lit(0.4) * F.col("norm") * F.when(F.col("route") < 3, 1.0).otherwise(0.5))
-    return R.top_n(final, ["item_id"], [F.desc(F.round("composite", 6)), "doc_id"], 50).select("item_id", "doc_id", F.round("composite", 5).alias("composite"))
-
-
-add(
-    "q32_intent_ranker",
-    f"WITH {_BM25}, base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS base_rank FROM scored) x WHERE base_rank <= 100), comp AS (SELECT item_id, doc_id, 1.0::DOUBLE / base_rank + 0.4 * CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END * CASE WHEN n_chars % 7 < 3 THEN 1.0 ELSE 0.5 END AS composite FROM base JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY item_id)) SELECT item_id, doc_id, round(composite, 5) AS composite FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(composite, 6) DESC, doc_id) AS k FROM comp) y WHERE k <= 50",
-    _intent,
-)
+#: Weight and depth of the ranker's legs, the routes (word in the query, then fields and weights), and the blend.
+LEGS = {"search": (1.0, 500), "module": (0.1, 20), "structural": (0.1, 250), "local": (0.05, 3), "fuzzy": (0.6, 200)}
+LOCAL_MODULES, FUZZY_POOL, FUZZY_LEAST, POOL, RANKED = 5, 120, 0.88, 100, 50
+ROUTES = (("the", {"head": 0.45, "source": 0.12}), ("with", {"text": 0.3, "head": 0.1}), ("and", {"source": 0.22, "text": 0.22}))
+ROUTE_WEIGHT = 0.4
+BLEND = {"vector": 0.35, "lexical": 0.25, "field": 0.15, "boost": 0.1, "fuzzy": 0.1, "quoted": 0.05}
+
+
+def _by_field(d: Data, field: str) -> DataFrame:
+    return T.bm25(_index(d, field), "doc_id", _asked(d), "item_id")
+
+
+def _normal(leg: DataFrame, weight: float) -> DataFrame:
+    """A leg's scores scaled to [0, 1] for each item, times its weight."""
+    return leg.select("item_id", "doc_id", (R.min_max("score", ["item_id"], 1.0) * F.lit(weight)).alias("part"))
+
+
+def _depth(leg: DataFrame, n: int, keys: tuple[str, ...] = ("item_id",), key: str = "doc_id") -> DataFrame:
+    return R.top_n(leg, list(keys), [F.desc(F.round("score", 9)), key], n).drop("place")
+
+
+def _fuzzy_leg(d: Data, pool: DataFrame) -> DataFrame:
+    """Mean over the tokens of a candidate's first line of the best similarity to a query token, where that is ``FUZZY_LEAST`` or more."""
+    heads = _index(d, "head").select("doc_id", "token")
+    pairs = pool.join(heads, "doc_id").join(_asked(d).select("item_id", F.col("token").alias("asked")), "item_id")
+    best = pairs.withColumn("s", T.fuzzy("token", "asked")).groupBy("item_id", "doc_id", "token").agg(F.max("s").alias("s"))
+    scored = best.groupBy("item_id", "doc_id").agg((F.sum(F.when(F.col("s") >= FUZZY_LEAST, F.col("s")).otherwise(0.0)) / F.count("*")).alias("score"))
+    return scored.where("score > 0")
+
+
+def _intent(d: Data, fuzzy: bool) -> DataFrame:
+    """Legs over texts, modules (sources), first lines and lines within the best modules; the best by their sum, then reranked by routes."""
+    search, structural = _depth(_scored(d), LEGS["search"][1]), _depth(_by_field(d, "head"), LEGS["structural"][1])
+    units = d.documents.select("doc_id", "source")
+    by_module = _index(d).join(units, "doc_id").groupBy("source", "token").agg(F.sum("tf").alias("tf"))
+    modules = R.top_n(T.bm25(by_module, "source", _asked(d), "item_id"), ["item_id"], [F.desc(F.round("score", 9)), "source"], LEGS["module"][1], "module_place")
+    module = modules.join(units, "source").select("item_id", "doc_id", "score")
+    inside = _by_field(d, "head").join(units, "doc_id").join(modules.where(F.col("module_place") <= LOCAL_MODULES).select("item_id", "source"), ["item_id", "source"])
+    local = _depth(inside, LEGS["local"][1], ("item_id", "source")).select("item_id", "doc_id", "score")
+    legs = {"search": search, "module": module, "structural": structural, "local": local}
+    if fuzzy:
+        pool = None
+        for name in ("search", "structural", "local"):
+            part = _depth(legs[name], FUZZY_POOL).select("item_id", "doc_id")
+            pool = part if pool is None else pool.unionByName(part)
+        legs["fuzzy"] = _depth(_fuzzy_leg(d, pool.distinct()), LEGS["fuzzy"][1])
+    parts = None
+    for name, leg in legs.items():
+        part = _normal(leg, LEGS[name][0])
+        parts = part if parts is None else parts.unionByName(part)
+    base = materialise(R.top_n(parts.groupBy("item_id", "doc_id").agg(F.sum("part").alias("base")), ["item_id"], [F.desc(F.round("base", 6)), "doc_id"], POOL, "base_rank"), "pool")
+    routed = None
+    for field in FIELDS:
+        weights = [F.when(F.array_contains("words", w), F.lit(ROUTE_WEIGHT * by[field])).otherwise(0.0) for w, by in ROUTES if field in by]
+        total = weights[0]
+        for w in weights[1:]:
+            total = total + w
+        share = d.benchmark.select("item_id", F.split(F.lower("text"), " ").alias("words")).select("item_id", total.alias("weight"))
+        mine = _by_field(d, field).join(base.select("item_id", "doc_id"), ["item_id", "doc_id"])
+        part = _normal(mine, 1.0).join(share, "item_id").select("item_id", "doc_id", (F.col("part") * F.col("weight")).alias("part"))
+        routed = part if routed is None else routed.unionByName(part)
+    routed = routed.groupBy("item_id", "doc_id").agg(F.sum("part").alias("routed"))
+    final = base.join(routed, ["item_id", "doc_id"], "left").withColumn("composite", F.lit(1.0) / F.col("base_rank") + F.coalesce("routed", F.lit(0.0)))
+    return R.top_n(final, ["item_id"], [F.desc(F.round("composite", 6)), "doc_id"], RANKED).select("item_id", "doc_id", F.round("composite", 5).alias("composite"))
+
+
+def _intent_sql() -> str:
+    scale = lambda src: f"SELECT item_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS part FROM {src} WINDOW w AS (PARTITION BY item_id)"
+    best = lambda src, n, by="item_id": f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(score, 9) DESC, doc_id) AS k FROM {src}) z WHERE k <= {n}) y"
+    legs = {
+        "search": best("(SELECT item_id, doc_id, score FROM fscored WHERE field = 'text') a", LEGS["search"][1]),
+        "structural": best("(SELECT item_id, doc_id, score FROM fscored WHERE field = 'head') a", LEGS["structural"][1]),
+        "module": "(SELECT m.item_id, d.doc_id, m.score FROM modules m JOIN documents d USING (source)) y",
+        "local": best(f"(SELECT f.item_id, f.doc_id, f.score, d.source FROM fscored f JOIN documents d USING (doc_id) JOIN modules m ON m.item_id = f.item_id AND m.source = d.source AND m.k <= {LOCAL_MODULES} WHERE f.field = 'head') a", LEGS["local"][1], "item_id, source"),
+    }
+    parts = " UNION ALL ".join(f"SELECT item_id, doc_id, {LEGS[n][0]} * part AS part FROM ({scale(src)}) p" for n, src in legs.items())
+    shares = " UNION ALL ".join(
+        f"SELECT item_id, '{f}' AS field, " + " + ".join(f"CASE WHEN list_contains(string_split(lower(text), ' '), '{w}') THEN {ROUTE_WEIGHT * by[f]} ELSE 0 END" for w, by in ROUTES if f in by) + " AS weight FROM benchmark" for f in FIELDS
+    )
+    return f"""WITH {_QUERY}, {_field_postings(FIELD_WEIGHTS)}, {_FIELD_SCORES},
+    mpost AS (SELECT source, token, sum(tf) AS tf FROM fpost JOIN documents USING (doc_id) WHERE field = 'text' GROUP BY source, token), mstats AS (SELECT count(DISTINCT source) AS docs, sum(tf) AS total FROM mpost), mlens AS (SELECT source, sum(tf) AS len FROM mpost GROUP BY source), mdfs AS (SELECT token, count(*) AS df FROM mpost GROUP BY token),
+    mscored AS (SELECT q.item_id, p.source, sum(q.qf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / docs)))) AS score FROM mpost p JOIN mdfs USING (token) JOIN mlens USING (source) JOIN query q USING (token), mstats GROUP BY q.item_id, p.source),
+    modules AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, source) AS k FROM mscored) z WHERE k <= {LEGS["module"][1]}),
+    base AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(base, 6) DESC, doc_id) AS base_rank FROM (SELECT item_id, doc_id, sum(part) AS base FROM ({parts}) u GROUP BY item_id, doc_id) v) w WHERE base_rank <= {POOL}),
+    shares AS ({shares}),
+    routed AS (SELECT item_id, doc_id, sum(part * weight) AS routed FROM (SELECT item_id, field, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS part FROM (SELECT f.item_id, f.field, f.doc_id, f.score FROM fscored f JOIN base b USING (item_id, doc_id)) c WINDOW w AS (PARTITION BY item_id, field)) n JOIN shares USING (item_id, field) GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, round(composite, 5) AS composite FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(composite, 6) DESC, doc_id) AS k FROM (SELECT b.item_id, b.doc_id, 1.0::DOUBLE / base_rank + coalesce(routed, 0) AS composite FROM base b LEFT JOIN routed r ON r.item_id = b.item_id AND r.doc_id = b.doc_id) f) g WHERE k <= {RANKED}"""
+
+
+add("q32_intent_ranker", _intent_sql(), lambda d: _intent(d, False))
+# The fuzzy leg's matching blocks are beyond SQL; the leg is held against brute force by a test.
+add("q32_intent_ranker_fuzzy", None, lambda d: _intent(d, True))
+
+
+def _blend(d: Data, fuzzy: bool) -> DataFrame:
+    """Hybrid code search: the pool of both legs, six components scaled over it, their weighted mean, and the best unit's line.
+
+    The query's first two words are its quoted phrase.
+    """
+    lexical, vector = _depth(_scored(d), 50), _vector_leg(d, n=50)
+    pool = materialise(lexical.select("item_id", "doc_id").unionByName(vector.select("item_id", "doc_id")).distinct(), "pool")
+    key = ["item_id", "doc_id"]
+    field = T.field_bm25({f: (_index(d, f), w) for f, w in FIELD_WEIGHTS.items()}, "doc_id", _asked(d), "item_id")
+    asked = d.benchmark.select("item_id", T.tokens("text").alias("q"), F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase"))
+    units = d.documents.select("doc_id", "source", "text", T.tokens(F.expr(FIELDS["head"])).alias("head"), T.tokens("source").alias("names"))
+    told = pool.join(asked, "item_id").join(units, "doc_id")
+    told = told.select(*key, "source", (T.overlap(F.col("q"), F.col("head")) + F.lit(0.6) * T.overlap(F.col("q"), F.col("names"))).alias("boost"), F.lower("text").contains(F.col("phrase")).cast("double").alias("quoted"))
+    rows = told
+    parts = {"lexical": _scored(d), "vector": _vector_leg(d, n=1 << 30), "field": field}
+    if fuzzy:
+        parts["fuzzy"] = _fuzzy_leg(d, pool)
+    for name, leg in parts.items():
+        rows = rows.join(leg.join(pool, key, "left_semi").select(*key, F.col("score").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    used = [n for n in BLEND if fuzzy or n != "fuzzy"]
+    total = F.lit(0.0)
+    for n in used:
+        total = total + R.min_max(n, ["item_id"], 0.0) * F.lit(BLEND[n])
+    rows = rows.withColumn("score", total / F.lit(sum(BLEND[n] for n in used)))
+    best = R.top_n(rows, ["item_id", "source"], [F.desc(F.round("score", 6)), "doc_id"], 1)
+    return R.top_n(best.drop("place"), ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], 10).select("item_id", "doc_id", "source", F.round("score", 5).alias("score"))
+
+
+def _blend_sql() -> str:
+    used = [n for n in BLEND if n != "fuzzy"]
+    scaled = " + ".join(f"{BLEND[n]} * CASE WHEN max({n}) OVER w > min({n}) OVER w THEN ({n} - min({n}) OVER w) / (max({n}) OVER w - min({n}) OVER w) ELSE 0 END" for n in used)
+    share = lambda a, b: f"len(list_intersect({a}, {b})) / greatest(len(list_distinct({a})), 1)"
+    head = FIELDS["head"].replace("'\\n'", "chr(10)")
+    top = lambda src: f"SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM {src}) z WHERE k <= 50"
+    return f"""WITH {_BM25}, {_VEC}, {_field_postings(FIELD_WEIGHTS)}, {_FIELD_SCORES},
+    pool AS MATERIALIZED ({top("scored")} UNION {top("vec")}),
+    told AS (SELECT p.item_id, p.doc_id, d.source, {share(_toks("b.text"), _toks(head.replace("text", "d.text")))} + 0.6 * {share(_toks("b.text"), _toks("d.source"))} AS boost, CAST(contains(lower(d.text), lower(array_to_string(string_split(b.text, ' ')[1:2], ' '))) AS DOUBLE) AS quoted FROM pool p JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+    all_ AS (SELECT t.*, coalesce(s.score, 0) AS lexical, coalesce(v.score, 0) AS vector, coalesce(f.score, 0) AS field FROM told t LEFT JOIN scored s ON s.item_id = t.item_id AND s.doc_id = t.doc_id LEFT JOIN vec v ON v.item_id = t.item_id AND v.doc_id = t.doc_id
+        LEFT JOIN (SELECT item_id, doc_id, sum(weight * score) AS score FROM fscored GROUP BY item_id, doc_id) f ON f.item_id = t.item_id AND f.doc_id = t.doc_id),
+    blended AS (SELECT item_id, doc_id, source, ({scaled}) / {sum(BLEND[n] for n in used)} AS score FROM all_ WINDOW w AS (PARTITION BY item_id))
+    SELECT item_id, doc_id, source, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY round(score, 6) DESC, doc_id) AS u FROM blended) x WHERE u = 1) y) r WHERE k <= 10"""
+
+
+add("q20_code_search_hybrid", _blend_sql(), lambda d: _blend(d, False))
+add("q20_code_search_fuzzy", None, lambda d: _blend(d, True))
 
 
 def _reranked(d: Data) -> DataFrame:

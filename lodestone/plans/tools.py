@@ -329,12 +329,12 @@ def _properties(g: Graph) -> DataFrame:
     props = F.create_map(*[x for c in ("name", "type_text", "note", "owner_qn") for x in (F.lit(c), F.col(c))])
     kept = F.map_filter(props, lambda k, v: v.isNotNull() & (v != "") & ~k.isin("owner_qn"))
     pairs = F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return g.nodes.where("label in ('Configuration', 'Resource')").select("qn", "label", F.array_join(pairs, ";").alias("properties"))
+    return g.nodes.select("qn", "label", F.array_join(pairs, ";").alias("properties"))
 
 
 _add(
     "q09_properties",
-    "SELECT qn, label, concat_ws(';', 'name=' || name, CASE WHEN note <> '' THEN 'note=' || note END, CASE WHEN type_text <> '' THEN 'type_text=' || type_text END) AS properties FROM nodes WHERE label IN ('Configuration', 'Resource')",
+    "SELECT qn, label, concat_ws(';', 'name=' || name, CASE WHEN note <> '' THEN 'note=' || note END, CASE WHEN type_text <> '' THEN 'type_text=' || type_text END) AS properties FROM nodes",
     _properties,
 )
 
