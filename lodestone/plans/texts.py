@@ -196,22 +196,30 @@ def _depth(leg: DataFrame, n: int, keys: tuple[str, ...] = ("item_id",), key: st
 
 
 def _fuzzy_leg(d: Data, pool: DataFrame) -> DataFrame:
-    """Mean over the tokens of a candidate's first line of the best similarity to a query token, where that is ``FUZZY_LEAST`` or more."""
-    heads = _index(d, "head").select("doc_id", "token")
-    pairs = pool.join(heads, "doc_id").join(_asked(d).select("item_id", F.col("token").alias("asked")), "item_id")
-    best = pairs.withColumn("s", T.fuzzy("token", "asked")).groupBy("item_id", "doc_id", "token").agg(F.max("s").alias("s"))
-    scored = best.groupBy("item_id", "doc_id").agg((F.sum(F.when(F.col("s") >= FUZZY_LEAST, F.col("s")).otherwise(0.0)) / F.count("*")).alias("score"))
-    return scored.where("score > 0")
+    """Mean over the tokens of a candidate's first line of the best similarity to a query token, where that is ``FUZZY_LEAST`` or more.
+
+    Similar tokens are found once for all candidates, among the distinct tokens of both sides.
+    """
+    heads, asked = _index(d, "head").select("doc_id", "token"), _asked(d).select("item_id", F.col("token").alias("other"))
+    near = T.fuzzy_pairs(heads.select("token"), FUZZY_LEAST, asked.select(F.col("other").alias("token")))
+    same = heads.select("token").distinct().select("token", F.col("token").alias("other"), F.lit(1.0).alias("ratio"))
+    similar = materialise(near.unionByName(same), "similar")
+    found = pool.join(asked, "item_id").join(similar, "other").join(heads, ["doc_id", "token"])
+    best = found.groupBy("item_id", "doc_id", "token").agg(F.max("ratio").alias("s")).groupBy("item_id", "doc_id").agg(F.sum("s").alias("s"))
+    words = heads.groupBy("doc_id").agg(F.count("*").alias("words"))
+    return best.join(words, "doc_id").select("item_id", "doc_id", (F.col("s") / F.col("words")).alias("score"))
 
 
 def _intent(d: Data, fuzzy: bool) -> DataFrame:
     """Legs over texts, modules (sources), first lines and lines within the best modules; the best by their sum, then reranked by routes."""
-    search, structural = _depth(_scored(d), LEGS["search"][1]), _depth(_by_field(d, "head"), LEGS["structural"][1])
+    # Read by several legs and by the routes.
+    scores = {f: materialise(_by_field(d, f), "scores") for f in FIELDS}
+    search, structural = _depth(scores["text"], LEGS["search"][1]), _depth(scores["head"], LEGS["structural"][1])
     units = d.documents.select("doc_id", "source")
     by_module = _index(d).join(units, "doc_id").groupBy("source", "token").agg(F.sum("tf").alias("tf"))
     modules = R.top_n(T.bm25(by_module, "source", _asked(d), "item_id"), ["item_id"], [F.desc(F.round("score", 9)), "source"], LEGS["module"][1], "module_place")
     module = modules.join(units, "source").select("item_id", "doc_id", "score")
-    inside = _by_field(d, "head").join(units, "doc_id").join(modules.where(F.col("module_place") <= LOCAL_MODULES).select("item_id", "source"), ["item_id", "source"])
+    inside = scores["head"].join(units, "doc_id").join(modules.where(F.col("module_place") <= LOCAL_MODULES).select("item_id", "source"), ["item_id", "source"])
     local = _depth(inside, LEGS["local"][1], ("item_id", "source")).select("item_id", "doc_id", "score")
     legs = {"search": search, "module": module, "structural": structural, "local": local}
     if fuzzy:
@@ -232,7 +240,7 @@ def _intent(d: Data, fuzzy: bool) -> DataFrame:
         for w in weights[1:]:
             total = total + w
         share = d.benchmark.select("item_id", F.split(F.lower("text"), " ").alias("words")).select("item_id", total.alias("weight"))
-        mine = _by_field(d, field).join(base.select("item_id", "doc_id"), ["item_id", "doc_id"])
+        mine = scores[field].join(base.select("item_id", "doc_id"), ["item_id", "doc_id"])
         part = _normal(mine, 1.0).join(share, "item_id").select("item_id", "doc_id", (F.col("part") * F.col("weight")).alias("part"))
         routed = part if routed is None else routed.unionByName(part)
     routed = routed.groupBy("item_id", "doc_id").agg(F.sum("part").alias("routed"))
@@ -273,16 +281,22 @@ def _blend(d: Data, fuzzy: bool) -> DataFrame:
 
     The query's first two words are its quoted phrase.
     """
-    lexical, vector = _depth(_scored(d), 50), _vector_leg(d, n=50)
+    scores = {f: materialise(_by_field(d, f), "scores") for f in FIELDS}
+    near = materialise(_vector_leg(d, n=1 << 30), "near")
+    lexical, vector = _depth(scores["text"], 50), _depth(near, 50)
     pool = materialise(lexical.select("item_id", "doc_id").unionByName(vector.select("item_id", "doc_id")).distinct(), "pool")
     key = ["item_id", "doc_id"]
-    field = T.field_bm25({f: (_index(d, f), w) for f, w in FIELD_WEIGHTS.items()}, "doc_id", _asked(d), "item_id")
+    field = None
+    for f, w in FIELD_WEIGHTS.items():
+        part = scores[f].join(pool, key, "left_semi").select(*key, (F.col("score") * F.lit(w)).alias("score"))
+        field = part if field is None else field.unionByName(part)
+    field = field.groupBy(*key).agg(F.sum("score").alias("score"))
     asked = d.benchmark.select("item_id", T.tokens("text").alias("q"), F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase"))
     units = d.documents.select("doc_id", "source", "text", T.tokens(F.expr(FIELDS["head"])).alias("head"), T.tokens("source").alias("names"))
     told = pool.join(asked, "item_id").join(units, "doc_id")
     told = told.select(*key, "source", (T.overlap(F.col("q"), F.col("head")) + F.lit(0.6) * T.overlap(F.col("q"), F.col("names"))).alias("boost"), F.lower("text").contains(F.col("phrase")).cast("double").alias("quoted"))
     rows = told
-    parts = {"lexical": _scored(d), "vector": _vector_leg(d, n=1 << 30), "field": field}
+    parts = {"lexical": scores["text"], "vector": near, "field": field}
     if fuzzy:
         parts["fuzzy"] = _fuzzy_leg(d, pool)
     for name, leg in parts.items():

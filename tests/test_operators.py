@@ -199,6 +199,11 @@ def test_fuzzy_pairs_are_those_of_all_pairs(spark):
     got = [tuple(r) for r in T.fuzzy_pairs(spark.createDataFrame([(x,) for x in words * 2], "token string"), 0.88).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {("imformation", "information"), ("application", "xapplication"), ("abcd", "abcde")} <= {g[:2] for g in got}
+    some, rest = words[::3], words[1::2]
+    want = {(x, y, round(ratio(x, y), 6)) for x in some for y in rest if x != y and round(ratio(x, y), 6) >= 0.88}
+    frames = [spark.createDataFrame([(x,) for x in z], "token string") for z in (some, rest)]
+    assert {tuple(r) for r in T.fuzzy_pairs(frames[0], 0.88, frames[1]).collect()} == want
+
 
 
 def test_rerank_reads_whole_texts(spark, tmp_path):
