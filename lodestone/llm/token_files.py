@@ -8,13 +8,15 @@ Format. A data set is a folder of parts in ascending doc_id order. Part k has
 * ``part-KKKKK.off``: little-endian unsigned 64-bit integers, one more than it
   has documents: the id index, within the part, at which each document starts,
   and the number of ids;
-* ``part-KKKKK.doc``: the doc_ids, signed 64-bit; the smallest such integer stands for null.
+* ``part-KKKKK.doc``: the doc_ids, signed 64-bit, those without one first, as 0;
+  then how many have none.
 
 A part's place in the whole, its *base*, is the sum of the ids of the parts
 before it: a prefix sum over one count for each part, the only thing that is
 gathered. Local files are memory-mapped by readers.
 
-Documents are dealt by range of doc_id, so a part is a contiguous range; a
+Documents are dealt by range of doc_id, a hash of the text and a row number, so
+a part is a contiguous range and rows of one id or none need not share a part; a
 task that runs again writes the same bytes under the same name, through a
 temporary name, so lost executors and repeated tasks leave one whole file.
 Files go through ``pyarrow.fs``: any store that it opens by URI will do.
@@ -28,7 +30,8 @@ file, which gives the same ids several times faster; texts that hold a special
 string go through the tokenizers library itself.
 
 Defined cases: null counts as empty; an empty text has the end id alone; rows
-with equal or null doc_id keep their own entries (nulls first), in order of text.
+with equal or null doc_id keep their own entries (nulls first), in order of a hash
+of the text.
 """
 
 from __future__ import annotations
@@ -56,8 +59,6 @@ from lodestone.session import scratch_path
 PART_BYTES = 64 << 20
 MEMO_PIECES = 400_000
 
-NO_ID = np.iinfo(np.int64).min
-
 MANIFEST = "part int, docs long, tokens long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -167,20 +168,22 @@ class _PartWriter:
         self.part, self.dtype = part, dtype
         self.mark = f".{uuid.uuid4().hex}"
         self.out = {k: self.fs.open_output_stream(self._path(k) + self.mark) for k in ("ids", "off", "doc")}
-        self.tokens, self.docs = 0, 0
+        self.tokens, self.docs, self.nulls = 0, 0, 0
 
     def _path(self, kind: str) -> str:
         return posixpath.join(self.root, _name(self.part, kind))
 
-    def add(self, ids: np.ndarray, edges: np.ndarray, doc_ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, edges: np.ndarray, doc_ids: np.ndarray, known: np.ndarray) -> None:
         self.out["ids"].write(ids.tobytes())
         self.out["off"].write((self.tokens + edges[:-1]).astype("<u8").tobytes())
         self.out["doc"].write(doc_ids.astype("<i8").tobytes())
         self.tokens += len(ids)
         self.docs += len(doc_ids)
+        self.nulls += int((~known).sum())
 
     def close(self) -> None:
         self.out["off"].write(np.array([self.tokens], "<u8").tobytes())
+        self.out["doc"].write(np.array([self.nulls], "<i8").tobytes())
         for kind, stream in self.out.items():
             stream.close()
             self.fs.move(self._path(kind) + self.mark, self._path(kind))
@@ -199,16 +202,17 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0, part_
         out = _PartWriter(uri, TaskContext.get().partitionId(), bpe.dtype)
         for table in C.bounded(batches):
             ids, known = C.doc_ids(table)
-            ids = np.where(known, ids, NO_ID)
             tokens, edges = bpe.encode(table.column("text"))
             tokens = np.insert(tokens, edges[1:], end_id)
-            out.add(tokens, edges + np.arange(len(edges)), ids)
+            out.add(tokens, edges + np.arange(len(edges)), ids, known)
         out.close()
         yield pa.RecordBatch.from_arrays(
             [pa.array([out.part], pa.int32()), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "docs", "tokens"]
         )
 
-    dealt = cols.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "__hash", "__row")
+    cols = cols.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+    dealt = cols.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = scratch_path(spark, "token-manifest")
     dealt.mapInArrow(work, MANIFEST).write.parquet(manifest)
     # One row for each part: a few bytes for 64 MB of text.
@@ -223,7 +227,8 @@ class PartReader:
         fs, root = _fs(uri)
         self.ids = self._array(fs, posixpath.join(root, _name(part, "ids")), dtype)
         self.offsets = self._array(fs, posixpath.join(root, _name(part, "off")), "<u8")
-        self.doc_ids = self._array(fs, posixpath.join(root, _name(part, "doc")), "<i8")
+        listed = self._array(fs, posixpath.join(root, _name(part, "doc")), "<i8")
+        self.doc_ids, self.nulls = listed[:-1], int(listed[-1])
 
     @staticmethod
     def _array(fs, path: str, dtype) -> np.ndarray:
@@ -252,7 +257,7 @@ def read(spark: SparkSession, manifest: DataFrame, uri: str, dtype: np.dtype, ba
                     b = min(len(part), a + batch)
                     sums = [zlib.crc32(part[k].astype("<u4").tobytes()) for k in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part.doc_ids[a:b], mask=part.doc_ids[a:b] == NO_ID), pa.array(row["base"] + starts[a:b]), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())],
+                        [pa.array(part.doc_ids[a:b], mask=np.arange(a, b) < part.nulls), pa.array(row["base"] + starts[a:b]), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

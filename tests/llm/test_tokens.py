@@ -97,5 +97,18 @@ def test_token_files_round_trip(docs, corpus, tmp_path):
     assert sorted([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got], key=repr) == sorted(want, key=repr)
 
 
+def test_token_files_of_odd_and_frequent_ids(spark, tmp_path):
+    """The smallest integer is an id; rows of one id or none fill several parts."""
+    low = -(2**63)
+    rows = [(low, "least")] * 3 + [(None, f"none {k}") for k in range(400)] + [(5, "same")] * 400 + [(7, f"seven {k}") for k in range(400)] + [(2**63 - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    uri = f"file://{tmp_path}/odd"
+    manifest = token_files.write(docs, uri, BYTES, part_bytes=2000)
+    assert max(r["docs"] for r in manifest.collect()) < 700
+    got = sorted(token_files.read(spark, manifest, uri, token_files.vocabulary_dtype(BYTES)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 400 + [low] * 3 + [5] * 400 + [7] * 400 + [2**63 - 1]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_token_files_empty(empty, tmp_path):
     assert token_files.round_trip(empty, BYTES, f"file://{tmp_path}/none").collect() == []
