@@ -20,6 +20,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents of a scan for work that is heavy for each row: dealt evenly where the scan has fewer parts than there are cores.
+
+    A large table has many parts and is not moved.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
@@ -51,13 +60,13 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pieces
 
-    return pieces.digest(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return pieces.digest(_spread(_documents(spark, sf_dir)), vocabulary("piece_bpe_32k.model"))
 
 
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import quality
 
-    return quality.judge(_documents(spark, sf_dir))
+    return quality.judge(_spread(_documents(spark, sf_dir)))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +78,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import toxicity
 
-    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(_spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
