@@ -101,7 +101,15 @@ add("tx13_quoted", "SELECT p_partkey, len(regexp_extract_all('\"' || p_type || '
 add("tx14_prefix_or_edit", "SELECT c_custkey FROM customer WHERE starts_with(lower(c_mktsegment), 'build') OR levenshtein(lower(c_mktsegment), 'machinerx') <= 1", lambda d: d.customer.where(F.lower("c_mktsegment").startswith("build") | (F.levenshtein(F.lower("c_mktsegment"), F.lit("machinerx")) <= 1)).select("c_custkey"))
 add("tx15_joined_name", "SELECT o_orderkey, translate(lower(o_orderpriority), 'ё _-', 'е') AS joined FROM orders", lambda d: d.orders.select("o_orderkey", T.joined_name(F.col("o_orderpriority")).alias("joined")))
 add("tx16_canonical_category", "SELECT DISTINCT c_custkey, k.canon FROM customer JOIN (VALUES ('BUILDING', 'construction'), ('BUILDING', 'housing'), ('MACHINERY', 'industry'), ('HOUSEHOLD', 'housing')) k(seg, canon) ON c_mktsegment = k.seg", lambda d: d.customer.join(F.broadcast(d.spark.createDataFrame([("BUILDING", ["construction", "housing"]), ("MACHINERY", ["industry"]), ("HOUSEHOLD", ["housing"])], "c_mktsegment string, canon array<string>")), "c_mktsegment").select("c_custkey", F.explode("canon").alias("canon")).distinct())
-add("tx17_structural_terms", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1))), ',') AS terms FROM pages", lambda d: d.pages.select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)))), ",").alias("terms")))
+#: A line of code for each part.
+_CODE = """concat('Sel = Catalogs.Part', CAST(p_partkey AS STRING), '.Find("x', CAST(p_size AS STRING), '"); Query.Text = "SELECT * FROM Document.D', CAST(p_size AS STRING), '"; Lib.Run(Sel); Total = Sum(Sel); Run(Total); Doc = Documents.D', CAST(p_size AS STRING), '; Sum(Doc);')"""
+_terms = lambda kind: f"regexp_extract_all(code, '{T.TERMS[kind]}', 1)"
+add(
+    "tx17_structural_terms",
+    "SELECT p_partkey, " + ", ".join(f"array_to_string({_terms(k)}, ',') AS {k}" for k in T.TERMS) + f" FROM (SELECT p_partkey, {_CODE} AS code FROM part) c",
+    lambda d: d.part.select("p_partkey", F.expr(_CODE).alias("code")).select("p_partkey", *[F.array_join(T.structural_terms(F.col("code"), k), ",").alias(k) for k in T.TERMS]),
+)
+add("tx17_markup_terms", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1))), ',') AS terms FROM pages", lambda d: d.pages.select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)))), ",").alias("terms")))
 add("tx18_line_features", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[A-Z]'))) AS headers, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, '|'))) AS tables FROM documents", lambda d: d.documents.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("^[A-Z]"))).cast("long").alias("headers"), F.size(F.filter(F.split("text", "\n"), lambda x: x.contains("|"))).cast("long").alias("tables")))
 add("tx19_search_text", "SELECT doc_id, sha256(repeat(lang || ' ', 6) || repeat(source || ' ', 6) || text) AS h FROM documents", lambda d: d.documents.select("doc_id", F.sha2(F.concat(F.repeat(F.concat("lang", F.lit(" ")), 6), F.repeat(F.concat("source", F.lit(" ")), 6), "text"), 256).alias("h")))
 add("tx20_chunks", None, lambda d: T.chunk(d.documents, "doc_id", "text", 1000, 100))
@@ -124,7 +132,13 @@ add("tx30_translation", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'З
 add("tx31_dictionary_encoding", "SELECT c_custkey, '@seg:' || CAST(dense_rank() OVER (ORDER BY f) AS VARCHAR) AS code FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS f FROM customer) x", lambda d: (lambda first: d.customer.join(F.broadcast(first.withColumn("no", F.dense_rank().over(W.orderBy("f")))), "c_mktsegment").select("c_custkey", F.concat(F.lit("@seg:"), F.col("no").cast("string")).alias("code")))(d.customer.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("f"))))
 add("tx32_best_prefix", "SELECT prefix, n, gain FROM (SELECT prefix, count(*) AS n, count(*) * (length(prefix) - 3) AS gain FROM (SELECT unnest([substring(c_name, 1, 6), substring(c_name, 1, 10), substring(c_name, 1, 14), substring(c_name, 1, 16)]) AS prefix FROM customer) x GROUP BY prefix HAVING count(*) >= 2) y ORDER BY gain DESC, prefix LIMIT 1", lambda d: d.customer.select(F.explode(F.array(*[F.substring("c_name", 1, k) for k in (6, 10, 14, 16)])).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).where("n >= 2").withColumn("gain", F.col("n") * (F.length("prefix") - 3)).orderBy(F.desc("gain"), "prefix").limit(1))
 add("tx33_drop_empty", "SELECT n_nationkey, concat_ws(';', CASE WHEN n_regionkey > 0 THEN 'region=' || CAST(n_regionkey AS VARCHAR) END, 'name=' || n_name) AS kept FROM nation", lambda d: d.nation.select("n_nationkey", F.array_join(F.transform(F.filter(F.array(F.struct(F.lit("region").alias("k"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")).alias("v")), F.struct(F.lit("name").alias("k"), F.col("n_name").alias("v"))), lambda e: e["v"].isNotNull() & (e["v"] != "")), lambda e: F.concat_ws("=", e["k"], e["v"])), ";").alias("kept")))
-add("tx34_code_facts", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+\\(')) AS calls, len(regexp_extract_all(text, '[a-z]+ = ')) AS assignments, CASE WHEN contains(text, 'token') THEN 0 WHEN contains(text, '(') THEN 1 ELSE 2 END AS priority FROM documents", lambda d: d.documents.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+\("), F.lit(0))).cast("long").alias("calls"), F.size(F.regexp_extract_all("text", F.lit("[a-z]+ = "), F.lit(0))).cast("long").alias("assignments"), F.when(F.col("text").contains("token"), 0).when(F.col("text").contains("("), 1).otherwise(2).alias("priority")))
+add(
+    "tx34_code_facts",
+    f"""WITH c AS (SELECT p_partkey, {_CODE} AS code FROM part), f AS ({" UNION ALL ".join(f"SELECT p_partkey, {prio} AS prio, i, '{mark}:' || l[i] AS fact FROM (SELECT p_partkey, {_terms(kind)} AS l FROM c) t, unnest(range(1, len(l) + 1)) u(i)" for prio, (kind, mark) in enumerate(T.FACTS))}),
+    once AS (SELECT p_partkey, fact, min(prio * 1000 + i) AS place FROM f GROUP BY p_partkey, fact)
+    SELECT p_partkey, string_agg(fact, ';' ORDER BY place) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY place) AS k FROM once) x WHERE k <= 6 GROUP BY p_partkey""",
+    lambda d: d.part.select("p_partkey", F.array_join(T.code_facts(F.expr(_CODE), 6), ";").alias("facts")),
+)
 add("tx35_time_window", "SELECT event_id, (hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 300) AS at_night FROM events", lambda d: (lambda m: d.events.select("event_id", ((m >= 1380) | (m < 300)).alias("at_night")))(F.hour("ts") * 60 + F.minute("ts")))
 add("tx36_embedding_format", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'query: ' ELSE 'passage: ' END || text AS formatted FROM benchmark", lambda d: d.benchmark.select("item_id", F.concat(F.when(F.col("item_id") % 2 == 0, "query: ").otherwise("passage: "), "text").alias("formatted")))
 
