@@ -478,7 +478,11 @@ _add(
 )
 _add(
     "q16_between_owners",
-    "SELECT a.category_name AS from_category, b.category_name AS to_category, count(*) AS calls FROM edges c JOIN nodes a ON c.src = a.qn JOIN nodes b ON c.dst = b.qn WHERE c.rel = 'CALLS' AND a.category_name <> b.category_name GROUP BY a.category_name, b.category_name",
+    # One join after the other: the comparison of categories must not join all nodes with all nodes.
+    """SELECT from_category, to_category, count(*) AS calls FROM (
+        WITH x AS MATERIALIZED (SELECT a.category_name AS from_category, c.dst FROM edges c JOIN nodes a ON c.src = a.qn WHERE c.rel = 'CALLS'),
+        y AS MATERIALIZED (SELECT x.from_category, b.category_name AS to_category FROM x JOIN nodes b ON x.dst = b.qn) SELECT * FROM y) z
+    WHERE from_category <> to_category GROUP BY from_category, to_category""",
     lambda g: g.edges.where("rel = 'CALLS'").join(g.nodes.select(F.col("qn").alias("src"), F.col("category_name").alias("from_category")), "src")
     .join(g.nodes.select(F.col("qn").alias("dst"), F.col("category_name").alias("to_category")), "dst").where("from_category <> to_category")
     .groupBy("from_category", "to_category").agg(F.count("*").alias("calls")),
