@@ -215,3 +215,27 @@ def test_rerank_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(7, start + "gamma epsilon")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r["rerank"] for r in registry.queries()["q34_rerank"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.75, 2: 0.5, 3: 1.0}
+
+
+def test_fuzzy_leg_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from lodestone.plans import texts
+    from lodestone.plans.core import Data
+
+    data = Data(spark, "/root/testdata/sf0.001")
+    heads, asked = {}, {}
+    for r in texts._index(data, "head").where("doc_id < 40").collect():
+        heads.setdefault(r["doc_id"], []).append(r["token"])
+    for r in texts._asked(data).where("item_id < 12").collect():
+        asked.setdefault(r["item_id"], []).append(r["token"])
+
+    def ratio(x, y):
+        return 1.0 if x == y else 0.94 if x.startswith(y) or y.startswith(x) else SequenceMatcher(None, x, y).ratio()
+
+    best = lambda t, q: max((r for r in (ratio(t, y) for y in q) if r >= texts.FUZZY_LEAST), default=0.0)
+    want = {(i, k): sum(best(t, q) for t in h) / len(h) for i, q in asked.items() for k, h in heads.items()}
+    pool = spark.createDataFrame(list(want), "item_id long, doc_id long")
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in texts._fuzzy_leg(data, pool).collect()}
+    assert got.keys() == {k for k, v in want.items() if v > 0}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
