@@ -93,6 +93,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import token_counts
+
+    return token_counts.totals(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
