@@ -99,6 +99,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import centroids
+
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
