@@ -99,6 +99,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import late_layout
+
+    return late_layout.overwrite_late(spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import centroids
 
