@@ -29,6 +29,7 @@ the input, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -46,10 +47,14 @@ BATCH_BYTES = 1 << 20
 #: Pairs of tokens whose answer a worker remembers.
 PAIRS = 4_000_000
 MEMO_UNITS = 200_000
+#: Bytes of the longest piece that is remembered.
+LONGEST = 64
 
 # Unicode's white space, and contractions that the pre-tokenizer keeps together.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CONTRACTIONS = ("'ll", "'re", "'ve")
+#: The pre-tokenizer's pattern with its classes for ASCII alone.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 TOTALS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long"
 STORED = "doc_id long, text string, counts binary"
@@ -70,43 +75,61 @@ class PrefixCounter:
         self.entries.make_automaton()
         self.names = {self.bpe.fast.encode_single_token(t): t for t in self.bpe.fast.token_byte_values()}
         self.pairs: dict[int, bool] = {}
+        self.pieces: dict[bytes, list[int]] = {}
         self.memo = UnitMemo(self._units, MEMO_UNITS)
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether two tokens can stand side by side in an encoded piece."""
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.single(self.names[left] + self.names[right]) == [left, right]
+        """Whether two tokens can stand side by side in an encoded piece; remembered."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.single(self.names[left] + self.names[right]) == [left, right]
         return known
 
     def piece(self, data: bytes) -> list[int]:
         """Counts of the prefixes of one piece, by length."""
         count, last = [0] * len(data), [0] * len(data)
-        follows = self.follows
+        pairs, follows = self.pairs, self.follows
         for end, (token, size) in self.entries.iter(data.decode("latin-1")):
             if count[end]:
                 continue
             before = end - size
             if before < 0:
                 count[end], last[end] = 1, token
-            elif count[before] and follows(last[before], token):
+                continue
+            left = last[before]
+            known = pairs.get(left << 32 | token)
+            if follows(left, token) if known is None else known:
                 count[end], last[end] = count[before] + 1, token
         return count
 
+    def remembered(self, part: bytes) -> list[int]:
+        """``piece``, of a short piece from memory if it was met lately."""
+        if len(part) > LONGEST:
+            return self.piece(part)
+        counts = self.pieces.get(part)
+        if counts is None:
+            if len(self.pieces) >= MEMO_UNITS:
+                self.pieces.clear()
+            counts = self.pieces[part] = self.piece(part)
+        return counts
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text, as the pre-tokenizer cuts them; ASCII is cut here, where the classes are plain."""
+        return ASCII_PIECES.findall(text) if text.isascii() else [text[a:b] for _, (a, b) in self.split(text)]
+
     def unit(self, text: str) -> list[int]:
         """Counts of the prefixes, in bytes, of a text that starts where a piece starts and holds no special string."""
+        pieces = self.cut(text)
+        if len(pieces) == 1 and pieces[0] not in CONTRACTIONS:
+            return self.remembered(text.encode())
         out: list[int] = []
         base, run = 0, b""  # tokens of whole pieces; white space that is open
         run_start = run_base = 0
-        for _, (a, b) in self.split(text):
-            chars = text[a:b]
+        for chars in pieces:
             part = chars.encode()
-            start, blank = len(out), not chars.strip(WHITE)
-            counts = self.piece(part)
-            out += [base + c for c in counts]
+            start, blank = len(out), chars[0] in WHITE and not chars.strip(WHITE)
+            counts = self.remembered(part)
+            out += [base + c for c in counts] if base else counts
             if chars in CONTRACTIONS:
                 out[start + 1] = base + 2
             if blank and not run:
