@@ -88,35 +88,22 @@ def trails(edges: DataFrame, rel: str, seeds: DataFrame, depth: int, reverse: bo
     for d in range(1, depth + 1):
         edge = F.concat_ws("\u0001", "last", "next")
         level = level.join(hop, "last").where(~F.array_contains("used", edge))
-        level = level.select("root", F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array(edge)).alias("used"), F.col("next").alias("last"))
+        level = materialise(level.select("root", F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array(edge)).alias("used"), F.col("next").alias("last")), "level")
         found = level.select("root", "path", F.lit(d).alias("hops"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def simple_paths(steps: DataFrame, seeds: DataFrame, depth: int, bridges: DataFrame | None = None) -> DataFrame:
-    """Simple paths (no node twice) along ``steps`` (src, rel, dst), at most ``depth`` counted hops.
-
-    ``bridges`` (src, dst) move on from a reached node to its owner at no cost in depth.
-    """
+def simple_paths(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """Simple paths (no node twice) along ``steps`` (src, rel, dst) of 1 to ``depth`` hops; see ``paths`` for those with owners."""
     hop = materialise(steps.select(F.col("src").alias("last"), F.col("rel").alias("via"), F.col("dst").alias("next")), "steps")
-    over = None if bridges is None else materialise(bridges.select(F.col("src").alias("last"), F.col("dst").alias("owner")), "bridges")
     level = seeds.select(F.col("qn").alias("root"), F.array("qn").alias("path"), F.array().cast("array<string>").alias("rels"), F.col("qn").alias("last"))
     out = None
     for d in range(1, depth + 1):
         level = level.join(hop, "last").where(~F.array_contains("path", F.col("next")))
-        level = level.select("root", F.concat("path", F.array("next")).alias("path"), F.concat("rels", F.array("via")).alias("rels"), F.col("next").alias("last"))
+        level = materialise(level.select("root", F.concat("path", F.array("next")).alias("path"), F.concat("rels", F.array("via")).alias("rels"), F.col("next").alias("last")), "level")
         found = level.select("root", "path", "rels", F.lit(d).alias("depth"))
         out = found if out is None else out.unionByName(found)
-        if over is not None:
-            stepped = level.join(over, "last", "left")
-            free = F.col("owner").isNotNull() & ~F.array_contains("path", F.col("owner"))
-            level = stepped.select(
-                "root",
-                F.when(free, F.concat("path", F.array("owner"))).otherwise(F.col("path")).alias("path"),
-                F.when(free, F.concat("rels", F.array(F.lit("OWNER")))).otherwise(F.col("rels")).alias("rels"),
-                F.when(free, F.col("owner")).otherwise(F.col("last")).alias("last"),
-            )
     return out
 
 

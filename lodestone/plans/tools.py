@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.operators import paths as P
 from lodestone.plans.registry import register
 from lodestone.session import materialise
 from lodestone.sources.projection import Graph, duck
@@ -542,23 +543,74 @@ _family("uses_handler", ("HAS_EVENT_SUBSCRIPTION", "USES_HANDLER"), False, 2, "l
 _family("form_container", ("HAS_FORM", "HAS_CONTROL", "HAS_CHILD", "BINDS_TO"), False, 3, "label = 'MetadataObject' AND category_name = 'NATION_3'")
 
 
-def _bridged(g: Graph) -> DataFrame:
-    """Calls, moving from each reached routine to its module at no cost in depth."""
-    steps = g.edges.where("rel in ('CALLS', 'DECLARES')").select("src", "rel", "dst")
-    bridges = g.edges.where("rel = 'DECLARES'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    paths = G.simple_paths(steps, g.nodes.where("name = 'Routine_6'"), 2, bridges)
-    return paths.select("root", F.array_join("path", ">").alias("path_text"), F.array_join("rels", ">").alias("rel_text"), "depth")
+def _in(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+#: Steps of each family and direction, as SQL over nodes and edges: src, rel, dst, free.
+_FORM_CONTROL = "(SELECT form, control FROM form_control)"
+_STEP_SQL = {
+    ("USED_IN", "down"): f"SELECT e.src, e.rel, e.dst, false FROM edges e JOIN nodes a ON a.qn = e.src AND a.label = 'MetadataObject' WHERE e.rel = 'USED_IN' AND e.dst_label IN {_in(P.TYPED)}",
+    ("USED_IN", "up"): f"""SELECT c.owner, 'USED_IN', e.src, false FROM edges e JOIN nodes a ON a.qn = e.src AND a.label = 'MetadataObject' JOIN (
+        SELECT src AS owner, dst FROM edges WHERE rel IN {_in(P.TYPED_CHILDREN)} UNION ALL
+        SELECT t.src, c.dst FROM edges c JOIN edges t ON t.dst = c.src AND t.rel = 'HAS_TABULAR_PART' WHERE c.rel IN {_in(P.TYPED_CHILDREN)}) c ON c.dst = e.dst JOIN nodes o ON o.qn = c.owner AND o.label = 'MetadataObject'
+        WHERE e.rel = 'USED_IN' AND e.dst_label IN {_in(P.TYPED)}
+        UNION ALL SELECT qn, 'OWNER_BRIDGE', array_to_string(string_split(qn, '/')[1:4], '/'), true FROM nodes WHERE label IN {_in(P.ELEMENTS)}""",
+    ("DO_MOVEMENTS_IN", "down"): "SELECT src, rel, dst, false FROM edges WHERE rel = 'DO_MOVEMENTS_IN'",
+    ("DO_MOVEMENTS_IN", "up"): f"""SELECT dst, rel, src, false FROM edges WHERE rel = 'DO_MOVEMENTS_IN'
+        UNION ALL SELECT qn, 'OWNER_BRIDGE', array_to_string(string_split(qn, '/')[1:4], '/'), true FROM nodes WHERE label IN {_in(P.ELEMENTS)}""",
+    ("CALLS", "down"): "SELECT src, rel, dst, false FROM edges WHERE rel = 'CALLS'",
+    ("CALLS", "up"): "SELECT dst, rel, src, false FROM edges WHERE rel = 'CALLS'",
+    ("CALLS", ""): "SELECT o.owner, 'OWNER_BRIDGE', o.routine, true FROM routine_owner o JOIN nodes n ON n.qn = o.owner AND n.label IN ('MetadataObject', 'Command', 'Form')",
+    ("BINDS_TO", "down"): f"SELECT src, rel, dst, false FROM edges WHERE rel = 'BINDS_TO' UNION ALL SELECT f.form, e.rel, e.dst, false FROM edges e JOIN {_FORM_CONTROL} f ON f.control = e.src WHERE e.rel = 'BINDS_TO'",
+    ("BINDS_TO", "up"): "SELECT dst, rel, src, false FROM edges WHERE rel = 'BINDS_TO'",
+    ("LINKS_TO_COMMAND", "down"): f"SELECT src, rel, dst, false FROM edges WHERE rel = 'LINKS_TO_COMMAND' UNION ALL SELECT f.form, e.rel, e.dst, false FROM edges e JOIN {_FORM_CONTROL} f ON f.control = e.src WHERE e.rel = 'LINKS_TO_COMMAND'",
+    ("LINKS_TO_COMMAND", "up"): "SELECT dst, rel, src, false FROM edges WHERE rel = 'LINKS_TO_COMMAND'",
+    ("HAS_HANDLER", "down"): "SELECT src, rel, dst, false FROM edges WHERE rel = 'HAS_HANDLER'",
+    ("HAS_HANDLER", "up"): "SELECT dst, rel, src, false FROM edges WHERE rel = 'HAS_HANDLER'",
+    ("USES_HANDLER", "down"): "SELECT src, rel, dst, false FROM edges WHERE rel = 'USES_HANDLER'",
+    ("USES_HANDLER", "up"): "SELECT dst, rel, src, false FROM edges WHERE rel = 'USES_HANDLER'",
+}
 
 
-_add(
-    "q17_calls_owner_bridge",
-    """SELECT a.src AS root, a.src || '>' || a.dst AS path_text, a.rel AS rel_text, 1 AS depth FROM edges a JOIN nodes n ON a.src = n.qn WHERE a.rel IN ('CALLS', 'DECLARES') AND n.name = 'Routine_6' AND a.src <> a.dst
-    UNION ALL SELECT a.src, a.src || '>' || a.dst || CASE WHEN d.src IS NOT NULL AND d.src <> a.src THEN '>' || d.src ELSE '' END || '>' || b.dst, a.rel || CASE WHEN d.src IS NOT NULL AND d.src <> a.src THEN '>OWNER' ELSE '' END || '>' || b.rel, 2
-    FROM edges a JOIN nodes n ON a.src = n.qn LEFT JOIN edges d ON d.dst = a.dst AND d.rel = 'DECLARES'
-    JOIN edges b ON b.src = CASE WHEN d.src IS NOT NULL AND d.src <> a.src THEN d.src ELSE a.dst END
-    WHERE a.rel IN ('CALLS', 'DECLARES') AND b.rel IN ('CALLS', 'DECLARES') AND n.name = 'Routine_6' AND a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst AND b.dst IS DISTINCT FROM d.src""",
-    _bridged,
-)
+def _walk_sql(rels: tuple[str, ...], direction: str, depth: int, seed: str, last: str = "") -> str:
+    """Forked paths as one recursion: f = 0 is the node that a step reaches, f = 1 its owner."""
+    text = duck("SELECT 0")
+    head = text[: text.rindex(" SELECT 0")].replace("WITH ", "WITH RECURSIVE ", 1)
+    ways = [w for w, skip in (("down", "upstream"), ("up", "downstream"), ("", "-")) if direction != skip]
+    union = " UNION ALL ".join(_STEP_SQL[r, w] for r in rels for w in ways if (r, w) in _STEP_SQL)
+    return f"""{head}, routine_owner AS MATERIALIZED (SELECT d.dst AS routine, coalesce(m.owner_qn, d.src) AS owner FROM edges d LEFT JOIN nodes m ON m.qn = d.src AND m.label = 'Module' WHERE d.rel = 'DECLARES'),
+    form_control AS (SELECT e.src AS form, e.dst AS control FROM edges e JOIN nodes n ON n.qn = e.src AND n.label = 'Form' WHERE e.rel = 'HAS_CONTROL'
+        UNION ALL SELECT f.form, c.dst FROM form_control f JOIN edges c ON c.src = f.control AND c.rel = 'HAS_CHILD'),
+    step AS MATERIALIZED (SELECT s.src, s.rel, s.dst, s.free, n.label, CASE WHEN n.label = 'Routine' THEN o.owner WHEN n.label IN {_in(P.ELEMENTS)} THEN array_to_string(string_split(s.dst, '/')[1:4], '/') END AS owner
+        FROM (SELECT DISTINCT * FROM ({union}) u(src, rel, dst, free)) s LEFT JOIN nodes n ON n.qn = s.dst LEFT JOIN routine_owner o ON o.routine = s.dst),
+    walk AS (SELECT qn AS root, [qn] AS nodes, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS chain, qn AS last, 0 AS depth, false AS is_path, true AS goes_on, 0 AS level FROM nodes WHERE {seed}
+        UNION ALL SELECT root, CASE f WHEN 0 THEN to_nodes ELSE list_append(to_nodes, owner) END, CASE f WHEN 0 THEN to_rels ELSE list_append(to_rels, 'OWNER_BRIDGE') END, to_chain, CASE f WHEN 0 THEN dst ELSE owner END, to_depth, f = 0 AND NOT free,
+            CASE WHEN f = 1 OR free THEN true ELSE label = 'Routine' OR NOT over END, level + 1
+        FROM (SELECT *, NOT free AND coalesce(owner IS NOT NULL AND NOT list_contains(to_nodes, owner), false) AS over FROM (
+            SELECT w.root, w.level, list_append(w.nodes, s.dst) AS to_nodes, list_append(w.rels, s.rel) AS to_rels, CASE WHEN s.free THEN w.chain ELSE list_append(w.chain, s.rel) END AS to_chain,
+                w.depth + CASE WHEN s.free THEN 0 ELSE 1 END AS to_depth, s.dst, s.free, s.label, s.owner
+            FROM walk w JOIN step s ON s.src = w.last WHERE w.goes_on AND w.depth < {depth} AND NOT list_contains(w.nodes, s.dst)) a) b, (VALUES (0), (1)) g(f)
+        WHERE f = 0 OR (over AND to_depth < {depth}))
+    SELECT root, array_to_string(nodes, '>') AS path_text, array_to_string(rels, '>') AS rel_text, array_to_string(chain, ',') AS chain_text, depth FROM walk WHERE is_path {last}"""
+
+
+def _walk(name: str, rels: tuple[str, ...], direction: str, depth: int, seed: str, max_paths: int | None = None) -> None:
+    last = "" if max_paths is None else f"ORDER BY level, root, nodes, rels LIMIT {max_paths}"
+
+    def build(spark, sf_dir) -> DataFrame:
+        g = Graph(spark, sf_dir)
+        paths = P.walk(P.hops(g.nodes, g.edges, rels, direction), g.nodes.where(seed), depth, max_paths)
+        return paths.select("root", F.array_join("nodes", ">").alias("path_text"), F.array_join("rels", ">").alias("rel_text"), F.array_join("chain", ",").alias("chain_text"), "depth")
+
+    register(f"q17_{name}", _walk_sql(rels, direction, depth, seed, last))(build)
+
+
+_walk("calls_owner_bridge", ("CALLS",), "downstream", 2, "name = 'Routine_6'")
+_walk("both_directions", ("USED_IN", "DO_MOVEMENTS_IN"), "both", 2, "label = 'MetadataObject' AND category_name <> 'Suppliers' AND num <= 3")
+_walk("element_start", ("USED_IN",), "both", 1, "label = 'Attribute' AND num <= 40")
+_walk("form_families", ("CALLS", "BINDS_TO", "LINKS_TO_COMMAND", "HAS_HANDLER", "USES_HANDLER"), "both", 2, "label = 'Form' AND num <= 400")
+_walk("first_paths", ("CALLS", "USES_HANDLER"), "both", 4, "name = 'Routine_6'", 40)
 
 # --- Q-22: object card and sections; Q-25..Q-29 console --------------------------------------------------------------------------------
 
