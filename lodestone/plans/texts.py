@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import retrieval as V
 from lodestone.functions import text as T
 from lodestone.operators import relational as R
 from lodestone.plans.core import Data, add
@@ -52,6 +53,24 @@ add("tx03_idf", f"WITH {_POST}, {_STATS} SELECT token, round(ln(1 + (docs - df +
 add("tx04_bm25", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM scored) x WHERE k <= 5", lambda d: R.top_n(_scored(d), ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], 5).select("item_id", "doc_id", F.round("score", 5).alias("score")))
 
 
+def _block_max(d: Data, postings: DataFrame, name: str, weight, frequency: str = "tf") -> DataFrame:
+    """The five best documents of each item by pruned scoring; impacts and their maxima by block are stored."""
+    impact = once(d.spark, d.sf_dir, f"impacts-{name}", ("documents",), lambda: V.impacts(postings, "doc_id", T.K1, T.B, frequency))
+    tops = once(d.spark, d.sf_dir, f"maxima-{name}", ("documents",), lambda: V.maxima(impact))
+    asked = _asked(d)
+    df = tops.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df"))
+    docs = postings.agg(F.countDistinct("doc_id").alias("docs"))
+    weights = asked.join(df, "token").crossJoin(F.broadcast(docs)).select("item_id", "token", weight(F.col("qf"), F.col("docs"), F.col("df")).alias("weight"))
+    return V.top_k(impact, tops, weights, "doc_id", "item_id", 5).best.select("item_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+add(
+    "tx04_block_max",
+    f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM scored) x WHERE k <= 5",
+    lambda d: _block_max(d, _index(d), "text", lambda qf, docs, df: qf * T.idf(docs, df)),
+)
+
+
 def _best(scored: DataFrame, n: int) -> DataFrame:
     """The n best documents of each item."""
     return R.top_n(scored, ["item_id"], [F.desc(F.round("score", 6)), "doc_id"], n).select("item_id", "doc_id", F.round("score", 5).alias("score"))
