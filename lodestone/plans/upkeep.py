@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import cosine
 from lodestone.operators import relational as R
 from lodestone.plans.core import _DIFF, Data, add, add_graph, difference, versions
+from lodestone.sources import code as M
 from lodestone.sources import descriptors as X
 from lodestone.sources import parsers as P
 from lodestone.streaming import incremental as I
@@ -214,6 +215,32 @@ add(
     UNION ALL SELECT p_partkey, 6, 'call', 'Run', 'Lib', 3, NULL FROM part UNION ALL SELECT p_partkey, 6, 'call', 'Sum', NULL, 2, NULL FROM part UNION ALL SELECT p_partkey, 7, 'call', 'Stop', NULL, 0, NULL FROM part""",
     _file(_MODULE, "part", "p_partkey", P.code_scan),
 )
+#: A module for each part: Russian in a named area with a documented function, or English with a decorated procedure that has no end; some have neither calls nor documentation.
+_BILINGUAL = f"""CASE WHEN p_partkey % 3 = 0 THEN concat('#Область Цены\n// Цена ', {_K}, '\n// Параметры:\n//  Вид - строка\n&НаСервере\nФункция Цена', {_K}, '(Знач Вид, Размер = ', {_S}, ') Экспорт\n\tВыполнить("Склад.Взять(', {_K}, ', 2)"); // Мимо()\n\tВозврат Общий.Расчет.Итог(Вид, "Нет()");\nКонецФункции\n#КонецОбласти')
+    WHEN p_partkey % 3 = 1 THEN concat('&After("OnWrite")\nprocedure Ext', {_K}, '(Cancel)\n\tHandler = New NotificationDescription("Done', {_K}, '", ThisObject);\n\tStop(Cancel, ', {_S}, ');\n')
+    ELSE concat('// Nothing of part ', {_K}, '()') END"""
+add(
+    "sc10_routines",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 6 ELSE 2 END AS line, CASE p_partkey % 3 WHEN 0 THEN 'Function' ELSE 'Procedure' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'Цена' ELSE 'Ext' END || p_partkey AS name, p_partkey % 3 = 0 AS export,
+        CASE p_partkey % 3 WHEN 0 THEN 'Вид:true:,Размер:false:' || p_size ELSE 'Cancel:false:' END AS parameters, CASE p_partkey % 3 WHEN 0 THEN '&НаСервере' ELSE '&After("OnWrite")' END AS directives, CASE p_partkey % 3 WHEN 1 THEN 'OnWrite' END AS target,
+        CASE p_partkey % 3 WHEN 0 THEN 'Цены' END AS area, CASE p_partkey % 3 WHEN 0 THEN 'Цена ' || p_partkey ELSE '' END AS description, CASE p_partkey % 3 WHEN 0 THEN ' Вид - строка' ELSE '' END AS doc_parameters FROM part WHERE p_partkey % 3 < 2""",
+    _file(
+        _BILINGUAL,
+        "part",
+        "p_partkey",
+        lambda df, key, text: M.routines(df, key, text).select(
+            key, "line", "kind", "name", "export",
+            F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", x["name"], x["by_value"].cast("string"), F.coalesce(x["default"], F.lit("")))), ",").alias("parameters"),
+            F.array_join("directives", ",").alias("directives"), "target", "area", "description", "doc_parameters",
+        ),
+    ),
+)
+add(
+    "sc10_call_sites",
+    """SELECT p_partkey, 'Цена' || p_partkey AS caller, 7 AS line, 'dynamic' AS kind, 'Склад' AS qualifier, 'Взять' AS name, 2 AS arguments FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'Цена' || p_partkey, 8, 'qualified', 'Общий.Расчет', 'Итог', 2 FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 'Ext' || p_partkey, 3, 'notification', 'ThisObject', 'Done' || p_partkey, NULL FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'Ext' || p_partkey, 4, 'direct', NULL, 'Stop', 2 FROM part WHERE p_partkey % 3 = 1""",
+    _file(_BILINGUAL, "part", "p_partkey", lambda df, key, text: M.calls(df, key, text).drop("caller_line")),
+)
 _DUMP = """concat('<ConfigDumpInfo><ConfigVersions><Metadata name="Catalog.', c_name, '" id="g', CAST(c_custkey AS STRING), '"><Metadata name="Catalog.', c_name, '.Attribute.A" id="h', CAST(c_custkey AS STRING), '"/></Metadata><Metadata name="Catalog.', c_name, '" id="again"/></ConfigVersions></ConfigDumpInfo>')"""
 add(
     "sc11_guid_map",
