@@ -244,17 +244,20 @@ def _rewrite(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
 
         return docs.mapInArrow(work, docs.schema)
     kept, found = _numbered(docs, benchmark, width, block_bytes)
+    bits_of = "hits"
+    while bits_of.lower() in {c.lower() for c in docs.columns}:
+        bits_of = f"_{bits_of}"
     if not spans:
         return kept.join(found.where(~contaminated()).select("row"), "row").select("kept.*")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in C.bounded(batches):
             words = T.Words(*T.flat(table.column("text")), T.PLAIN_UPPER)
-            bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)).astype(bool) if x else np.zeros(n, bool) for x, n in zip(table.column("__hits").to_pylist(), words.counts)]
-            yield from _decided(table.drop_columns(["__hits"]), words, np.concatenate(bits) if bits else np.zeros(0, bool), True).to_batches()
+            bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)).astype(bool) if x else np.zeros(n, bool) for x, n in zip(table.column(bits_of).to_pylist(), words.counts)]
+            yield from _decided(table.drop_columns([bits_of]), words, np.concatenate(bits) if bits else np.zeros(0, bool), True).to_batches()
 
-    hits = found.where("n_hit > 0").select("row", F.col("hits").alias("__hits"))
-    return kept.join(hits, "row", "left").select("kept.*", "__hits").mapInArrow(cut, docs.schema)
+    hits = found.where("n_hit > 0").select("row", F.col("hits").alias(bits_of))
+    return kept.join(hits, "row", "left").select("kept.*", bits_of).mapInArrow(cut, docs.schema)
 
 
 def _decided(table: pa.Table, words: T.Words, hit: np.ndarray, spans: bool) -> pa.Table:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, license_scan, quality, toxicity
 
@@ -68,6 +69,13 @@ def test_decontamination_in_blocks(docs, benchmark):
         assert cut.columns == docs.columns and sorted_rows(cut, *docs.columns) == sorted_rows(whole, *docs.columns)
 
 
+def test_decontamination_in_blocks_keeps_columns_of_any_name(docs, benchmark):
+    wide = docs.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("hits", "_hits", "__hits", "row", "n_hit", "kept")])
+    for rewrite in (decontaminate.remove_documents, decontaminate.remove_spans):
+        whole, cut = rewrite(wide, benchmark), rewrite(wide, benchmark, block_bytes=300)
+        assert cut.columns == wide.columns and sorted_rows(cut, *wide.columns) == sorted_rows(whole, *wide.columns)
+
+
 def test_decontamination_removes(docs, benchmark):
     report = decontaminate.report(docs, benchmark)
     kept = decontaminate.remove_documents(docs, benchmark)
