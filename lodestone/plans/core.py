@@ -145,7 +145,7 @@ add(
 )
 add_graph(
     "jn07_path_rewrite",
-    "SELECT e.qn AS ext_qn, b.qn AS base_qn FROM (SELECT qn, replace(qn, '/EXT_', '/') AS k FROM nodes WHERE is_extension AND label <> 'Configuration') e JOIN nodes b ON b.qn = e.k",
+    "SELECT e.qn AS ext_qn, b.qn AS base_qn FROM rebased e JOIN nodes b ON b.qn = e.base_qn",
     lambda g: g.nodes.where("is_extension and label <> 'Configuration'").select(F.col("qn").alias("ext_qn"), F.array_join(F.transform(F.split("qn", "/"), lambda x, i: F.when(i == 1, F.regexp_replace(x, "^EXT_", "")).otherwise(x)), "/").alias("base_qn")).join(g.nodes.select(F.col("qn").alias("base_qn")), "base_qn").select("ext_qn", "base_qn"),
 )
 add_graph(

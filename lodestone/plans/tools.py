@@ -698,7 +698,8 @@ _add(
 
 # --- Q-23: extension against base ----------------------------------------------------------------------------------------------------------
 
-_PAIRS = """(SELECT x.owner_qn AS ext_owner, x.qn AS ext_qn, b.qn AS base_qn, x.label, x.type_text AS ext_type, b.type_text AS base_type FROM (SELECT n.*, replace(n.owner_qn, '/EXT_', '/') AS base_owner, replace(n.qn, '/EXT_', '/') AS rewritten FROM nodes n WHERE n.is_extension AND n.type_text IS NOT NULL) x LEFT JOIN nodes b ON b.qn = x.rewritten)"""
+_PAIRS = """(SELECT x.owner_qn AS ext_owner, x.qn AS ext_qn, b.qn AS base_qn, x.label, x.type_text AS ext_type, b.type_text AS base_type
+    FROM rewritten x LEFT JOIN nodes b ON b.qn = x.rewritten)"""
 
 
 def _overlay(g: Graph) -> DataFrame:

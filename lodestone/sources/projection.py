@@ -92,6 +92,9 @@ CTES = {
         UNION ALL SELECT 'tpch/Roles/' || n_name, 'GRANTS_ACCESS_TO', o.qn, 'MetadataObject', CASE WHEN c_acctbal > 5000 THEN 'Read,Insert' WHEN c_acctbal > 0 THEN 'Read' ELSE 'View' END, CAST(c_custkey AS BIGINT), c_custkey % 6 = 0 FROM obj o JOIN nation n ON (o.c_nationkey + 1) % 25 = n.n_nationkey
         UNION ALL SELECT e.qn, 'ADOPTED_FROM', e.base_qn, 'MetadataObject', NULL, NULL, false FROM ext_obj e
         UNION ALL SELECT k.qn, 'ADOPTED_FROM', b.qn, b.kind, NULL, NULL, false FROM ext_kid k JOIN kid b ON k.o_orderkey = b.o_orderkey WHERE k.o_orderkey % 7 <> 0""",
+    # Nodes of extensions with the path that they have in the base; comparisons join it as a plain column.
+    "rewritten": """SELECT *, replace(owner_qn, '/EXT_', '/') AS base_owner, replace(qn, '/EXT_', '/') AS rewritten FROM nodes WHERE is_extension AND type_text IS NOT NULL""",
+    "rebased": """SELECT qn, replace(qn, '/EXT_', '/') AS base_qn FROM nodes WHERE is_extension AND label <> 'Configuration'""",
 }
 
 
