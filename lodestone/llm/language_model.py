@@ -9,7 +9,7 @@ Dirichlet prior on the next lower order:
     P(w | u v) = (c(u v w) + m2 P(w | v)) / (c(u v) + m2)
 
 The model is an automaton. Its states are histories: the empty one, each token v
-with c(v) > 0, and each pair u v with c(u v) >= ``LEAST``. A state has an arc for
+with c(v) > 0, and each pair u v with c(u v) > 0. A state has an arc for
 every token seen after its history, weighted log10 P, that leads to the longest
 history that ends the history and the token; and a failure arc to the state of
 the history less its first token, weighted log10(m / (c + m)). The empty history
@@ -57,8 +57,10 @@ from lodestone.llm import _text as T
 FOLDS, HELD_OUT = 7, 2
 #: Weights m1 and m2 of the lower order, in tokens.
 MASS = (5.0, 2.0)
-#: Occurrences of a pair that is a state.
-LEAST = 2
+#: Occurrences of a pair that is a state: every pair of the training documents is one.
+LEAST = 1
+#: Bytes of text in a chunk: the larger, the fewer distinct triples it sends for each byte.
+CHUNK_BYTES = 8 << 20
 #: Tokens of a document that are walked one after the other.
 STRETCH = 1024
 
@@ -334,7 +336,7 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mass: tuple[float, float] = MASS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mass: tuple[float, float] = MASS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Score every document with the model of the documents outside the held-out fold."""
     spark = docs.sparkSession
     parts, bits = C.partitions(spark), C.bucket_bits(spark)

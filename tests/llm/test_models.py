@@ -32,7 +32,7 @@ def brute_model(rows):
         seen = starts if v1 == 1 else c[v1]
         if seen:
             out = (pairs[v1, x] + 5 * out) / (seen + 5)
-        if len(before) > 1 and pairs[before[-2], v1] >= 2:
+        if len(before) > 1 and pairs[before[-2], v1]:
             out = (triples[before[-2], v1, x] + 2 * out) / (pairs[before[-2], v1] + 2)
         return out
 
