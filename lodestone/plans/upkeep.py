@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import cosine
 from lodestone.operators import relational as R
 from lodestone.plans.core import _DIFF, Data, add, add_graph, difference, versions
+from lodestone.sources import canonical as K
 from lodestone.sources import code as M
 from lodestone.sources import descriptors as X
 from lodestone.sources import parsers as P
@@ -241,6 +242,16 @@ add(
     UNION ALL SELECT p_partkey, 'Ext' || p_partkey, 3, 'notification', 'ThisObject', 'Done' || p_partkey, NULL FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'Ext' || p_partkey, 4, 'direct', NULL, 'Stop', 2 FROM part WHERE p_partkey % 3 = 1""",
     _file(_BILINGUAL, "part", "p_partkey", lambda df, key, text: M.calls(df, key, text).drop("caller_line")),
 )
+#: A form for each supplier with the controls that it was made from: written otherwise, changed, or new by the key.
+_FORM_BASE = """concat('<Form><ChildItems><Group id="1" name="G">', CASE WHEN s_suppkey % 4 = 1 THEN '<Title>New</Title>' ELSE '\n <Title> Old </Title>' END, '<ChildItems><Field name="A" id="2"><Path>', CASE WHEN s_suppkey % 4 = 2 THEN s_name ELSE 'P' END, '</Path></Field></ChildItems></Group>',
+    CASE WHEN s_suppkey % 3 = 0 THEN '<Field id="9" name="Own"/>' ELSE '' END, '</ChildItems><BaseForm><ChildItems><Group name="G" id="1"><Title>Old</Title><ChildItems><Field id="2" name="A"><Path>P</Path></Field></ChildItems></Group></ChildItems></BaseForm></Form>')"""
+add(
+    "tx28_changed_controls",
+    """SELECT s_suppkey, 1 AS id, 'G' AS name, CASE WHEN s_suppkey % 4 IN (1, 2) THEN 'adopted_modified' ELSE 'adopted_unchanged' END AS state, CASE s_suppkey % 4 WHEN 1 THEN 'Title' WHEN 2 THEN 'ChildItems' END AS modified FROM supplier
+    UNION ALL SELECT s_suppkey, 2, 'A', CASE WHEN s_suppkey % 4 = 2 THEN 'adopted_modified' ELSE 'adopted_unchanged' END, CASE WHEN s_suppkey % 4 = 2 THEN 'Path' END FROM supplier
+    UNION ALL SELECT s_suppkey, 9, 'Own', 'own', NULL FROM supplier WHERE s_suppkey % 3 = 0""",
+    _file(_FORM_BASE, "supplier", "s_suppkey", lambda df, key, text: K.states(K.controls(df, key, text), key).select(key, "id", "name", "state", F.array_join("modified", ",").alias("modified"))),
+)
 _DUMP = """concat('<ConfigDumpInfo><ConfigVersions><Metadata name="Catalog.', c_name, '" id="g', CAST(c_custkey AS STRING), '"><Metadata name="Catalog.', c_name, '.Attribute.A" id="h', CAST(c_custkey AS STRING), '"/></Metadata><Metadata name="Catalog.', c_name, '" id="again"/></ConfigVersions></ConfigDumpInfo>')"""
 add(
     "sc11_guid_map",
