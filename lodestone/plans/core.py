@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.operators import relational as R
 from lodestone.plans.registry import register
+from lodestone.session import scratch_path
 from lodestone.sources.projection import Graph, duck, table
+from lodestone.streaming.postings import PostingStore
 
 
 class Data:
@@ -259,6 +261,28 @@ def _tokens(d: Data) -> DataFrame:
 
 add("ag10_document_frequency", f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {_WORDS} w GROUP BY token", lambda d: _tokens(d).groupBy("doc_id", "token").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf")))
 add("ag10_corpus_stats", f"SELECT count(DISTINCT doc_id) AS doc_count, count(*) AS total_length FROM {_WORDS} w", lambda d: _tokens(d).groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("doc_count"), F.sum("n").alias("total_length")))
+#: Documents as they are after two epochs: one in five came, one in eleven lost all but its first line, one in seven went.
+_EPOCHS = "SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
+
+
+def _additive(d: Data) -> DataFrame:
+    """Document frequencies after epochs of signed deltas, with the merged totals."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    docs = d.documents.select("doc_id", "text")
+    store = PostingStore(d.spark, scratch_path(d.spark, "additive-postings"))
+    store.rebuild(docs.where("doc_id % 5 <> 0"), words)
+    store.apply(1, docs.where("doc_id % 5 = 0"), words)
+    short = docs.where("doc_id % 11 = 1 and doc_id % 7 <> 0").withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1)))
+    store.apply(2, short, words, docs.where("doc_id % 7 = 0").select("doc_id"))
+    return store.frequencies().crossJoin(F.broadcast(store.totals()))
+
+
+add(
+    "ag10_additive_deltas",
+    f"""WITH now AS ({_EPOCHS}), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM now), t AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS total FROM w)
+    SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf, any_value(docs) AS docs, any_value(total) AS total FROM w, t GROUP BY token""",
+    _additive,
+)
 add(
     "ag11_usage_totals",
     "SELECT event_type, user_id % 5 AS provider, count(*) AS calls, round(sum(value), 4) AS total_value, round(avg(value), 6) AS avg_value, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY GROUPING SETS ((event_type, user_id % 5), (event_type), ())",
