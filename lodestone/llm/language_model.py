@@ -60,7 +60,7 @@ MASS = (5.0, 2.0)
 #: Occurrences of a pair that is a state: every pair of the training documents is one.
 LEAST = 1
 #: Bytes of text in a chunk: the larger, the fewer distinct triples it sends for each byte.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 #: Tokens of a document that are walked one after the other.
 STRETCH = 1024
 
