@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import fusion as U
 from lodestone.functions import retrieval as V
 from lodestone.functions import text as T
 from lodestone.functions import vectors as N
@@ -217,6 +218,23 @@ def _hybrid_sql(method: str, where: str | None = None, alpha: float = 0.6) -> st
 
 add("q18_hybrid_weighted", _hybrid_sql("weighted"), lambda d: _hybrid(d, "weighted"))
 add("q18_hybrid_rrf", _hybrid_sql("rrf"), lambda d: _hybrid(d, "rrf"))
+def _leg_sql(name: str, source: str) -> str:
+    cut = f"{name} AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM {source}) x WHERE k <= 200)"
+    stats = f"{name}s AS (SELECT item_id, quantile_cont(score, 0.5) AS mid, quantile_cont(score, 0.95) AS high, max(score) AS top, count(*) AS n FROM {name} GROUP BY item_id)"
+    value = "greatest(0.0, least(1.0, CASE WHEN high - mid > 1e-9 THEN (score - mid) / (high - mid) ELSE score / CASE WHEN top > 0 THEN top ELSE 1.0 END END))"
+    return f"{cut}, {stats}, {name}n AS (SELECT item_id, doc_id, {value} AS value FROM {name} JOIN {name}s USING (item_id))"
+
+
+add(
+    "q18_hybrid_adaptive",
+    f"""WITH {_BM25}, {_VEC}, {_leg_sql("t", "scored")}, {_leg_sql("v", "vec")},
+    c AS (SELECT item_id, len(regexp_extract_all(text, '{U.TOKEN}')) AS words, coalesce(ts.n, 0) AS tn, coalesce(vs.n, 0) AS vn FROM benchmark LEFT JOIN ts USING (item_id) LEFT JOIN vs USING (item_id)),
+    a AS (SELECT *, CASE WHEN words <= 2 THEN 0.7 ELSE 0.3 END AS a0 FROM c), b AS (SELECT *, CASE WHEN vn / 200 < 0.3 THEN least(a0 + 0.1, 1.0) ELSE a0 END AS a1 FROM a),
+    w AS (SELECT item_id, greatest(0.2, least(0.8, CASE WHEN vn = 0 AND tn > 0 THEN 1.0 WHEN tn = 0 AND vn > 0 THEN 0.0 WHEN tn / 200 < 0.3 THEN greatest(a1 - 0.1, 0.0) ELSE a1 END))::DOUBLE AS alpha FROM b),
+    f AS (SELECT item_id, doc_id, alpha * coalesce(tn.value, 0) + (1 - alpha) * coalesce(vn.value, 0) AS score FROM tn FULL JOIN vn USING (item_id, doc_id) JOIN w USING (item_id))
+    SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS k FROM f) x WHERE k <= 10""",
+    lambda d: R.top_n(U.adaptive(_scored(d), _vector_leg(d), d.benchmark.select("item_id", U.tokens(F.col("text")).alias("words")), "item_id", "doc_id"), ["item_id"], [F.desc(F.round("score", 7)), "doc_id"], 10).select("item_id", "doc_id", F.round("score", 6).alias("score")),
+)
 # An index may miss a neighbour, which SQL cannot foresee; a test measures its recall against all pairs.
 add("q18_vector_index", None, _vector_index)
 add("q18_vector", f"WITH {_VEC} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS k FROM vec) x WHERE k <= 10", lambda d: R.top_n(_vector_leg(d), ["item_id"], [F.desc(F.round("score", 7)), "doc_id"], 10).select("item_id", "doc_id", F.round("score", 6).alias("score")))
