@@ -84,3 +84,17 @@ def test_closure_holds_its_roots(spark):
 def test_expand_carries_edge_columns(nodes, edges):
     rows = G.expand(nodes, edges.withColumn("flag", F.lit(True)), "HAS_ATTRIBUTE", extra=("flag",)).collect()
     assert len(rows) == 2 and all(r["edge_flag"] for r in rows)
+
+
+def test_recursive_sql_has_no_limit_of_rows(spark):
+    from lodestone.plans import registry
+
+    setting = "spark.sql.cteRecursionRowLimit"
+    query = registry.queries()["jn05_recursive_sql"]
+    whole = query(spark, "/root/testdata/sf0.001").count()
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "10")
+    try:
+        assert query(spark, "/root/testdata/sf0.001").count() == whole > 10
+    finally:
+        spark.conf.set(setting, was)
