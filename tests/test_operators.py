@@ -239,3 +239,20 @@ def test_fuzzy_leg_against_brute_force(spark):
     got = {(r["item_id"], r["doc_id"]): r["score"] for r in texts._fuzzy_leg(data, pool).collect()}
     assert got.keys() == {k for k, v in want.items() if v > 0}
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
+
+
+def test_overlapping_ranges_pair_once_without_a_shuffle_of_pairs(spark, tmp_path, monkeypatch):
+    from lodestone.plans import core, registry
+
+    monkeypatch.setattr(core, "CLASS_SLICE", 3)
+    parts = [(k % 60, (k * 7) % 50 + 1) for k in range(90)] + [(11, 4)] * 20 + [(None, 3), (21, None)]
+    sites = [(k % 25, (k * 5) % 25) for k in range(40)] + [(None, 3), (1, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(sites, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = registry.queries()["jn15_overlapping_arity"](spark, str(tmp_path))
+    want = {(p, s) for p, size in parts for s, n in sites if None not in (p, s, size, n) and p % 10 == s % 10 and size <= n + 3 and n <= size + 2}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # The pairs are the last thing made: nothing above their join groups or moves them.
+    top = df._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    assert "Project" in top[0] and "Join" in top[1]
