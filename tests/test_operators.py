@@ -256,3 +256,18 @@ def test_overlapping_ranges_pair_once_without_a_shuffle_of_pairs(spark, tmp_path
     # The pairs are the last thing made: nothing above their join groups or moves them.
     top = df._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
     assert "Project" in top[0] and "Join" in top[1]
+
+
+def test_nearest_is_the_sum_in_order_on_odd_vectors(spark):
+    """Copies, nulls, other sizes, infinities and blocks: the pairs and scores of the plain expression; no pair of the answer is scored by one."""
+    rng = random.Random(5)
+    base = [[rng.uniform(-1, 1) for _ in range(9)] for _ in range(60)]
+    rows = [(k, base[k % 60]) for k in range(200)] + [(300, None), (301, [1.0]), (302, [None] + base[0][1:]), (303, [-x for x in base[3]]), (304, [float("inf")] + base[1][1:]), (305, [])]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    q = spark.createDataFrame([(k, base[k]) for k in range(0, 60, 7)] + [(90, None), (91, [0.5]), (92, [float("nan")] + base[2][1:])], "q long, v array<float>")
+    pairs = v.crossJoin(q.withColumnRenamed("v", "y")).select("q", "id", F.greatest(F.lit(0.0), T.cosine(F.col("v"), F.col("y"))).alias("score"))
+    for n in (4, 30, 250):
+        want = R.top_n(pairs, ["q"], [F.desc(F.round("score", 9)), "id"], n).select("q", "id", "score")
+        df = T.nearest(v, q, "id", "v", "q", n).select("q", "id", "score")
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, want.collect()))
+        assert "CartesianProduct" not in df._jdf.queryExecution().toString() and "NestedLoop" not in df._jdf.queryExecution().toString()
