@@ -55,3 +55,20 @@ def test_ties_go_to_the_smaller_key(spark):
     rows = [(k, "x y z") for k in range(40)] + [(100 + k, "x q") for k in range(40)]
     _, got, want, _ = both(spark, rows, [(1, "x", 1), (1, "y", 1)], 4)
     assert got == want and [r[1] for r in got] == [0, 1, 2, 3]
+
+
+def test_rows_of_query_token_and_block_are_neither_moved_nor_written(spark, monkeypatch):
+    """Maxima meet the queries in the task that holds their block; what is written has no row for each of them."""
+    written = {}
+    keep = retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    found, got, want, pairs = both(spark, *corpus(5), 3)
+    assert got == want
+    assert not {"asked-blocks", "split-tokens"} & set(written)
+    assert all({"token", "block"} - set(df.columns) for df in written.values())
+
+
+def test_many_queries_are_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_SENT", 0)
+    _, got, want, _ = both(spark, *corpus(7, docs=150, queries=5), 3)
+    assert got == want
